@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chat_format, packing, token_counts
-from siltstone.llm._common import documents
+from siltstone.llm import bpe, chat_format, lm_bloom, packing, quality_mil, quality_rules, simhash, suffix_dedup, token_counts, topk
+from siltstone.llm._common import documents, held_out
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
 PACKED = "byte_bpe_50k.json"
@@ -22,6 +22,28 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows.unionByName(made)))
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality_mil.AttentionModel | None:
+    """Learned from labelled rows that aren't held out: crc32 of the id as text, modulo 3, isn't 1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_mil.train(documents(spark, sf_dir), labels.filter(~held_out(F.col("doc_id"), 3, 1)))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_mil.score(documents(spark, sf_dir).select("doc_id", "text"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.deduplicate(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) - F.octet_length("kept_bytes")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path(MULTI), public_tokenizers.PATTERN
     coded = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), ranks, pattern), ranks, pattern)
@@ -50,17 +72,39 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", held_out(F.col("doc_id"), 7, 2).alias("held_out"))
+    model, table = lm_bloom.fit(docs.filter("NOT held_out"))
+    return lm_bloom.score(docs, model, table, keep=("doc_id", "held_out"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
+    return done.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantized(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, at = quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", *[F.col(at[x]).alias(x) for x in names])
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path(PACKED), public_tokenizers.PATTERN)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op4_bpe_round_trip, op5_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_chat_format, op2_quality, op3_suffix_dedup, op4_bpe_round_trip, op5_token_counts, op6_lm_scores, op7_simhash, op8_topk, op9_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1}
+    return {"op1_chat_format": OP1, "op8_topk": OP8, "op9_quality_rules": op9_sql()}
 
 
 OP1 = r"""
@@ -75,3 +119,51 @@ SELECT conv_id, count(*) AS n_turns,
     + length(text) + length(regexp_replace(text, '[^\\<]', '', 'g')) + length('</turn>') + 1) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+OP8 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def _js_sql(counts: list[str], total: str, reference: list[float]) -> str:
+    """The Jensen-Shannon distance of counts over their total to a reference."""
+    terms = []
+    for n, q in zip(counts, reference):
+        p = f"(CAST({n} AS DOUBLE) / {total})"
+        m = f"(({p} + {q!r}) / 2)"
+        terms.append(f"CASE WHEN {n} > 0 THEN {p} * log2({p} / {m}) ELSE 0 END + {q!r} * log2({q!r} / {m})")
+    return f"sqrt(greatest(({' + '.join(terms)}) / 2, 0))"
+
+
+def op9_sql() -> str:
+    r = quality_rules
+    space = r.SPACES
+    chars = ["n_upper", "n_digit", "n_symbols", "n_punctuation", "n_space", "n_chars - n_upper - n_digit - n_symbols - n_punctuation - n_space"]
+    common = {w: f"n{k}" for k, w in enumerate(r.COMMON)}
+    tally = ", ".join(f"len(list_filter(w, lambda x: x IN ('{w}', '{w.capitalize()}'))) AS {n}" for w, n in common.items())
+    by_lang = [_js_sql([*[common[w] for w in words], f"(n_words - {' - '.join(common[w] for w in words)})"], "n_words", r.word_reference(lang)) for lang, words in r.WORD_REFERENCE.items()]
+    marks = lambda what: f"length(regexp_replace(t, '[^{what[1:].replace(chr(39), chr(39) * 2)}', '', 'g'))"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, length(t) AS n_chars, list_filter(regexp_split_to_array(t, '[{space}]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{space}]')) AS lines FROM d),
+g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS c FROM g) WHERE c > 1),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY rid),
+m AS (SELECT rid, doc_id, n_chars, CAST(len(w) AS BIGINT) AS n_words, {marks('[' + space + ']')} AS n_space, {marks(r.CLASSES['upper'])} AS n_upper, {marks(r.CLASSES['digit'])} AS n_digit,
+  {marks(r.CLASSES['symbol'])} AS n_symbols, {marks(r.CLASSES['punctuation'])} AS n_punctuation, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, {tally} FROM w),
+j AS (SELECT m.*, CAST(n_chars - n_space AS BIGINT) AS word_chars, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+  CASE WHEN n_chars > 0 THEN least({', '.join(_js_sql(chars, 'n_chars', r.char_reference(lang)) for lang in r.CHAR_REFERENCE)}) ELSE 1 END AS char_distance,
+  CASE WHEN n_words > 0 THEN least({', '.join(by_lang)}) ELSE 1 END AS word_distance FROM m LEFT JOIN covered USING (rid)),
+k AS (SELECT *, n_words < {r.MIN_WORDS} OR 100 * n_repeat_words > {r.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM j)
+SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_chars >= {r.MIN_CHARS_JUDGED} AND char_distance > {r.MAX_CHAR_DISTANCE}) AND NOT (n_words >= {r.MIN_WORDS_JUDGED} AND word_distance > {r.MAX_WORD_DISTANCE}) AS kept
+FROM k
+"""
