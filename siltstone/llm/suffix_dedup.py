@@ -6,9 +6,10 @@ which windows are equal.
 
 Co-location. Of the 16-byte grams in a window, the leftmost with the least hash is its anchor. Equal
 windows have equal anchors at equal places in them, so windows are dealt by their anchor's hash;
-consecutive windows with one anchor travel as one segment of at most 2 * length bytes. Anchors that
-occur once in the corpus are dropped before any text moves. Equal segments are collapsed as they
-stream by in order: all but the earliest are repeats in full, whatever their number.
+consecutive windows with one anchor travel as one segment of at most 2 * length bytes. Before any
+text moves, hashes and places stream by in order: of equal segments (128 bits of hash) all but the
+earliest are repeats in full, whatever their number, and an anchor that is left with one segment
+holds no other equal windows. The text of the remaining segments, and only theirs, goes on.
 
 Classes. The distinct segments of a batch of whole anchor groups (BATCH_BYTES at most) form one
 string with unique ends. From its suffix array comes the Burrows-Wheeler transform, and a
@@ -75,59 +76,64 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in by_bytes(batch.column(1)):
-            rid = batch.column(0).slice(a, b - a).to_numpy()
-            data, offsets = flat(batch.column(1).slice(a, b - a))
+        for a, b in by_bytes(batch.column("text")):
+            rid = batch.column("rid").slice(a, b - a).to_numpy()
+            data, offsets = flat(batch.column("text").slice(a, b - a))
             step = SLICE if b - a == 1 else max(len(data), 1)  # a single row may be very long
             for lo in range(0, len(data), step):
                 part = data[lo : lo + step + length - 1]
                 h, at, n = anchors(part, np.array([0, len(part)]) if b - a == 1 else offsets, length)
                 row = np.searchsorted(offsets, at + lo, "right") - 1
                 packed = ((at + lo - offsets[row]) << _AT) | n
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rid[row]), pa.array(packed)], ["h", "rid", "at"])
+                whole = span_hashes(part, at, at + n - 1 + length)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), batch.column("doc_id").slice(a, b - a).take(pa.array(row)), pa.array(rid[row]), pa.array(packed)], ["h", "whole", "doc_id", "rid", "at"])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of h, those whose h is also a neighbour's."""
-    held, held_again = None, False
+def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of (h, whole, doc_id, rid, at): those that matter.
+
+    Equal segments (equal h and whole, 128 bits of hash) after the first are repeats in full: h null.
+    First ones go on if their anchor has another segment too. One row is held between batches.
+    """
+    held = None  # the last segment's first row, whether its group has several, and the group's first row while it hasn't
     for batch in batches:
         if not batch.num_rows:
             continue
-        h = batch.column(0).to_numpy()
-        same = h[1:] == h[:-1]
-        keep = np.zeros(len(h), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
+        h, whole, rid, at = (batch.column(k).to_numpy() for k in ("h", "whole", "rid", "at"))
+        if held is not None:
+            h, whole, rid, at = (np.append([x], y) for x, y in zip(held[0], (h, whole, rid, at)))
+        new_group = np.concatenate([[True], h[1:] != h[:-1]])
+        new = new_group | np.concatenate([[True], whole[1:] != whole[:-1]])
+        group = np.cumsum(new_group) - 1
+        several = np.bincount(group, new) > 1
+        if held is not None:
+            several[0] |= held[1]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        repeat = ~new & ((rid != rid[first]) | (at != at[first]))
+        go = new & several[group]
         if held is not None:
-            joined = held.column(0)[0].as_py() == h[0]
-            keep[0] |= joined
-            if joined or held_again:
-                yield held
-        held, held_again = batch.slice(len(h) - 1), bool(keep[-1])
-        yield batch.slice(0, len(h) - 1).filter(pa.array(keep[:-1]))
-    if held is not None and held_again:
-        yield held
+            go[0] = several[0] and not held[1]  # held back so far
+        out = np.flatnonzero(repeat | go)
+        yield pa.RecordBatch.from_arrays([pa.array(h[out], mask=repeat[out]), pa.array(rid[out]), pa.array(at[out])], ["h", "rid", "at"])
+        last = first[-1]
+        held = ((h[last], whole[last], rid[last], at[last]), bool(several[-1]))
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The segments' bytes. Of a document's equal segments only the first is sent; the others are repeats (h null)."""
-    names = ["h", "segment", "doc_id", "rid", "at"]
+    """The segments' bytes; and a document's repeats so far, as few spans (h null)."""
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
         for a, b in by_bytes(batch.column("text"), 1 << 19):
-            part, rows, repeats = batch.slice(a, b - a), [], []
+            part, rows = batch.slice(a, b - a), []
             for doc, rid, text, places in zip(part.column("doc_id").to_pylist(), part.column("rid").to_pylist(), part.column("text"), part.column("places")):
-                data, seen = text.as_py().encode(), set()
-                for p in sorted(places.as_py(), key=lambda p: p["at"]):
-                    h, at = p["h"], p["at"]
-                    lo, n = at >> _AT, at & ((1 << _AT) - 1)
-                    segment = data[lo : lo + n - 1 + length]
-                    if (h, segment) in seen:
-                        repeats.append((None, None, doc, rid, at))
-                    else:
-                        seen.add((h, segment))
-                        rows.append((h, segment, doc, rid, at))
-            columns = list(zip(*rows, *repeats)) if rows or repeats else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()])], names)
+                fields = places.values.flatten()
+                h, packed = fields[0].to_pylist(), fields[1].to_numpy()
+                lo, stop = packed >> _AT, (packed >> _AT) + (packed & ((1 << _AT) - 1)) - 1 + length
+                data = text.as_py().encode() if any(x is not None for x in h) else b""
+                rows += [(x, data[u:v], doc, rid, u) for x, u, v in zip(h, lo.tolist(), stop.tolist()) if x is not None]
+                gone = np.array([x is None for x in h])
+                rows += [(None, (v - u).to_bytes(8, "little"), doc, rid, u) for u, v in merged(list(zip(lo[gone].tolist(), stop[gone].tolist())))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["h", "segment", "doc_id", "rid", "at"])
 
 
 # ---- classes of equal windows -------------------------------------------------------------------
@@ -238,7 +244,7 @@ def _find(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator
 
     def classes(rows):
         docs = np.array([np.iinfo(np.int64).min if r[1] is None else r[1] for r in rows], np.int64)
-        rids, at = np.array([r[2] for r in rows], np.int64), np.array([r[3] >> _AT for r in rows], np.int64)
+        rids, at = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
         for k, a, b in zip(*(x.tolist() for x in repeated_windows([r[0] for r in rows], docs, rids, at, length))):
             lo = int(at[k])
             out.append((rows[k][2], None, rows[k][1], rows[k][2], lo + a, lo + b + length))
@@ -248,19 +254,17 @@ def _find(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator
         begin = np.arange(len(data) - length + 1)
         one = span_hashes(data, begin, begin + length)
         two = mix(span_hashes(data, begin, begin + length // 2) + mix(span_hashes(data, begin + length // 2, begin + length)))
-        lo = at >> _AT
         for k, (x, y) in enumerate(zip(one.view(np.int64).tolist(), two.view(np.int64).tolist())):
-            out.append((x, y, doc, rid, lo + k, lo + k + length))
+            out.append((x, y, doc, rid, at + k, at + k + length))
 
     for batch in batches:
         for h, segment, doc, rid, at in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            lo, n = at >> _AT, at & ((1 << _AT) - 1)
             if h is None:
-                out.append((rid, None, doc, rid, lo, lo + n - 1 + length))
+                out.append((rid, None, doc, rid, at, at + int.from_bytes(segment, "little")))
                 continue
             if h == group and segment == last:
-                if (rid, lo) != first_place:
-                    out.append((rid, None, doc, rid, lo, lo + n - 1 + length))
+                if (rid, at) != first_place:
+                    out.append((rid, None, doc, rid, at, at + len(segment)))
                 continue
             if h != group:
                 if held_bytes >= most:
@@ -269,7 +273,7 @@ def _find(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator
                     yield batch_of(out)
                     out = []
                 group, oversized, whole, group_bytes = h, False, len(held), 0
-            last, first_place = segment, (rid, lo)
+            last, first_place = segment, (rid, at)
             if oversized:
                 windows(segment, doc, rid, at)
             else:
@@ -325,8 +329,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(rid, spans): byte spans to remove from each document that has any; rid is xxhash64 of its id and text."""
     docs = keyed(df, doc_id, text, "__rid").select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col("__rid").alias("rid"))
-    found = docs.select("rid", "text").mapInArrow(lambda batches: _anchor_rows(batches, length), "h bigint, rid bigint, at bigint")
-    again = found.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "h bigint, rid bigint, at bigint")
+    found = docs.mapInArrow(lambda batches: _anchor_rows(batches, length), "h bigint, whole bigint, doc_id bigint, rid bigint, at bigint")
+    again = found.repartition("h").sortWithinPartitions("h", "whole", "doc_id", "rid", "at").mapInArrow(_collapse, "h bigint, rid bigint, at bigint")
     places = again.groupBy("rid").agg(F.collect_list(F.struct("h", "at")).alias("places"))  # bounded by the document's own length
     cut = docs.join(places, "rid").select("doc_id", "rid", "text", "places").mapInArrow(lambda batches: _segment_rows(batches, length), "h bigint, segment binary, doc_id bigint, rid bigint, at bigint")
     dealt = cut.repartition(F.coalesce("h", "rid")).sortWithinPartitions("h", "segment", "doc_id", "rid", "at")
