@@ -39,10 +39,12 @@ from pyspark.sql.functions import arrow_udf
 from siltstone.llm._common import by_bytes, flat, fresh, mix, span_hashes
 
 LENGTH, GRAM = 100, 16
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 1_000_000
 #: Longer texts are searched for anchors in slices of this many windows.
 SLICE = 4 << 20
 _AT = 20  # bits of a window count in a packed place
+_ID = 21  # bits of a place within a batch: a batch has fewer than 2 * BATCH_BYTES bytes and its segments' ends
+_LOW = (1 << _ID) - 1
 
 
 # ---- anchors ------------------------------------------------------------------------------------
@@ -142,15 +144,21 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
 def suffix_array(symbols: np.ndarray, segment: np.ndarray, to_end: np.ndarray) -> np.ndarray:
     """Order of the suffixes of segments that end in unique symbols (0, ordered by segment), by prefix doubling."""
     n = len(symbols)
-    key, wide = symbols.astype(np.int64) << 54, 7  # seven symbols of nine bits
+    if n > _LOW:
+        raise ValueError(f"a batch of {n} symbols; fewer than {1 << _ID} can be packed")
+    used = np.bincount(symbols, minlength=257) > 0
+    dense = (np.cumsum(used) - used[0])[symbols]  # 0 stays 0
+    bits = max(1, int(dense.max(initial=1)).bit_length())
+    wide = 2 * _ID // bits
+    key = dense << (bits * (wide - 1))
     for j in range(1, wide):
         inside = to_end[: n - j] >= j
-        key[: n - j] |= np.where(inside, symbols[j:].astype(np.int64), 0) << (54 - 9 * j)
+        key[: n - j] |= np.where(inside, dense[j:], 0) << (bits * (wide - 1 - j))
     segments = int(segment[-1]) + 1
     while True:
-        order = np.argsort(key)
-        sorted_key = key[order]
-        new = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+        packed = np.sort((key << _ID) | np.arange(n))
+        order, key = packed & _LOW, packed >> _ID
+        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
         if new[-1] == n - 1:
             return order
         rank = np.empty(n, np.int64)
@@ -158,7 +166,7 @@ def suffix_array(symbols: np.ndarray, segment: np.ndarray, to_end: np.ndarray) -
         follow = segment.astype(np.int64)  # the end is within the prefix: its segment decides
         inside = np.flatnonzero(to_end >= wide)
         follow[inside] = rank[inside + wide] + segments
-        key = (rank << 32) | follow
+        key = (rank << _ID) | follow
         wide *= 2
 
 
@@ -185,7 +193,7 @@ def short_prefixes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.nd
         symbol = bwt[at]
         use = symbol > 0
         to, which, symbol = back[at[use]], which[use], symbol[use]
-        sort = np.argsort(to)
+        sort = np.sort((to << _ID) | np.arange(len(to))) & _LOW
         to, which, symbol = to[sort], which[sort], symbol[sort]
         first = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1] + 1) | (which[1:] != which[:-1]) | (symbol[1:] != symbol[:-1])])) if len(to) else np.zeros(0, np.int64)
         lo, hi = to[first], to[np.append(first[1:], len(to)) - 1] + 1 if len(to) else to
@@ -216,10 +224,13 @@ def repeated_windows(segments: list[bytes], docs: np.ndarray, rids: np.ndarray,
     rank = np.empty(len(segments), np.int64)
     document = np.lexsort((rids, docs))
     rank[document] = np.cumsum(np.concatenate([[0], (docs[document][1:] != docs[document][:-1]) | (rids[document][1:] != rids[document][:-1])]))
-    sort = np.lexsort((places[own] + offset, rank[own], group))
+    # within a document, segments hold windows that come one after the other: their order is their windows'
+    earlier = np.empty(len(segments), np.int64)
+    earlier[np.lexsort((places, rank))] = np.arange(len(segments))
+    sort = np.sort((group << 2 * _ID) | (earlier[own] << _ID) | np.arange(len(own))) & _LOW
     later = np.concatenate([[False], group[sort][1:] == group[sort][:-1]])
     own, offset = own[sort][later], offset[sort][later]
-    sort = np.lexsort((offset, own))
+    sort = np.argsort((own.astype(np.int64) << 32) | offset)
     own, offset = own[sort], offset[sort]
     if not len(own):
         return own, offset, offset
@@ -278,8 +289,8 @@ def _find(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator
                 windows(segment, doc, rid, at)
             else:
                 held.append((segment, doc, rid, at))
-                held_bytes += len(segment)
-                group_bytes += len(segment)
+                held_bytes += len(segment) + 1
+                group_bytes += len(segment) + 1
                 if group_bytes > most:
                     for r in held[whole:]:
                         windows(*r)
