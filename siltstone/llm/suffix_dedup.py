@@ -11,14 +11,14 @@ text moves, hashes and places stream by in order: of equal segments (128 bits of
 earliest are repeats in full, whatever their number, and an anchor that is left with one segment
 holds no other equal windows. The text of the remaining segments, and only theirs, goes on.
 
-Classes. The distinct segments of a batch of whole anchor groups (BATCH_BYTES at most) form one
+Classes. The distinct segments of a batch of whole anchor groups (about BATCH_BYTES) form one
 string with unique ends. From its suffix array comes the Burrows-Wheeler transform, and a
 breadth-first backward extension of intervals (Beller, Gog, Ohlebusch and Schnattinger, "Computing
 the longest common prefix array based on the Burrows-Wheeler transform") sets common-prefix values
 in increasing order. It stops at `length`: places that are still unset have at least that common
 prefix, so windows between two set places are equal. Of each class the earliest window stays.
 
-A group whose distinct segments alone exceed BATCH_BYTES is not held: its windows are dealt once
+A group whose distinct segments alone exceed GROUP_BYTES is not held: its windows are dealt once
 more, each by a 128-bit hash of its own bytes, and resolved as sorted runs.
 
 Defined cases: a null or empty text has no bytes and loses none; rows equal in document id and text
@@ -39,14 +39,25 @@ from pyspark.sql.functions import arrow_udf
 from siltstone.llm._common import by_bytes, flat, fresh, mix, span_hashes
 
 LENGTH, GRAM = 100, 16
-BATCH_BYTES = 1_000_000
+#: Groups are searched in batches of about so many bytes of segments; a single group of more than GROUP_BYTES isn't held.
+BATCH_BYTES, GROUP_BYTES = 1_000_000, 4_000_000
 #: Longer texts are searched for anchors in slices of this many windows.
 SLICE = 4 << 20
 _AT = 20  # bits of a window count in a packed place
-_ID = 21  # bits of a place within a batch: a batch has fewer than 2 * BATCH_BYTES bytes and its segments' ends
+_ID = 21  # bits of a place within most batches
 _LOW = (1 << _ID) - 1
 
 
+def _order(n: int, *keys: np.ndarray) -> np.ndarray:
+    """The order by up to two keys below n; where they fit, sorted as one packed number, which is faster than sorting places."""
+    if n > _LOW:
+        return np.lexsort(keys[::-1])
+    packed = keys[0].astype(np.int64)
+    for k in keys[1:]:
+        packed = (packed << _ID) | k
+    return np.sort((packed << _ID) | np.arange(len(packed))) & _LOW
+
+
 # ---- anchors ------------------------------------------------------------------------------------
 
 
@@ -144,8 +155,6 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
 def suffix_array(symbols: np.ndarray, segment: np.ndarray, to_end: np.ndarray) -> np.ndarray:
     """Order of the suffixes of segments that end in unique symbols (0, ordered by segment), by prefix doubling."""
     n = len(symbols)
-    if n > _LOW:
-        raise ValueError(f"a batch of {n} symbols; fewer than {1 << _ID} can be packed")
     used = np.bincount(symbols, minlength=257) > 0
     dense = (np.cumsum(used) - used[0])[symbols]  # 0 stays 0
     bits = max(1, int(dense.max(initial=1)).bit_length())
@@ -156,8 +165,12 @@ def suffix_array(symbols: np.ndarray, segment: np.ndarray, to_end: np.ndarray) -
         key[: n - j] |= np.where(inside, dense[j:], 0) << (bits * (wide - 1 - j))
     segments = int(segment[-1]) + 1
     while True:
-        packed = np.sort((key << _ID) | np.arange(n))
-        order, key = packed & _LOW, packed >> _ID
+        if n > _LOW:
+            order = np.argsort(key)
+            key = key[order]
+        else:
+            packed = np.sort((key << _ID) | np.arange(n))
+            order, key = packed & _LOW, packed >> _ID
         new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
         if new[-1] == n - 1:
             return order
@@ -166,7 +179,7 @@ def suffix_array(symbols: np.ndarray, segment: np.ndarray, to_end: np.ndarray) -
         follow = segment.astype(np.int64)  # the end is within the prefix: its segment decides
         inside = np.flatnonzero(to_end >= wide)
         follow[inside] = rank[inside + wide] + segments
-        key = (rank << _ID) | follow
+        key = (rank << (_ID if n <= _LOW else 32)) | follow
         wide *= 2
 
 
@@ -193,7 +206,7 @@ def short_prefixes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.nd
         symbol = bwt[at]
         use = symbol > 0
         to, which, symbol = back[at[use]], which[use], symbol[use]
-        sort = np.sort((to << _ID) | np.arange(len(to))) & _LOW
+        sort = _order(n, to)
         to, which, symbol = to[sort], which[sort], symbol[sort]
         first = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1] + 1) | (which[1:] != which[:-1]) | (symbol[1:] != symbol[:-1])])) if len(to) else np.zeros(0, np.int64)
         lo, hi = to[first], to[np.append(first[1:], len(to)) - 1] + 1 if len(to) else to
@@ -227,7 +240,7 @@ def repeated_windows(segments: list[bytes], docs: np.ndarray, rids: np.ndarray,
     # within a document, segments hold windows that come one after the other: their order is their windows'
     earlier = np.empty(len(segments), np.int64)
     earlier[np.lexsort((places, rank))] = np.arange(len(segments))
-    sort = np.sort((group << 2 * _ID) | (earlier[own] << _ID) | np.arange(len(own))) & _LOW
+    sort = _order(len(symbols), group, earlier[own])
     later = np.concatenate([[False], group[sort][1:] == group[sort][:-1]])
     own, offset = own[sort][later], offset[sort][later]
     sort = np.argsort((own.astype(np.int64) << 32) | offset)
@@ -243,7 +256,7 @@ FOUND = "key bigint, other bigint, doc_id bigint, rid bigint, start int, stop in
 _FOUND = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
 
-def _find(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], length: int, most: int, most_of_group: int) -> Iterator[pa.RecordBatch]:
     """Rows come in the order of (h, segment, doc_id, rid, at)."""
     held: list[tuple] = []  # distinct segments with their earliest place: whole groups, then the current one
     whole = held_bytes = group_bytes = 0
@@ -291,7 +304,7 @@ def _find(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator
                 held.append((segment, doc, rid, at))
                 held_bytes += len(segment) + 1
                 group_bytes += len(segment) + 1
-                if group_bytes > most:
+                if group_bytes > most_of_group:
                     for r in held[whole:]:
                         windows(*r)
                     del held[whole:]
@@ -337,7 +350,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, batch_bytes: int = BATCH_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(rid, spans): byte spans to remove from each document that has any; rid is xxhash64 of its id and text."""
     docs = keyed(df, doc_id, text, "__rid").select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col("__rid").alias("rid"))
     found = docs.mapInArrow(lambda batches: _anchor_rows(batches, length), "h bigint, whole bigint, doc_id bigint, rid bigint, at bigint")
@@ -345,7 +358,7 @@ def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length
     places = again.groupBy("rid").agg(F.collect_list(F.struct("h", "at")).alias("places"))  # bounded by the document's own length
     cut = docs.join(places, "rid").select("doc_id", "rid", "text", "places").mapInArrow(lambda batches: _segment_rows(batches, length), "h bigint, segment binary, doc_id bigint, rid bigint, at bigint")
     dealt = cut.repartition(F.coalesce("h", "rid")).sortWithinPartitions("h", "segment", "doc_id", "rid", "at")
-    spans = dealt.mapInArrow(lambda batches: _find(batches, length, batch_bytes), FOUND)
+    spans = dealt.mapInArrow(lambda batches: _find(batches, length, batch_bytes, group_bytes), FOUND)
     spans = spans.repartition("key").sortWithinPartitions("key", "other", "doc_id", "rid", "start").mapInArrow(_resolve, "rid bigint, start int, stop int")
     return spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
@@ -354,10 +367,10 @@ def keyed(df: DataFrame, doc_id: str, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.xxhash64(doc_id, text))
 
 
-def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", kept: str = "kept_bytes", kept_text: str = "kept_text", spans: str = "spans", length: int = LENGTH, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", kept: str = "kept_bytes", kept_text: str = "kept_text", spans: str = "spans", length: int = LENGTH, batch_bytes: int = BATCH_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """df with `kept`, the remaining bytes of the text, `kept_text`, those that are whole characters, and `spans`, the maximal removed runs of bytes."""
     kept, kept_text, spans, key, rid, raw, done = fresh(df, kept, kept_text, spans, "__key", "__rid", "__raw", "__done")
-    found = repeats(df, doc_id=doc_id, text=text, length=length, batch_bytes=batch_bytes).select(F.col("rid").alias(key), F.col("spans").alias(raw))
+    found = repeats(df, doc_id=doc_id, text=text, length=length, batch_bytes=batch_bytes, group_bytes=group_bytes).select(F.col("rid").alias(key), F.col("spans").alias(raw))
 
     @arrow_udf("struct<kept:binary,text:string,spans:array<struct<start:int,stop:int>>>")
     def remove(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
