@@ -62,7 +62,7 @@ def flat(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def by_bytes(text: pa.Array, most: int = 4 << 20):
+def by_bytes(text: pa.Array, most: int = 1 << 20):
     """(start, stop) row ranges whose texts together hold about `most` bytes; a longer single text stands alone."""
     _, offsets = flat(text)
     start, n = 0, len(offsets) - 1

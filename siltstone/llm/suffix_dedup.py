@@ -42,7 +42,7 @@ LENGTH, GRAM = 100, 16
 #: Groups are searched in batches of about so many bytes of segments; a single group of more than GROUP_BYTES isn't held.
 BATCH_BYTES, GROUP_BYTES = 1_000_000, 4_000_000
 #: Longer texts are searched for anchors in slices of this many windows.
-SLICE = 4 << 20
+SLICE = 1 << 20
 _AT = 20  # bits of a window count in a packed place
 _ID = 21  # bits of a place within most batches
 _LOW = (1 << _ID) - 1
@@ -197,6 +197,7 @@ def short_prefixes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.nd
     by_symbol = np.argsort(bwt, kind="stable")
     back = np.empty(n, np.int64)
     back[by_symbol] = np.arange(n)
+    del by_symbol
     ends = int((symbols == 0).sum())
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
@@ -229,9 +230,11 @@ def repeated_windows(segments: list[bytes], docs: np.ndarray, rids: np.ndarray,
     segment = np.repeat(np.arange(len(segments), dtype=np.int32), size + 1)
     to_end = (ends[segment] - np.arange(len(symbols))).astype(np.int32)
     order = suffix_array(symbols, segment, to_end)
-    group = np.cumsum(short_prefixes(symbols, order, length))
+    group = np.cumsum(short_prefixes(symbols, order, length), dtype=np.int32)
     window = to_end[order] >= length
-    at, group = order[window], group[window]
+    at, group = order[window], group[window].astype(np.int64)
+    total = len(symbols)
+    del symbols, to_end, order, window
     own = segment[at]
     offset = at - (ends - size)[own]
     rank = np.empty(len(segments), np.int64)
@@ -240,7 +243,7 @@ def repeated_windows(segments: list[bytes], docs: np.ndarray, rids: np.ndarray,
     # within a document, segments hold windows that come one after the other: their order is their windows'
     earlier = np.empty(len(segments), np.int64)
     earlier[np.lexsort((places, rank))] = np.arange(len(segments))
-    sort = _order(len(symbols), group, earlier[own])
+    sort = _order(total, group, earlier[own])
     later = np.concatenate([[False], group[sort][1:] == group[sort][:-1]])
     own, offset = own[sort][later], offset[sort][later]
     sort = np.argsort((own.astype(np.int64) << 32) | offset)
