@@ -12,6 +12,28 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(clean, r"\n{3,}", "\n\n"), r"^[ \t\n]+|[ \t\n]+$", "")
 
 
+def or_query(text: Column) -> Column:
+    """A search that any word satisfies: no leading minus signs, no quotation marks around words."""
+    words = F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: F.regexp_replace(w, '^[-"]+|"+$', ""))
+    return F.array_join(F.filter(words, lambda w: w != ""), " OR ")
+
+
+def row_text(cells: Column) -> Column:
+    """Cells as `a | b`, white space within them collapsed."""
+    return F.array_join(F.transform(cells, lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))), " | ")
+
+
+def history_tail(text: Column, most: int = 600) -> Column:
+    """The last characters of a turn, marked where its start is cut; null if blank."""
+    body = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(body != "", F.when(F.length(body) > most, F.concat(F.lit("[…]"), F.right(body, F.lit(most)))).otherwise(body))
+
+
+def budget_percent(used: Column, window: int = 10_400) -> Column:
+    """Share of the context window in percent, to one place, 100 at most."""
+    return F.least(F.bround(100 * used / F.lit(float(window)), 1), F.lit(100.0))
+
+
 def score_band(score: Column) -> Column:
     return F.when(score >= 0.9, "good").when(score >= 0.8, "warn").otherwise("bad")
 

@@ -36,6 +36,14 @@ def newest_kept(df: DataFrame, key: str, order: list, keep: int) -> DataFrame:
     return df.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("n") <= keep)
 
 
+def oldest_beyond(df: DataFrame, at: str, key: str, days: int, batch: int) -> DataFrame:
+    """The `batch` oldest rows of over `days` before the newest one; none where days is 0."""
+    if not days:
+        return df.limit(0)
+    cut = df.agg((F.max(at) - F.expr(f"INTERVAL {days} DAYS")).alias("__cut"))  # one row
+    return df.join(F.broadcast(cut), F.col(at) < F.col("__cut")).orderBy(at, key).limit(batch).drop("__cut")
+
+
 def token_estimate(text: Column) -> Column:
     """A token for every four characters begun."""
     return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4.0).cast("long")

@@ -64,6 +64,25 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int = 60, top: int = 30) -> Dat
     return top_by(both.withColumn("score", F.round(share("dense_rank") + share("sparse_rank"), 9)), "query_id", [F.desc("score"), "id"], top)
 
 
+def merge_probes(ranked: DataFrame, k: int = 60, top: int = 50) -> DataFrame:
+    """Fusion over a question's probes (question_id, probe, id, rank): the sum of 1 / (k + rank), the best rank, the number of probes; ties by id."""
+    best = ranked.groupBy("question_id", "probe", "id").agg(F.min("rank").alias("rank"))
+    merged = best.groupBy("question_id", "id").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 9).alias("score"), F.min("rank").alias("best_rank"), F.count(F.lit(1)).alias("probes"))
+    return top_by(merged, "question_id", [F.desc("score"), "id"], top)
+
+
+def rerank_by_overlap(candidates: DataFrame, docs: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """(query_id, id, position, overlap, rank): candidates by the share of the query's distinct terms that they hold, then by position.
+
+    Only candidates' texts are read for it: they are few to a query, and meet their terms by id.
+    """
+    asked = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("asked"))
+    words = docs.join(candidates.select("id").distinct(), "id", "left_semi").select("id", F.array_distinct(terms(F.col("text"))).alias("words"))
+    both = candidates.select("query_id", "id", F.col("rank").alias("position")).join(words, "id").join(asked, "query_id")
+    overlap = F.round(F.size(F.array_intersect("asked", "words")) / F.size("asked"), 6)
+    return top_by(both.select("query_id", "id", "position", overlap.alias("overlap")), "query_id", [F.desc("overlap"), "position"], n)
+
+
 def drop_neighbours(hits: DataFrame) -> DataFrame:
     """Greedy, in rank order: a hit goes if a kept one is the chunk before or after it in the same block.
 

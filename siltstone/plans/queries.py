@@ -1,31 +1,17 @@
-"""Queries of the document-retrieval surface over the driver's tables, and the same in SQL.
-
-The driver's documents stand for the engine's: owner = source, a knowledge base for each language
-(English is global), searchable = 20 characters or more, deleted = the text says "Draft".
-"""
+"""Queries of the document-retrieval surface over the driver's tables, and the same in SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
 from siltstone.operators import access, operations, retrieval
+from siltstone.plans import ingestion, ranking
+from siltstone.plans.tables import CATALOG, UNIT, catalog, table, vectors
 
 QUOTA = 500_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), "text", F.col("source").alias("owner"), F.col("lang").alias("kb_id"), "n_chars",
-        (F.col("n_chars") >= 20).alias("searchable"), F.contains("text", F.lit("Draft")).alias("deleted"),
-    )
-
-
 def access_filter(spark, sf_dir):
     return catalog(spark, sf_dir).filter(access.live()).groupBy("owner").agg(F.count(F.lit(1)).alias("visible"), F.sum("n_chars").alias("chars"))
 
@@ -37,9 +23,9 @@ def ambient_scope(spark, sf_dir):
 
 
 def dense_topk(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    asked = vectors.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
-    return retrieval.dense_top_k(vectors, asked, 50)
+    rows = vectors(spark, sf_dir)
+    asked = rows.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+    return retrieval.dense_top_k(rows, asked, 50)
 
 
 def _questions(spark, sf_dir):
@@ -53,9 +39,9 @@ def sparse_topk(spark, sf_dir):
 def hybrid_search(spark, sf_dir):
     """Each benchmark item as a question, with the vector of the same number: both arms' top 50, fused, top 30."""
     docs = catalog(spark, sf_dir).filter(access.live())
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    rows = vectors(spark, sf_dir)
     asked = _questions(spark, sf_dir)
-    dense = retrieval.dense_top_k(vectors.join(docs.select("id"), "id", "left_semi"), vectors.withColumnRenamed("id", "query_id").join(asked.select("query_id"), "query_id", "left_semi"), 50)
+    dense = retrieval.dense_top_k(rows.join(docs.select("id"), "id", "left_semi"), rows.withColumnRenamed("id", "query_id").join(asked.select("query_id"), "query_id", "left_semi"), 50)
     return retrieval.fuse(dense, retrieval.lexical_top_k(docs, asked, 50)).select("query_id", "id", "dense_rank", "sparse_rank", "score", "rank")
 
 
@@ -156,11 +142,8 @@ def event_windows(spark, sf_dir):
     return per_hour.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-_CATALOG = """catalog AS (SELECT doc_id AS id, text, source AS owner, lang AS kb_id, n_chars, n_chars >= 20 AS searchable, contains(text, 'Draft') AS deleted FROM documents),
-live AS (SELECT * FROM catalog WHERE coalesce(searchable, false) AND NOT coalesce(deleted, false))"""
 _DENSE = """scored AS (SELECT q.id AS query_id, v.id, round(list_sum(list_transform(list_zip(q.u, v.u), lambda p: p[1] * p[2])), 6) AS score FROM {queries} q CROSS JOIN {vectors} v),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 50)"""
-_UNIT = """unit AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS u FROM embeddings)"""
 _SPARSE = """found AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM live) GROUP BY ALL),
 asked AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark)),
 sparse AS (SELECT query_id, id, CAST(sum(n) AS BIGINT) AS score, row_number() OVER (PARTITION BY query_id ORDER BY sum(n) DESC, id) AS rank FROM found JOIN asked USING (term) GROUP BY query_id, id QUALIFY rank <= 50)"""
@@ -170,12 +153,12 @@ _COVER = r"""SELECT conv_id, turn, CASE WHEN len(s) > 0 THEN len(list_filter(s,
   SELECT conv_id, turn, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: len(list_filter(regexp_split_to_array(regexp_replace(x, '\[[0-9]+\]', ' ', 'g'), '\s+'), lambda w: w <> '')) >= 4) AS s
   FROM conversations WHERE role = 'assistant')"""
 
-SQL = {
-    "access_filter": f"WITH {_CATALOG} SELECT owner, count(*) AS visible, CAST(sum(n_chars) AS BIGINT) AS chars FROM live GROUP BY owner",
-    "ambient_scope": f"WITH {_CATALOG} SELECT id, kb_id FROM live WHERE kb_id IN ('en', 'de')",
-    "dense_topk": f"WITH {_UNIT}, asked AS (SELECT * FROM unit WHERE id % 100 = 0), {_DENSE.format(queries='asked', vectors='unit')} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM dense",
-    "sparse_topk": f"WITH {_CATALOG}, {_SPARSE} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM sparse",
-    "hybrid_search": f"""WITH {_CATALOG}, {_UNIT}, own AS (SELECT * FROM unit WHERE id IN (SELECT id FROM live)), questions AS (SELECT * FROM unit WHERE id IN (SELECT item_id FROM benchmark)),
+_OWN = {
+    "access_filter": f"WITH {CATALOG} SELECT owner, count(*) AS visible, CAST(sum(n_chars) AS BIGINT) AS chars FROM live GROUP BY owner",
+    "ambient_scope": f"WITH {CATALOG} SELECT id, kb_id FROM live WHERE kb_id IN ('en', 'de')",
+    "dense_topk": f"WITH {UNIT}, asked AS (SELECT * FROM unit WHERE id % 100 = 0), {_DENSE.format(queries='asked', vectors='unit')} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM dense",
+    "sparse_topk": f"WITH {CATALOG}, {_SPARSE} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM sparse",
+    "hybrid_search": f"""WITH {CATALOG}, {UNIT}, own AS (SELECT * FROM unit WHERE id IN (SELECT id FROM live)), questions AS (SELECT * FROM unit WHERE id IN (SELECT item_id FROM benchmark)),
 {_DENSE.format(queries='questions', vectors='own')}, {_SPARSE},
 both_arms AS (SELECT query_id, id, CAST(d.rank AS INTEGER) AS dense_rank, CAST(s.rank AS INTEGER) AS sparse_rank, round(coalesce(CAST(1 AS DOUBLE) / (60 + d.rank), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + s.rank), 0), 9) AS score FROM dense d FULL JOIN sparse s USING (query_id, id))
 SELECT query_id, id, dense_rank, sparse_rank, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM both_arms QUALIFY rank <= 30""",
@@ -186,10 +169,10 @@ SELECT query_id, id, dense_rank, sparse_rank, score, CAST(row_number() OVER (PAR
     "message_tail": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4",
     "preceding_user": "SELECT conv_id, turn, asked_at FROM (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked_at FROM conversations) WHERE role = 'assistant'",
     "latest_answer": "SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
-    "owner_quota": f"WITH {_CATALOG} SELECT owner, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS bytes, sum(n_chars) > {QUOTA} AS over_quota FROM live GROUP BY owner",
+    "owner_quota": f"WITH {CATALOG} SELECT owner, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS bytes, sum(n_chars) > {QUOTA} AS over_quota FROM live GROUP BY owner",
     "checksum_duplicates": "SELECT sha256(text) AS checksum, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY sha256(text) HAVING count(*) > 1",
-    "drift_report": f"WITH {_CATALOG}, {_DRIFT} SELECT * FROM drift",
-    "drift_totals": f"WITH {_CATALOG}, {_DRIFT} SELECT count(*) AS owners, CAST(coalesce(sum(stale), 0) AS BIGINT) AS stale FROM drift",
+    "drift_report": f"WITH {CATALOG}, {_DRIFT} SELECT * FROM drift",
+    "drift_totals": f"WITH {CATALOG}, {_DRIFT} SELECT count(*) AS owners, CAST(coalesce(sum(stale), 0) AS BIGINT) AS stale FROM drift",
     "open_job_anti": "SELECT user_id, count(*) AS purchases FROM events WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id IS NOT NULL) GROUP BY user_id",
     "checkpoint_keep_n": "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS n FROM events QUALIFY n <= 3",
     "json_props": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGINT) AS total, count(*) FILTER (WHERE json_extract(props, '$.k') IS NULL) AS missing FROM events GROUP BY event_type",
@@ -202,5 +185,8 @@ SELECT query_id, id, dense_rank, sparse_rank, score, CAST(row_number() OVER (PAR
 }
 
 
+SQL = {**_OWN, **ranking.SQL, **ingestion.SQL}
+
+
 def queries() -> dict:
-    return {name: globals()[name] for name in SQL}
+    return {name: globals()[name] for name in _OWN} | ranking.queries() | ingestion.queries()
