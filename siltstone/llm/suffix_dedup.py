@@ -9,7 +9,8 @@ windows have equal anchors at equal places in them, so windows are dealt by thei
 consecutive windows with one anchor travel as one segment of at most 2 * length bytes. Before any
 text moves, hashes and places stream by in order: of equal segments (128 bits of hash) all but the
 earliest are repeats in full, whatever their number, and an anchor that is left with one segment
-holds no other equal windows. The text of the remaining segments, and only theirs, goes on.
+holds no other equal windows. Each task drops such repeats from its own buffers before the shuffle,
+so a passage in a third of all rows sends a row for each buffer, not for each copy. The text of the remaining segments, and only theirs, goes on.
 
 Classes. The distinct segments of a batch of whole anchor groups (about BATCH_BYTES) form one
 string with unique ends. From its suffix array comes the Burrows-Wheeler transform, and a
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -42,7 +44,7 @@ LENGTH, GRAM = 100, 16
 #: Groups are searched in batches of about so many bytes of segments; a single group of more than GROUP_BYTES isn't held.
 BATCH_BYTES, GROUP_BYTES = 1_000_000, 4_000_000
 #: Longer texts are searched for anchors in slices of this many windows.
-SLICE = 1 << 20
+SLICE = (1 << 20) - 1
 _AT = 20  # bits of a window count in a packed place
 _ID = 21  # bits of a place within most batches
 _LOW = (1 << _ID) - 1
@@ -87,10 +89,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return hashes[place[first]], own[first], np.diff(np.append(first, len(own)))
 
 
+def _runs(begin: np.ndarray, stop: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans in the order of their begins, those of one row that touch made one: begin, stop, row."""
+    if not len(begin):
+        return begin, stop, row
+    reach = np.maximum.accumulate(stop)
+    head = np.flatnonzero(np.concatenate([[True], (begin[1:] > reach[:-1]) | (row[1:] != row[:-1])]))
+    return begin[head], reach[np.append(head[1:], len(begin)) - 1], row[head]
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Segments' hashes and places. Of equal ones in a buffer the earliest goes on; the others are repeats already (h null), as few spans."""
     for batch in batches:
         for a, b in by_bytes(batch.column("text")):
-            rid = batch.column("rid").slice(a, b - a).to_numpy()
+            docs = batch.column("doc_id").slice(a, b - a)
+            rid, doc = batch.column("rid").slice(a, b - a).to_numpy(), docs.fill_null(np.iinfo(np.int64).min).to_numpy()
             data, offsets = flat(batch.column("text").slice(a, b - a))
             step = SLICE if b - a == 1 else max(len(data), 1)  # a single row may be very long
             for lo in range(0, len(data), step):
@@ -99,7 +112,21 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
                 row = np.searchsorted(offsets, at + lo, "right") - 1
                 packed = ((at + lo - offsets[row]) << _AT) | n
                 whole = span_hashes(part, at, at + n - 1 + length)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), batch.column("doc_id").slice(a, b - a).take(pa.array(row)), pa.array(rid[row]), pa.array(packed)], ["h", "whole", "doc_id", "rid", "at"])
+                order = np.lexsort((packed, rid[row], doc[row], whole, h))
+                same = np.zeros(len(order), bool)
+                same[1:] = (h[order][1:] == h[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+                first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+                again = np.sort(order[same & ((rid[row][order] != rid[row][first]) | (packed[order] != packed[first]))])
+                go = order[~same]
+                begin, stop, of = _runs(at[again], at[again] + n[again] - 1 + length, row[again])
+                gone = ((begin + lo - offsets[of]) << _AT) | (stop - begin - length + 1)
+                null = np.arange(len(go) + len(of)) >= len(go)
+                both = np.append(row[go], of)
+                pad = np.zeros(len(of), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(h[go].view(np.int64), pad), mask=null), pa.array(np.append(whole[go].view(np.int64), pad)), docs.take(pa.array(both)), pa.array(rid[both]), pa.array(np.append(packed[go], gone))],
+                    ["h", "whole", "doc_id", "rid", "at"],
+                )
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +134,14 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Equal segments (equal h and whole, 128 bits of hash) after the first are repeats in full: h null.
     First ones go on if their anchor has another segment too. One row is held between batches.
+    Rows whose h is null are repeats and pass.
     """
     held = None  # the last segment's first row, whether its group has several, and the group's first row while it hasn't
     for batch in batches:
+        known = batch.column("h").is_null()
+        if known.true_count:
+            yield batch.filter(known).select(["h", "rid", "at"])
+            batch = batch.filter(pc.invert(known))
         if not batch.num_rows:
             continue
         h, whole, rid, at = (batch.column(k).to_numpy() for k in ("h", "whole", "rid", "at"))
@@ -357,7 +389,7 @@ def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length
     """(rid, spans): byte spans to remove from each document that has any; rid is xxhash64 of its id and text."""
     docs = keyed(df, doc_id, text, "__rid").select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col("__rid").alias("rid"))
     found = docs.mapInArrow(lambda batches: _anchor_rows(batches, length), "h bigint, whole bigint, doc_id bigint, rid bigint, at bigint")
-    again = found.repartition("h").sortWithinPartitions("h", "whole", "doc_id", "rid", "at").mapInArrow(_collapse, "h bigint, rid bigint, at bigint")
+    again = found.repartition(F.coalesce("h", "rid")).sortWithinPartitions("h", "whole", "doc_id", "rid", "at").mapInArrow(_collapse, "h bigint, rid bigint, at bigint")
     places = again.groupBy("rid").agg(F.collect_list(F.struct("h", "at")).alias("places"))  # bounded by the document's own length
     cut = docs.join(places, "rid").select("doc_id", "rid", "text", "places").mapInArrow(lambda batches: _segment_rows(batches, length), "h bigint, segment binary, doc_id bigint, rid bigint, at bigint")
     dealt = cut.repartition(F.coalesce("h", "rid")).sortWithinPartitions("h", "segment", "doc_id", "rid", "at")

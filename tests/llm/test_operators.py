@@ -283,3 +283,9 @@ def test_rank_form_gives_the_tokenizers_ids():
     assert enc is not None
     for text in [x or "" for _, x in ODD] + ["<|endoftext|> it's  \n\n they'll've", json.dumps({"a": [1, 2.5]}) * 50]:
         assert packing.ids_of(TOKENIZER, enc, text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_suffix_dedup_of_one_letter_beyond_a_slice(spark):
+    n = suffix_dedup.SLICE + 5_000
+    rows = suffix_dedup.deduplicate(spark.createDataFrame([(1, "a" * n), (2, "b" * 99), (3, "a" * 150)], "doc_id long, text string")).select("doc_id", F.octet_length("kept_bytes").alias("n"), F.size("spans").alias("s")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == [(1, 1, 1), (2, 99, 0), (3, 0, 1)]
