@@ -13,6 +13,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -22,6 +23,8 @@ from pyspark.sql.functions import arrow_udf
 
 #: Texts of more characters than this are cut at safe boundaries before encoding.
 LONG_TEXT = 1 << 16
+#: Ids are decoded in runs of this many.
+LONG_IDS = 1 << 16
 #: A place before a space that follows a letter or digit: no match of the pattern crosses it.
 SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?= )")
 
@@ -42,12 +45,18 @@ def safe_pieces(text: str, most: int = LONG_TEXT) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-def encode_text(enc: tiktoken.Encoding, text: str | None) -> list[int]:
+def encode_text(enc: tiktoken.Encoding, text: str | None) -> np.ndarray:
+    """The text's ids; Python numbers exist for one piece at a time only."""
     if not text:
-        return []
-    if len(text) <= LONG_TEXT:
-        return enc.encode_ordinary(text)
-    return [i for piece in safe_pieces(text) for i in enc.encode_ordinary(piece)]
+        return np.zeros(0, np.int32)
+    pieces = safe_pieces(text) if len(text) > LONG_TEXT else (text,)
+    return np.concatenate([np.array(enc.encode_ordinary(piece), np.int32) for piece in pieces])
+
+
+def int_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """array<int> of the rows, from one flat buffer."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
 
 def encode(df: DataFrame, rank_file: str, pattern: str, *, text: str = "text", out: str = "ids") -> DataFrame:
@@ -57,7 +66,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, *, text: str = "text", o
     def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoding(rank_file, pattern)
         for batch in texts:
-            yield pa.array([encode_text(enc, x.as_py()) for x in batch], pa.list_(pa.int32()))
+            yield int_lists([encode_text(enc, x.as_py()) for x in batch])
 
     return df.withColumn(out, ids(F.col(text)))
 
@@ -69,6 +78,7 @@ def decode(df: DataFrame, rank_file: str, pattern: str, *, ids: str = "ids", out
     def raw(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoding(rank_file, pattern)
         for batch in lists:
-            yield pa.array([enc.decode_bytes(x.as_py() or []) for x in batch], pa.binary())
+            rows = (x.values.to_numpy(zero_copy_only=False) if x.is_valid else () for x in batch)
+            yield pa.array([b"".join(enc.decode_bytes(x[k : k + LONG_IDS].tolist()) for k in range(0, len(x), LONG_IDS)) for x in rows], pa.binary())
 
     return df.withColumn(out, raw(F.col(ids)))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from siltstone.llm.bpe import SAFE, encode_text, encoding
+from siltstone.llm.bpe import SAFE, encode_text, encoding, int_lists
 
 #: A leaf has at least this many characters, and ends at the next safe boundary.
 LEAF_CHARS = 256
@@ -121,6 +122,14 @@ class CountTree:
         self._put(first, new)
 
 
+def _trees(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([int_lists([chars for chars, _ in found]), int_lists([tokens for _, tokens in found])], ["chars", "tokens"])
+
+
+def _numbers(doc: CountTree) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(doc.chars, np.int32), np.array(doc.tokens, np.int32)
+
+
 def count_tokens(df: DataFrame, rank_file: str, pattern: str, *, text: str = "text", out: str = "tree") -> DataFrame:
     """df with `out`, the document's trees; tokens[1] of it is the whole text's count."""
 
@@ -128,8 +137,7 @@ def count_tokens(df: DataFrame, rank_file: str, pattern: str, *, text: str = "te
     def build(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoding(rank_file, pattern)
         for batch in texts:
-            trees = [CountTree(enc, x.as_py() or "") for x in batch]
-            yield pa.StructArray.from_arrays([pa.array([t.chars for t in trees], pa.list_(pa.int32())), pa.array([t.tokens for t in trees], pa.list_(pa.int32()))], ["chars", "tokens"])
+            yield _trees([_numbers(CountTree(enc, x.as_py() or "")) for x in batch])
 
     return df.withColumn(out, build(F.col(text)))
 
@@ -140,16 +148,18 @@ def apply_edits(df: DataFrame, rank_file: str, pattern: str, *, text: str = "tex
     @arrow_udf(EDITED)
     def edit(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         enc = encoding(rank_file, pattern)
-        kind = pa.struct([("n_tokens", pa.int64()), ("reencoded_chars", pa.int64()), ("text", pa.string()), ("tree", pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))]))])
         for texts, trees, lists in batches:
-            rows = []
+            counts, reencoded, after, numbers = [], [], [], []
             for x, t, changes in zip(texts, trees, lists):
                 known = t.as_py()
                 doc = CountTree(enc, x.as_py() or "", *((known["chars"], known["tokens"]) if known else ()))
                 for e in changes.as_py() or ():
                     if e is not None:
                         doc.edit(e["position"], e["length"], e["replacement"])
-                rows.append({"n_tokens": doc.tokens[1], "reencoded_chars": doc.reencoded, "text": doc.text, "tree": {"chars": doc.chars, "tokens": doc.tokens}})
-            yield pa.array(rows, kind)
+                counts.append(doc.tokens[1])
+                reencoded.append(doc.reencoded)
+                after.append(doc.text)
+                numbers.append(_numbers(doc))
+            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(reencoded, pa.int64()), pa.array(after, pa.string()), _trees(numbers)], ["n_tokens", "reencoded_chars", "text", "tree"])
 
     return df.withColumn(out, edit(F.col(text), F.col(tree), F.col(edits)))
