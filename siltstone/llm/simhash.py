@@ -38,6 +38,8 @@ from siltstone.llm._common import fresh, materialize
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Posting lists of up to this many fingerprints are compared pair by pair.
 SMALL = 512
+#: A node with over FEW rows, and over 1 / HOT of all rows, meets its smallest neighbour by broadcast: fewer than HOT nodes have so many.
+FEW, HOT = 64, 512
 _HALVES = [c for half in (range(4), range(4, 8)) for c in combinations(half, 3)]
 
 
@@ -208,22 +210,35 @@ def near_links(prints: DataFrame, *, distance: int = DISTANCE, small: int = SMAL
     return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
+def _with_least(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows (u, v) with m, the smallest of u and its v.
+
+    Minima are combined before their shuffle. The rows of a hub don't go to one task: hubs, fewer
+    than HOT by the count above which they are ones, are broadcast, and only the rest is dealt by u.
+    """
+    least = rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("size"))
+    hub = F.col("size") > max(FEW, n // HOT)
+    met = rows.join(F.broadcast(least.filter(hub).select("u", "m")), "u", "left")
+    rest = met.filter("m IS NULL").select("u", "v").join(least.filter(~hub).select("u", "m"), "u")
+    return met.filter("m IS NOT NULL").unionByName(rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links: the smallest node that it is connected with."""
-    links, before = materialize(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    links = materialize(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = lambda: links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = state()
     while True:
         # large star: each node's greater neighbours move to its smallest neighbour
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(_with_least(both, 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: a node and its smaller neighbours move to the smallest of these
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = _with_least(large, before[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = materialize(small.filter("u != v").distinct())
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        now = state()
+        if now == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
+        before = now
 
 
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, keep_text: bool = True, fingerprint: str = "fingerprint", component: str = "component_id", first: str = "is_first") -> DataFrame:
