@@ -8,15 +8,16 @@ with the corpus; nothing is sampled.
 Filter. A count c is quantised to level 1 + floor(log c / log BASE). An n-gram of level q is put into
 the filter q times, as (n-gram, 1) to (n-gram, q), so its level is read back by probing level by
 level until the first miss. Pairs seen once are left to the smoothing. A range of the hash space
-is a segment of the filter, built in the task that holds the range. The filter has BITS_PER_KEY bits
-for each key up to MAX_FILTER_BYTES in all, which bounds what is broadcast; beyond that, it gets
-denser and more probes are false.
+is a segment of the filter, built in the task that holds the range, with BITS_PER_KEY bits for each
+key at every size of the corpus. The filter is never in one place and nothing of it is broadcast.
 
-Scores. P(w | v) = (1 - s) min(c(v, w) / c(v), 1) + s (c(w) + 1) / (N + V + 1), with counts from the
-filter and s the share of pairs seen once (Good and Turing's mass of the unseen).
+Probes. The texts to score are cut into blocks of about BLOCK_TOKENS tokens. A block asks each segment
+once for those of its words and pairs that fall there, however often they occur; the asks go to the
+segments in one shuffle, and the levels and the words' exact counts come back to the block in another.
 
-Base score. Exact counts of up to HEAD of the commonest words are broadcast (a proven bound); the
-other words of the texts meet their counts in a join.
+Scores. P(w | v) = (1 - s) min(c(v, w) / c(v), 1) + s (c(w) + 1) / (N + V + 1), with counts from the
+filter and s the share of pairs seen once (Good and Turing's mass of the unseen). The base score has
+the exact counts of words.
 
 Words are identified by 64-bit hashes and pairs by 48 bits of theirs; with 10^8 distinct words the
 chance that any two of them collide is below 3 in 10,000.
@@ -32,18 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql import types as T
 
-from siltstone.llm._common import by_bytes, flat, materialize, mix, shuffle_parts, span_hashes, words_of
+from siltstone.llm._common import by_bytes, flat, fresh, materialize, mix, shuffle_parts, span_hashes, words_of
 
-HEAD = 1 << 20
-BASE, BITS_PER_KEY, MAX_FILTER_BYTES, MIN_PAIR_COUNT = 1.5, 10, 64 << 20, 2
+BASE, BITS_PER_KEY, PROBES, MIN_PAIR_COUNT = 1.5, 10, 7, 2
 #: Words counted in a task before its blobs are emitted.
 FLUSH_WORDS = 1 << 21
+#: Tokens of the texts whose probes go out together, and bits of a block's number in its partition.
+BLOCK_TOKENS, BLOCK_BITS = 1 << 20, 36
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-WORD, PAIR = 0, 1
+WORD, PAIR, ASK = 0, 1, 2
 _LEVEL_SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -67,17 +70,31 @@ def pairs(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(words + mix(before)) & ~np.uint64(0xFFFF)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The values' first bytes, then their second ones, and so on."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def _unplanes(data: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _squeeze(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _open(blob: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True) if size else b"", np.uint8)
+
+
 def pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted hashes and their counts: byte planes of differences, compressed."""
-    gaps = np.diff(hashes, prepend=np.uint64(0))
-    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes() + np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-    return pa.compress(planes, codec="zstd", asbytes=True)
+    return _squeeze(_planes(np.diff(hashes, prepend=np.uint64(0))) + _planes(counts.astype("<u8")))
 
 
 def unpack(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(pa.decompress(blob, decompressed_size=16 * n, codec="zstd", asbytes=True), np.uint8)
-    both = [np.ascontiguousarray(x.reshape(8, n).T).view("<u8").ravel() for x in (planes[: 8 * n], planes[8 * n :])]
-    return np.cumsum(both[0], dtype=np.uint64), both[1].astype(np.int64)
+    planes = _open(blob, 16 * n)
+    return np.cumsum(_unplanes(planes[: 8 * n], "<u8"), dtype=np.uint64), _unplanes(planes[8 * n :], "<u8").astype(np.int64)
 
 
 def _add_up(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -194,132 +211,178 @@ def word_keys(words: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """What scoring needs, all of bounded size: the filter, the commonest words' exact counts, and totals."""
+    """What scoring needs besides the table: the number of segments, and totals."""
 
-    def __init__(self, bloom: LogFrequencyFilter, head: np.ndarray, head_counts: np.ndarray, total: int, types: int, unseen: float):
-        self.bloom, self.head, self.head_counts, self.total, self.types, self.unseen = bloom, head, head_counts, total, types, unseen
+    def __init__(self, segments: int, total: int, types: int, unseen: float):
+        self.segments, self.total, self.types, self.unseen = segments, total, types, unseen
 
 
 def fit(df: DataFrame, *, text: str = "text") -> tuple[Model, DataFrame]:
     """A model of the rows of df, and the table of their n-grams' counts (written to the shared folder)."""
-    spark = df.sparkSession
-    segments = 4 * shuffle_parts(spark)
+    segments = 4 * shuffle_parts(df.sparkSession)
     table = materialize(count_ngrams(df, segments, text=text))
     sums = {r["kind"]: r for r in table.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("once").alias("once")).collect()}
     types, total = (sums[WORD]["n"], sums[WORD]["total"]) if sums else (0, 0)
     unseen = min(max(sums[PAIR]["once"] / sums[PAIR]["total"], 0.05), 1.0) if sums else 1.0
+    return Model(segments, total, types, unseen), table
 
-    def by_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                at, many = np.unique(levels(unpack(n, blob.as_py())[1]) if n else np.zeros(0, np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(many)], ["level", "n"])
-
-    tally = lambda kind: {r["level"]: r["n"] for r in table.filter(F.col("kind") == kind).select("n", "blob").mapInArrow(by_level, "level bigint, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    of_words, of_pairs = tally(WORD), tally(PAIR)
-    keys = sum(level * n for level, n in [*of_words.items(), *of_pairs.items()])
-    segment_bits = max(64, min(BITS_PER_KEY * keys, 8 * MAX_FILTER_BYTES) // segments // 8 * 8)
-    probes = int(np.clip(round(segment_bits * segments / max(keys, 1) * np.log(2)), 1, 7))
-    # the head: all words of the highest levels that fit
-    lowest, room = max(of_words, default=0) + 1, HEAD
-    while lowest > 1 and of_words.get(lowest - 1, 0) <= room:
-        lowest -= 1
-        room -= of_words.get(lowest, 0)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of one segment are neighbours; a task holds one segment at a time."""
-        for batch in batches:
-            for kind, segment, n, blob in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if n:
-                    grams, counts = unpack(n, blob)
-                    bits = LogFrequencyFilter.segment(word_keys(grams) if kind == WORD else grams, counts, segment_bits, probes)
-                    yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([bits], pa.binary())], ["segment", "bits"])
 
-    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                grams, counts = unpack(n, blob.as_py()) if n else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                top = levels(counts) >= lowest
-                yield pa.RecordBatch.from_arrays([pa.array(grams[top].view(np.int64)), pa.array(counts[top])], ["h", "c"])
+def pack_block(words: np.ndarray, lengths: np.ndarray) -> bytes:
+    """A block's texts: their lengths in tokens, its distinct words, and each token's place among these."""
+    unique, at = np.unique(words, return_inverse=True)
+    body = _planes(lengths.astype("<u4")) + _planes(np.diff(unique, prepend=np.uint64(0))) + _planes(at.astype("<u4"))
+    return np.array([len(lengths), len(unique), len(at)], "<i8").tobytes() + _squeeze(body)
 
-    bits = np.zeros(segments * segment_bits // 8, np.uint8)
-    for r in table.select("kind", "segment", "n", "blob").mapInArrow(build, "segment int, bits binary").toLocalIterator():
-        a = r["segment"] * segment_bits // 8
-        bits[a : a + segment_bits // 8] |= np.frombuffer(r["bits"], np.uint8)
-    top = table.filter(F.col("kind") == WORD).select("n", "blob").mapInArrow(head, "h bigint, c bigint").toArrow()
-    h = top.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return Model(LogFrequencyFilter(bits, segments, segment_bits, probes), h[order], top.column("c").to_numpy()[order], total, types, unseen), table
 
+def unpack_block(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, each token's place among them, n + 1 offsets of the texts)."""
+    n, u, t = np.frombuffer(blob, "<i8", 3).tolist()
+    body = _open(blob[24:], 4 * n + 8 * u + 4 * t)
+    lengths, gaps, at = _unplanes(body[: 4 * n], "<u4"), _unplanes(body[4 * n : 4 * n + 8 * u], "<u8"), _unplanes(body[4 * n + 8 * u :], "<u4")
+    return np.cumsum(gaps, dtype=np.uint64), at.astype(np.int64), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
-SCORED = "struct<n_tokens:bigint,known:bigint,base:double,score:double,rest:array<struct<h:bigint,n:int>>>"
 
+class Segment:
+    """A range of the hash space: its words' exact counts, and the filter of its words and pairs."""
 
-def _score_batch(model: Model, text: pa.Array) -> tuple:
-    words, offsets = tokens(text)
-    first = offsets[:-1]
-    unique, at = np.unique(words, return_inverse=True)
-    count = np.zeros(len(unique), np.int64)
-    if len(model.head):
-        place = np.minimum(np.searchsorted(model.head, unique), len(model.head) - 1)
-        count = np.where(model.head[place] == unique, model.head_counts[place], 0)
+    def __init__(self, words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray]):
+        self.words, self.counts = words
+        keys, counts = np.concatenate([word_keys(words[0]), pairs[0]]), np.concatenate([words[1], pairs[1]])
+        bits = max(64, -(-BITS_PER_KEY * int(levels(counts).sum()) // 8) * 8)
+        self.bloom = LogFrequencyFilter(np.frombuffer(LogFrequencyFilter.segment(keys, counts, bits, PROBES), np.uint8), 1, bits, PROBES)
+
+    def exact(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        place = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[place] == words, self.counts[place], 0)
+
+
+def score_block(model: Model, blob: bytes, counts: np.ndarray, word_levels: np.ndarray, pair_levels: np.ndarray) -> tuple:
+    """(known, base, score) of each text of a block, by the answers for its distinct words and pairs in their order."""
+    unique, at, offsets = unpack_block(blob)
+    first, words = offsets[:-1], unique[at]
     room = model.total + model.types + 1
-    exact = count[at]
-    base = np.add.reduceat(np.where(exact > 0, np.log10((exact + 1) / room), 0.0), first)
+    exact = counts[at]
+    base = np.add.reduceat(np.log10((exact + 1) / room), first)
     known = np.add.reduceat((exact > 0).astype(np.int64), first)
-    approximate = level_count(model.bloom.level(word_keys(unique)))
+    approximate = level_count(word_levels)
     alone = (np.minimum(approximate, max(model.total, 1)) + 1) / room
     before = np.empty(len(words), np.float64)
     before[1:] = approximate[at[:-1]]
-    before[first] = max(len(model.head_counts) and model.head_counts.max(), 1)
-    end_place = np.searchsorted(unique, END)
-    before[first] = max(approximate[end_place], 1.0)  # a text starts as often as one ends
-    together = level_count(model.bloom.level(pairs(words, offsets)))
+    before[first] = max(approximate[np.searchsorted(unique, END)], 1.0)  # a text starts as often as one ends
+    together = level_count(pair_levels)[np.unique(pairs(words, offsets), return_inverse=True)[1]]
     p = (1 - model.unseen) * np.minimum(together / np.maximum(before, 1.0), 1.0) + model.unseen * alone[at]
-    score = np.add.reduceat(np.log10(p), first)
-    # words that aren't in the head: their hashes and numbers by text
-    rare = np.flatnonzero(exact == 0)
-    row = np.searchsorted(offsets, rare, "right") - 1
-    order = np.lexsort((words[rare], row))
-    r, w = row[order], words[rare][order]
-    new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])) if len(r) else np.zeros(0, np.int64)
-    many = np.diff(np.append(new, len(r)))
-    bounds = np.searchsorted(r[new], np.arange(len(offsets)))
-    rest = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays([pa.array(w[new].view(np.int64)), pa.array(many.astype(np.int32))], ["h", "n"]))
-    return np.diff(offsets), known, base, score, rest
+    return known, base, np.add.reduceat(np.log10(p), first)
 
 
 def score(df: DataFrame, model: Model, table: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of df with n_tokens, n_known, train_tokens, base_score and score of each text."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    segments = model.segments
+    source = df.select(*keep, F.col(text).alias(fresh(df, "__text")[0]))
+    block, place, n_tokens, payload = fresh(source, "__block", "__place", "__n_tokens", "__payload")
+    new = [T.StructField(c, t) for c, t in ((block, T.LongType()), (place, T.IntegerType()), (n_tokens, T.LongType()), (payload, T.BinaryType()))]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with their places in blocks; a block's texts go with its first row."""
+        number, held, size = TaskContext.get().partitionId() << BLOCK_BITS, [], 0
+
+        def out():
+            blob, done = pack_block(np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])), 0
+            for rows, _, lengths in held:
+                n = len(lengths)
+                columns = [pa.array([number] * n, pa.int64()), pa.array(range(done, done + n), pa.int32()), pa.array(lengths, pa.int64()), pa.array([blob if done + k == 0 else None for k in range(n)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *columns], [*rows.schema.names[:-1], block, place, n_tokens, payload])
+                done += n
+            held.clear()
 
-    @arrow_udf(SCORED)
-    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            parts = [_score_batch(shared.value, batch.slice(a, b - a)) for a, b in by_bytes(batch)]
-            columns = [pa.concat_arrays([p[k] if k == 4 else pa.array(p[k]) for p in parts]) for k in range(5)] if parts else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())])))]
-            yield pa.StructArray.from_arrays(columns, ["n_tokens", "known", "base", "score", "rest"])
+        for batch in batches:
+            for a, b in by_bytes(batch.columns[-1]):
+                rows = batch.slice(a, b - a)
+                words, offsets = tokens(rows.columns[-1])
+                held.append((rows, words, np.diff(offsets)))
+                size += len(words)
+                if size >= BLOCK_TOKENS:
+                    yield from out()
+                    number, size = number + 1, 0
+        if held:
+            yield from out()
 
-    scored = df.select(*keep, run(F.col(text)).alias("s")).select(F.monotonically_increasing_id().alias("row"), *keep, "s.*")
-    scored = materialize(scored)
+    kept = [T.StructField(f.name, f.dataType) for f in source.schema.fields[:-1]]
+    rows = materialize(source.mapInArrow(cut, T.StructType([*kept, *new])))
+    blocks = rows.filter(F.col(payload).isNotNull()).select(F.col(block).alias("block"), F.col(payload).alias("blob"))
 
-    def open_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(segments + 1, dtype=np.uint64)
         for batch in batches:
-            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if n:
-                    grams, counts = unpack(n, blob.as_py())
-                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts)], ["h", "c"])
-
-    counts = table.filter(F.col("kind") == WORD).select("n", "blob").mapInArrow(open_up, "h bigint, c bigint")
-    room = float(model.total + model.types + 1)
-    rare = scored.select("row", F.inline("rest")).join(counts, "h", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    by_row = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10((F.col("c") + 1) / F.lit(room))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("found"))
-    return scored.join(by_row, "row", "left").select(
+            for number, blob in zip(batch.column(0), batch.column(1)):
+                unique, at, offsets = unpack_block(blob.as_py())
+                both = [unique, np.unique(pairs(unique[at], offsets))]
+                bounds = [np.searchsorted(segment_of(x, segments), edges) for x in both]
+                out = []
+                for k in range(segments):
+                    w, p = (x[b[k] : b[k + 1]] for x, b in zip(both, bounds))
+                    if len(w) + len(p):
+                        out.append((k, ASK, number.as_py(), len(w), len(p), _squeeze(b"".join(_planes(np.diff(x, prepend=np.uint64(0))) for x in (w, p)))))
+                types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["segment", "kind", "block", "n", "m", "blob"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A segment's counts come before what is asked of it; a task holds one segment at a time."""
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        now, counts, held = None, {}, None
+        for batch in batches:
+            out = []
+            for segment, kind, number, n, m, blob in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5)):
+                if segment != now:
+                    now, counts, held = segment, {}, None
+                if kind != ASK:
+                    counts[kind] = unpack(n, blob.as_py()) if n else none
+                    continue
+                if held is None:
+                    held, counts = Segment(counts.get(WORD, none), counts.get(PAIR, none)), {}
+                body = _open(blob.as_py(), 8 * (n + m))
+                w, p = (np.cumsum(_unplanes(x, "<u8"), dtype=np.uint64) for x in (body[: 8 * n], body[8 * n :]))
+                found = held.bloom.level(np.concatenate([word_keys(w), p])).astype(np.uint8)
+                out.append((number, segment, n, m, _squeeze(_planes(held.exact(w).astype("<u8")) + found.tobytes())))
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], ["block", "segment", "n", "m", "blob"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's texts come first (segment -1), then the answers by segment, which is the order of the hashes."""
+        now, texts, found = None, None, []
+
+        def out():
+            known, base, score = score_block(model, texts, *map(np.concatenate, zip(*found)))
+            n = len(known)
+            return pa.RecordBatch.from_arrays([pa.array([now] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(known), pa.array(base), pa.array(score)], ["b", "p", "known", "base", "score"])
+
+        for batch in batches:
+            for number, segment, n, m, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+                if segment < 0:
+                    if texts is not None:
+                        yield out()
+                    now, texts, found = number, blob.as_py(), []
+                    continue
+                body = _open(blob.as_py(), 9 * n + m)
+                found.append((_unplanes(body[: 8 * n], "<u8").astype(np.int64), body[8 * n : 9 * n].astype(np.int64), body[9 * n :].astype(np.int64)))
+        if texts is not None:
+            yield out()
+
+    zero = F.lit(0).cast("long")
+    counts = table.select("segment", "kind", zero.alias("block"), "n", zero.alias("m"), "blob")
+    asked = blocks.mapInArrow(ask, "segment int, kind int, block bigint, n bigint, m bigint, blob binary")
+    dealt = counts.unionByName(asked).repartition("segment").sortWithinPartitions("segment", "kind")
+    answered = dealt.mapInArrow(answer, "block bigint, segment int, n bigint, m bigint, blob binary")
+    texts = blocks.select("block", F.lit(-1).alias("segment"), zero.alias("n"), zero.alias("m"), "blob")
+    met = texts.unionByName(answered).repartition("block").sortWithinPartitions("block", "segment")
+    b, p, known, base, result = fresh(rows, "__b", "__p", "__known", "__base", "__score")
+    scored = met.mapInArrow(finish, "b bigint, p int, known bigint, base double, score double").toDF(b, p, known, base, result)
+    return rows.drop(payload).join(scored, (F.col(block) == F.col(b)) & (F.col(place) == F.col(p))).select(
         *keep,
-        "n_tokens",
-        (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
+        F.col(n_tokens).alias("n_tokens"),
+        F.col(known).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        F.col(base).alias("base_score"),
+        F.col(result).alias("score"),
     )

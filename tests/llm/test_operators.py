@@ -148,6 +148,48 @@ def test_lm_scores(spark, odd, none):
     assert not lm_bloom.score(none, model, table).collect()
 
 
+def brute_scores(learn, texts, least=1):
+    """(score by the counts' levels, score by the counts) of each text, of a bigram model with all counts in dicts; pairs of under `least` left out."""
+    words = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b"\0"]
+    twos = lambda w: list(zip([None, *w], w))
+    one = collections.Counter(w for t in learn for w in words(t))
+    two = collections.Counter(p for t in learn for p in twos(words(t)))
+    n, room = sum(one.values()), sum(one.values()) + len(one) + 1
+    unseen = min(max(sum(c == 1 for c in two.values()) / n, 0.05), 1.0)
+    two = {p: c for p, c in two.items() if c >= least}
+    one[None] = one[b"\0"]
+    rounded = {c: float(lm_bloom.level_count(lm_bloom.levels(np.array([c])))[0]) for c in {0, *one.values(), *two.values()} if c} | {0: 0.0}
+
+    def total(text, of):
+        p = ((1 - unseen) * min(of(two.get((v, w), 0)) / max(of(one[v]), 1.0), 1.0) + unseen * (min(of(one[w]), n) + 1) / room for v, w in twos(words(text)))
+        return sum(map(math.log10, p))
+
+    return [(total(t, rounded.__getitem__), total(t, float)) for t in texts]
+
+
+def test_filter_keeps_its_bits_per_key_at_any_size():
+    draw = np.random.default_rng(6)
+    keys = np.unique(lm_bloom.mix(np.arange(400_000, dtype=np.uint64)) & ~np.uint64(0xFFFF))
+    known, unseen = keys[::2], keys[1::2]
+    for n in (1_000, len(known)):
+        segment = lm_bloom.Segment((np.zeros(0, np.uint64), np.zeros(0, np.int64)), (known[:n], draw.integers(1, 50, n)))
+        assert segment.bloom.segment_bits >= lm_bloom.BITS_PER_KEY * n and (segment.bloom.level(unseen) > 0).mean() < 0.015
+    assert not hasattr(lm_bloom, "MAX_FILTER_BYTES")
+
+
+@pytest.mark.parametrize("tokens", [1 << 20, 50])
+def test_lm_scores_are_the_same_in_blocks_of_any_size(spark, tokens, monkeypatch):
+    """Texts meet the segments' answers again whatever the blocks are: levels as counted, but for false probes."""
+    monkeypatch.setattr(lm_bloom, "BLOCK_TOKENS", tokens)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(3)
+    model, table = lm_bloom.fit(docs)
+    found = lm_bloom.score(docs, model, table, keep=("doc_id", "text")).collect()
+    want = brute_scores([r.text for r in found], [r.text for r in found], least=getattr(lm_bloom, "MIN_PAIR_COUNT", 1))
+    same = [r.score == pytest.approx(x, rel=1e-9) for r, (x, _) in zip(found, want)]
+    assert len(found) == docs.count() and np.mean(same) > 0.1
+    assert sum(abs(r.score - x) for r, (x, _) in zip(found, want)) <= 0.02 * sum(r.n_tokens for r in found)
+
+
 def test_bloom_levels_hold_counts():
     keys = lm_bloom.mix(np.arange(5000, dtype=np.uint64))
     counts = np.random.default_rng(1).integers(1, 5000, 5000)
