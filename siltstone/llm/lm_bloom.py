@@ -7,7 +7,7 @@ with the corpus; nothing is sampled.
 
 Filter. A count c is quantised to level 1 + floor(log c / log BASE). An n-gram of level q is put into
 the filter q times, as (n-gram, 1) to (n-gram, q), so its level is read back by probing level by
-level until the first miss. Pairs seen once are left to the smoothing. A range of the hash space
+level until the first miss. Every n-gram is in it, those seen once at level 1. A range of the hash space
 is a segment of the filter, built in the task that holds the range, with BITS_PER_KEY bits for each
 key at every size of the corpus. The filter is never in one place and nothing of it is broadcast.
 
@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from siltstone.llm._common import by_bytes, flat, fresh, materialize, mix, shuffle_parts, span_hashes, words_of
 
-BASE, BITS_PER_KEY, PROBES, MIN_PAIR_COUNT = 1.5, 10, 7, 2
+BASE, BITS_PER_KEY, PROBES = 1.5, 10, 7
 #: Words counted in a task before its blobs are emitted.
 FLUSH_WORDS = 1 << 21
 #: Tokens of the texts whose probes go out together, and bits of a block's number in its partition.
@@ -111,7 +111,7 @@ def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
 
 
 def count_ngrams(df: DataFrame, segments: int, *, text: str = "text") -> DataFrame:
-    """(kind, segment, n, total, once, blob): a segment's words or pairs with their counts; pairs seen once only as their number."""
+    """(kind, segment, n, total, once, blob): a segment's words or pairs with their counts, and how many were seen once."""
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +140,6 @@ def count_ngrams(df: DataFrame, segments: int, *, text: str = "text") -> DataFra
         def out():
             grams, counts = _add_up(*map(np.concatenate, zip(*held)))
             total, once = int(counts.sum()), int((counts == 1).sum())
-            if key[0] == PAIR:
-                grams, counts = grams[counts >= MIN_PAIR_COUNT], counts[counts >= MIN_PAIR_COUNT]
             row = (key[0], key[1], len(grams), total, once, pack(grams, counts) if len(grams) else b"")
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])], ["kind", "segment", "n", "total", "once", "blob"])
