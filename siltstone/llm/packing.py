@@ -38,9 +38,13 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
-    return out
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> tuple[str, ...]:
+    """Strings that the file's tokenizer takes out of a text before its splits, such as <|endoftext|>."""
+    return tuple(token.content for token in tokenizer(path).get_added_tokens_decoder().values())
 
 
 def _bytes_of_letters() -> dict[str, int]:
@@ -80,11 +84,16 @@ def as_ranks(path: str, pattern: str) -> tiktoken.Encoding | None:
 
 
 def ids_of(path: str, enc: tiktoken.Encoding | None, text: str) -> np.ndarray:
-    parts = safe_pieces(text) if len(text) > LONG_TEXT else (text,)
-    if enc is not None:
-        found = [enc.encode_to_numpy(x) for x in parts]
-    else:
-        found = [np.array(tokenizer(path).encode(x, add_special_tokens=False).ids, np.uint32) for x in parts]
+    """The ids of Tokenizer.from_file(path).encode(text, add_special_tokens=False); what holds an added token goes to that library."""
+    added = added_tokens(path)
+    # a cut is before a space, so no added token without one is cut
+    whole = len(text) <= LONG_TEXT or any(" " in token for token in added)
+    found = []
+    for x in (text,) if whole else safe_pieces(text):
+        if enc is None or any(token in x for token in added):
+            found.append(np.array(tokenizer(path).encode(x, add_special_tokens=False).ids, np.uint32))
+        else:
+            found.append(enc.encode_to_numpy(x))
     return (found[0] if len(found) == 1 else np.concatenate(found)).astype("<u4")
 
 

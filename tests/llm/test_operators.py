@@ -15,6 +15,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from siltstone.llm import bpe, chat_format, lm_bloom, packing, quality_mil, quality_rules, queries, simhash, suffix_dedup, token_counts, topk
 from siltstone.llm._common import fresh
@@ -345,6 +346,17 @@ def test_rank_form_gives_the_tokenizers_ids():
         assert packing.ids_of(TOKENIZER, enc, text).tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_ids_are_those_of_the_file_as_it_is(spark):
+    plain = Tokenizer.from_file(TOKENIZER)
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n\n y", LONG + "<|endoftext|> it" + LONG, "<|endoftext", "no added token"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = packing.pack(df, TOKENIZER, PATTERN).toPandas().sort_values(["doc_id", "start"])
+    for k, text in enumerate(texts):
+        own = rows[rows.doc_id == k]
+        assert np.frombuffer(b"".join(own.ids), "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_suffix_dedup_of_one_letter_beyond_a_slice(spark):
     n = suffix_dedup.SLICE + 5_000
     rows = suffix_dedup.deduplicate(spark.createDataFrame([(1, "a" * n), (2, "b" * 99), (3, "a" * 150)], "doc_id long, text string")).select("doc_id", F.octet_length("kept_bytes").alias("n"), F.size("spans").alias("s")).orderBy("doc_id").collect()
