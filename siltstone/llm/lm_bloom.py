@@ -195,9 +195,12 @@ class LogFrequencyFilter:
         out, alive, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
         base = segment_of(keys, self.segments) * np.uint64(self.segment_bits)
         while len(alive) and level < 256:
+            salted = mix(keys[alive] + np.array([level], np.uint64) * _LEVEL_SALT)  # positions(), mixed once for all probes
+            step, start = (salted >> np.uint64(32)) | np.uint64(1), base[alive]
             for probe in range(self.probes):
-                at = base[alive] + self.positions(keys[alive], level, probe, self.segment_bits)
-                alive = alive[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                at = start + (salted + np.uint64(probe) * step) % np.uint64(self.segment_bits)
+                hit = (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                alive, salted, step, start = alive[hit], salted[hit], step[hit], start[hit]
             out[alive] = level
             level += 1
         return out
@@ -329,10 +332,23 @@ def score(df: DataFrame, model: Model, table: DataFrame, *, text: str = "text",
         """A segment's counts come before what is asked of it; a task holds one segment at a time."""
         none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         now, counts, held = None, {}, None
+        def probe(held, asked):
+            """The answers to a segment's asks, probed together."""
+            if not asked:
+                return []
+            keys, at = np.unique(np.concatenate([x for _, _, w, p in asked for x in (word_keys(w), p)]), return_inverse=True)
+            found, done, rows = held.bloom.level(keys).astype(np.uint8)[at], 0, []
+            for number, segment, w, p in asked:
+                n, m = len(w), len(p)
+                rows.append((number, segment, n, m, _squeeze(_planes(held.exact(w).astype("<u8")) + found[done : done + n + m].tobytes())))
+                done += n + m
+            return rows
+
         for batch in batches:
-            out = []
+            out, asked, size = [], [], 0
             for segment, kind, number, n, m, blob in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5)):
                 if segment != now:
+                    out, asked, size = out + probe(held, asked), [], 0
                     now, counts, held = segment, {}, None
                 if kind != ASK:
                     counts[kind] = unpack(n, blob.as_py()) if n else none
@@ -341,8 +357,11 @@ def score(df: DataFrame, model: Model, table: DataFrame, *, text: str = "text",
                     held, counts = Segment(counts.get(WORD, none), counts.get(PAIR, none)), {}
                 body = _open(blob.as_py(), 8 * (n + m))
                 w, p = (np.cumsum(_unplanes(x, "<u8"), dtype=np.uint64) for x in (body[: 8 * n], body[8 * n :]))
-                found = held.bloom.level(np.concatenate([word_keys(w), p])).astype(np.uint8)
-                out.append((number, segment, n, m, _squeeze(_planes(held.exact(w).astype("<u8")) + found.tobytes())))
+                asked.append((number, segment, w, p))
+                size += n + m
+                if size >= FLUSH_WORDS:
+                    out, asked, size = out + probe(held, asked), [], 0
+            out += probe(held, asked)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], ["block", "segment", "n", "m", "blob"])
 
