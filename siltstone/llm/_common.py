@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,19 +28,31 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, local mode), a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir; where that is unset in local mode (tests), a temporary one is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("siltstone.checkpoint.dir", None)
     if not found:
-        found = spark.conf.get("siltstone.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltstone-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("siltstone.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage ends there and any executor may be lost."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as Parquet to the shared folder and read back, and the path: lineage ends there and any executor may be lost."""
     path = f"{shared_dir(df.sparkSession)}/siltstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    return written(df)[0]
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table of written() that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

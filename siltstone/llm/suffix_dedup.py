@@ -7,10 +7,13 @@ which windows are equal.
 Co-location. Of the 16-byte grams in a window, the leftmost with the least hash is its anchor. Equal
 windows have equal anchors at equal places in them, so windows are dealt by their anchor's hash;
 consecutive windows with one anchor travel as one segment of at most 2 * length bytes. Before any
-text moves, hashes and places stream by in order: of equal segments (128 bits of hash) all but the
-earliest are repeats in full, whatever their number, and an anchor that is left with one segment
-holds no other equal windows. Each task drops such repeats from its own buffers before the shuffle,
-so a passage in a third of all rows sends a row for each buffer, not for each copy. The text of the remaining segments, and only theirs, goes on.
+text moves, hashes and places stream by in order: of equal segments all but the earliest are repeats
+in full, whatever their number, and an anchor that is left with one segment holds no other equal
+windows. Segments are equal by the anchor's hash and 96 further bits, in two hashes of which one is
+made of the segment's halves: even 10^9 segments of one anchor hold a false pair with a chance below
+10^-10. Each task drops such repeats from its own buffers before the shuffle, so a passage in a third
+of all rows sends a row for each buffer, not for each copy. The text of the remaining segments, and
+only theirs, goes on.
 
 Classes. The distinct segments of a batch of whole anchor groups (about BATCH_BYTES) form one
 string with unique ends. From its suffix array comes the Burrows-Wheeler transform, and a
@@ -24,7 +27,8 @@ more, each by a 128-bit hash of its own bytes, and resolved as sorted runs.
 
 Defined cases: a null or empty text has no bytes and loses none; rows equal in document id and text
 are one document, and get the same result each; rows with one id and different texts are ordered by
-a hash of the text; a null id sorts first; other columns pass unchanged; an empty table gives no rows.
+a hash of the text; a null id sorts first; other columns pass unchanged, new ones get underscores
+where their names are taken; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql import types as T
 
 from siltstone.llm._common import by_bytes, flat, fresh, mix, span_hashes
 
@@ -63,6 +67,13 @@ def _order(n: int, *keys: np.ndarray) -> np.ndarray:
 # ---- anchors ------------------------------------------------------------------------------------
 
 
+def _twice_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of hash of each span, and 32 more that depend on its halves."""
+    middle = (starts + ends) // 2
+    halves = span_hashes(data, starts, middle) + np.uint64(3) * mix(span_hashes(data, middle, ends))
+    return span_hashes(data, starts, ends), (mix(halves) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: the anchor's hash, the first window's place in data, the number of windows."""
     n = len(data)
@@ -102,8 +113,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
     """Segments' hashes and places. Of equal ones in a buffer the earliest goes on; the others are repeats already (h null), as few spans."""
     for batch in batches:
         for a, b in by_bytes(batch.column("text")):
-            docs = batch.column("doc_id").slice(a, b - a)
-            rid, doc = batch.column("rid").slice(a, b - a).to_numpy(), docs.fill_null(np.iinfo(np.int64).min).to_numpy()
+            rid, doc = (batch.column(k).slice(a, b - a).to_numpy() for k in ("rid", "did"))
             data, offsets = flat(batch.column("text").slice(a, b - a))
             step = SLICE if b - a == 1 else max(len(data), 1)  # a single row may be very long
             for lo in range(0, len(data), step):
@@ -111,12 +121,14 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
                 h, at, n = anchors(part, np.array([0, len(part)]) if b - a == 1 else offsets, length)
                 row = np.searchsorted(offsets, at + lo, "right") - 1
                 packed = ((at + lo - offsets[row]) << _AT) | n
-                whole = span_hashes(part, at, at + n - 1 + length)
-                order = np.lexsort((packed, rid[row], doc[row], whole, h))
-                same = np.zeros(len(order), bool)
-                same[1:] = (h[order][1:] == h[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+                whole, more = _twice_hashed(part, at, at + n - 1 + length)
+                order = np.lexsort((packed, rid[row], doc[row], more, whole, h))
+                same = np.ones(len(order), bool)
+                same[:1] = False
+                for x in (h[order], whole[order], more[order]):
+                    same[1:] &= x[1:] == x[:-1]
                 first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-                again = np.sort(order[same & ((rid[row][order] != rid[row][first]) | (packed[order] != packed[first]))])
+                again = np.sort(order[same & ((rid[row][order] != rid[row][first]) | (doc[row][order] != doc[row][first]) | (packed[order] != packed[first]))])
                 go = order[~same]
                 begin, stop, of = _runs(at[again], at[again] + n[again] - 1 + length, row[again])
                 gone = ((begin + lo - offsets[of]) << _AT) | (stop - begin - length + 1)
@@ -124,44 +136,45 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
                 both = np.append(row[go], of)
                 pad = np.zeros(len(of), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(h[go].view(np.int64), pad), mask=null), pa.array(np.append(whole[go].view(np.int64), pad)), docs.take(pa.array(both)), pa.array(rid[both]), pa.array(np.append(packed[go], gone))],
-                    ["h", "whole", "doc_id", "rid", "at"],
+                    [pa.array(np.append(h[go].view(np.int64), pad), mask=null), pa.array(np.append(whole[go].view(np.int64), pad)), pa.array(np.append(more[go], pad.astype(np.int32))), pa.array(doc[both]), pa.array(rid[both]), pa.array(np.append(packed[go], gone))],
+                    ["h", "whole", "more", "did", "rid", "at"],
                 )
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of (h, whole, doc_id, rid, at): those that matter.
+    """Of rows in the order of (h, whole, more, did, rid, at): those that matter.
 
-    Equal segments (equal h and whole, 128 bits of hash) after the first are repeats in full: h null.
+    Equal segments (equal h, whole and more) after the first are repeats in full: h null.
     First ones go on if their anchor has another segment too. One row is held between batches.
     Rows whose h is null are repeats and pass.
     """
+    names = ("h", "whole", "more", "did", "rid", "at")
     held = None  # the last segment's first row, whether its group has several, and the group's first row while it hasn't
     for batch in batches:
         known = batch.column("h").is_null()
         if known.true_count:
-            yield batch.filter(known).select(["h", "rid", "at"])
+            yield batch.filter(known).select(["h", "did", "rid", "at"])
             batch = batch.filter(pc.invert(known))
         if not batch.num_rows:
             continue
-        h, whole, rid, at = (batch.column(k).to_numpy() for k in ("h", "whole", "rid", "at"))
+        rows = [batch.column(k).to_numpy() for k in names]
         if held is not None:
-            h, whole, rid, at = (np.append([x], y) for x, y in zip(held[0], (h, whole, rid, at)))
+            rows = [np.append([x], y) for x, y in zip(held[0], rows)]
+        h, whole, more, did, rid, at = rows
         new_group = np.concatenate([[True], h[1:] != h[:-1]])
-        new = new_group | np.concatenate([[True], whole[1:] != whole[:-1]])
+        new = new_group | np.concatenate([[True], (whole[1:] != whole[:-1]) | (more[1:] != more[:-1])])
         group = np.cumsum(new_group) - 1
         several = np.bincount(group, new) > 1
         if held is not None:
             several[0] |= held[1]
         first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        repeat = ~new & ((rid != rid[first]) | (at != at[first]))
+        repeat = ~new & ((did != did[first]) | (rid != rid[first]) | (at != at[first]))
         go = new & several[group]
         if held is not None:
             go[0] = several[0] and not held[1]  # held back so far
         out = np.flatnonzero(repeat | go)
-        yield pa.RecordBatch.from_arrays([pa.array(h[out], mask=repeat[out]), pa.array(rid[out]), pa.array(at[out])], ["h", "rid", "at"])
-        last = first[-1]
-        held = ((h[last], whole[last], rid[last], at[last]), bool(several[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(h[out], mask=repeat[out]), *(pa.array(x[out]) for x in (did, rid, at))], ["h", "did", "rid", "at"])
+        held = ([x[first[-1]] for x in rows], bool(several[-1]))
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -170,7 +183,7 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
     for batch in batches:
         for a, b in by_bytes(batch.column("text"), 1 << 19):
             part, rows = batch.slice(a, b - a), []
-            for doc, rid, text, places in zip(part.column("doc_id").to_pylist(), part.column("rid").to_pylist(), part.column("text"), part.column("places")):
+            for doc, rid, text, places in zip(part.column("did").to_pylist(), part.column("rid").to_pylist(), part.column("text"), part.column("places")):
                 fields = places.values.flatten()
                 h, packed = fields[0].to_pylist(), fields[1].to_numpy()
                 lo, stop = packed >> _AT, (packed >> _AT) + (packed & ((1 << _AT) - 1)) - 1 + length
@@ -178,7 +191,7 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
                 rows += [(x, data[u:v], doc, rid, u) for x, u, v in zip(h, lo.tolist(), stop.tolist()) if x is not None]
                 gone = np.array([x is None for x in h])
                 rows += [(None, (v - u).to_bytes(8, "little"), doc, rid, u) for u, v in merged(list(zip(lo[gone].tolist(), stop[gone].tolist())))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["h", "segment", "doc_id", "rid", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["h", "segment", "did", "rid", "at"])
 
 
 # ---- classes of equal windows -------------------------------------------------------------------
@@ -287,12 +300,12 @@ def repeated_windows(segments: list[bytes], docs: np.ndarray, rids: np.ndarray,
 
 
 #: Spans (key 0 parts null), and windows of oversized groups, which are told apart by two hashes.
-FOUND = "key bigint, other bigint, doc_id bigint, rid bigint, start int, stop int"
-_FOUND = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+FOUND = "key bigint, other bigint, did bigint, rid bigint, start int, stop int"
+_FOUND = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("did", pa.int64()), ("rid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
 
 def _find(batches: Iterator[pa.RecordBatch], length: int, most: int, most_of_group: int) -> Iterator[pa.RecordBatch]:
-    """Rows come in the order of (h, segment, doc_id, rid, at)."""
+    """Rows come in the order of (h, segment, did, rid, at)."""
     held: list[tuple] = []  # distinct segments with their earliest place: whole groups, then the current one
     whole = held_bytes = group_bytes = 0
     group, last, first_place, oversized = None, None, None, False
@@ -302,8 +315,7 @@ def _find(batches: Iterator[pa.RecordBatch], length: int, most: int, most_of_gro
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, _FOUND)], schema=_FOUND)
 
     def classes(rows):
-        docs = np.array([np.iinfo(np.int64).min if r[1] is None else r[1] for r in rows], np.int64)
-        rids, at = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
+        docs, rids, at = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
         for k, a, b in zip(*(x.tolist() for x in repeated_windows([r[0] for r in rows], docs, rids, at, length))):
             lo = int(at[k])
             out.append((rows[k][2], None, rows[k][1], rows[k][2], lo + a, lo + b + length))
@@ -322,7 +334,7 @@ def _find(batches: Iterator[pa.RecordBatch], length: int, most: int, most_of_gro
                 out.append((rid, None, doc, rid, at, at + int.from_bytes(segment, "little")))
                 continue
             if h == group and segment == last:
-                if (rid, at) != first_place:
+                if (doc, rid, at) != first_place:
                     out.append((rid, None, doc, rid, at, at + len(segment)))
                 continue
             if h != group:
@@ -332,7 +344,7 @@ def _find(batches: Iterator[pa.RecordBatch], length: int, most: int, most_of_gro
                     yield batch_of(out)
                     out = []
                 group, oversized, whole, group_bytes = h, False, len(held), 0
-            last, first_place = segment, (rid, at)
+            last, first_place = segment, (doc, rid, at)
             if oversized:
                 windows(segment, doc, rid, at)
             else:
@@ -356,7 +368,7 @@ def _find(batches: Iterator[pa.RecordBatch], length: int, most: int, most_of_gro
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in the order of (key, other, doc_id, rid, start): spans pass, of equal windows all but the first do."""
+    """Rows come in the order of (key, other, did, rid, start): spans pass, of equal windows all but the first do."""
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -369,7 +381,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last is not None:
             same[0] = (key[0], other[0]) == last
         last = None if span[-1] else (key[-1], other[-1])
-        yield batch.filter(pa.array(span | same)).select(["rid", "start", "stop"])
+        yield batch.filter(pa.array(span | same)).select(["did", "rid", "start", "stop"])
 
 
 # ---- the operator -------------------------------------------------------------------------------
@@ -385,34 +397,44 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, batch_bytes: int = BATCH_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """(rid, spans): byte spans to remove from each document that has any; rid is xxhash64 of its id and text."""
-    docs = keyed(df, doc_id, text, "__rid").select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col("__rid").alias("rid"))
-    found = docs.mapInArrow(lambda batches: _anchor_rows(batches, length), "h bigint, whole bigint, doc_id bigint, rid bigint, at bigint")
-    again = found.repartition(F.coalesce("h", "rid")).sortWithinPartitions("h", "whole", "doc_id", "rid", "at").mapInArrow(_collapse, "h bigint, rid bigint, at bigint")
-    places = again.groupBy("rid").agg(F.collect_list(F.struct("h", "at")).alias("places"))  # bounded by the document's own length
-    cut = docs.join(places, "rid").select("doc_id", "rid", "text", "places").mapInArrow(lambda batches: _segment_rows(batches, length), "h bigint, segment binary, doc_id bigint, rid bigint, at bigint")
-    dealt = cut.repartition(F.coalesce("h", "rid")).sortWithinPartitions("h", "segment", "doc_id", "rid", "at")
-    spans = dealt.mapInArrow(lambda batches: _find(batches, length, batch_bytes, group_bytes), FOUND)
-    spans = spans.repartition("key").sortWithinPartitions("key", "other", "doc_id", "rid", "start").mapInArrow(_resolve, "rid bigint, start int, stop int")
-    return spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+ROW = ("did", "rid")
+
 
+def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """df's columns as c0, c1, ... with what tells documents apart: did, the id (the least number for a null), and rid, a hash of id and text."""
+    names = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    least = F.lit(-(1 << 63)).cast("long")
+    rows = df.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()], F.coalesce(F.col(doc_id).cast("long"), least).alias("did"), F.xxhash64(doc_id, text).alias("rid"), F.col(text).alias("text"))
+    return rows.drop(names[text])
 
-def keyed(df: DataFrame, doc_id: str, text: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.xxhash64(doc_id, text))
+
+def repeats(rows: DataFrame, dealt: DataFrame, *, length: int = LENGTH, batch_bytes: int = BATCH_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(did, rid, spans): byte spans to remove from each document that has any; rows: those of keyed(), dealt: the same dealt by ROW."""
+    found = rows.select(*ROW, "text").mapInArrow(lambda batches: _anchor_rows(batches, length), "h bigint, whole bigint, more int, did bigint, rid bigint, at bigint")
+    again = found.repartition(F.coalesce("h", "rid")).sortWithinPartitions("h", "whole", "more", *ROW, "at").mapInArrow(_collapse, "h bigint, did bigint, rid bigint, at bigint")
+    places = again.groupBy(*ROW).agg(F.collect_list(F.struct("h", "at")).alias("places"))  # bounded by the document's own length
+    # all columns go into this step, though it reads few of them: pruned ones would need an exchange of their own
+    cut = dealt.join(places, list(ROW)).mapInArrow(lambda batches: _segment_rows(batches, length), "h bigint, segment binary, did bigint, rid bigint, at bigint")
+    grouped = cut.repartition(F.coalesce("h", "rid")).sortWithinPartitions("h", "segment", *ROW, "at")
+    spans = grouped.mapInArrow(lambda batches: _find(batches, length, batch_bytes, group_bytes), FOUND)
+    spans = spans.repartition("key").sortWithinPartitions("key", "other", *ROW, "start").mapInArrow(_resolve, "did bigint, rid bigint, start int, stop int")
+    return spans.groupBy(*ROW).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", kept: str = "kept_bytes", kept_text: str = "kept_text", spans: str = "spans", length: int = LENGTH, batch_bytes: int = BATCH_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """df with `kept`, the remaining bytes of the text, `kept_text`, those that are whole characters, and `spans`, the maximal removed runs of bytes."""
-    kept, kept_text, spans, key, rid, raw, done = fresh(df, kept, kept_text, spans, "__key", "__rid", "__raw", "__done")
-    found = repeats(df, doc_id=doc_id, text=text, length=length, batch_bytes=batch_bytes, group_bytes=group_bytes).select(F.col("rid").alias(key), F.col("spans").alias(raw))
+    kept, kept_text, spans = fresh(df, kept, kept_text, spans)
+    rows = keyed(df, doc_id, text)
+    dealt = rows.repartition(*ROW)  # whole rows move once: both joins read this one exchange
+    found = repeats(rows, dealt, length=length, batch_bytes=batch_bytes, group_bytes=group_bytes)
+
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    names = [f"c{k}" for k, c in enumerate(df.columns) if c != text]
 
-    @arrow_udf("struct<kept:binary,text:string,spans:array<struct<start:int,stop:int>>>")
-    def remove(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        for texts, lists in batches:
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             bodies, runs = [], []
-            for x, s in zip(texts, lists):
+            for x, s in zip(batch.column("text"), batch.column("spans")):
                 data, at, rest = (x.as_py() or "").encode(), 0, []
                 gone = merged([(p["start"], p["stop"]) for p in s.as_py() or ()])
                 for a, b in gone:
@@ -420,8 +442,11 @@ def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ke
                     at = b
                 bodies.append(b"".join([*rest, data[at:]]) if gone else data)
                 runs.append([{"start": a, "stop": b} for a, b in gone])
-            yield pa.StructArray.from_arrays([pa.array(bodies, pa.binary()), pa.array([b.decode(errors="ignore") for b in bodies], pa.string()), pa.array(runs, kind)], ["kept", "text", "spans"])
-
-    out = keyed(df, doc_id, text, rid)
-    out = out.join(found, out[rid] == F.col(key), "left").withColumn(done, remove(F.col(text), F.col(raw)))
-    return out.withColumns({kept: F.col(done)["kept"], kept_text: F.col(done)["text"], spans: F.col(done)["spans"]}).drop(rid, key, raw, done)
+            made = [pa.array(bodies, pa.binary()), pa.array([b.decode(errors="ignore") for b in bodies], pa.string()), pa.array(runs, kind)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*names, "text")), *made], [*names, "text", "kept", "rest", "gone"])
+
+    # as a step over whole rows: where a column isn't used further on, the exchange would be pruned for this join alone and not be shared
+    whole = T.StructType([dealt.schema[c] for c in (*names, "text")]).add("kept", T.BinaryType()).add("rest", T.StringType()).add("gone", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType())))
+    out = dealt.join(found, list(ROW), "left").mapInArrow(remove, whole)
+    own = [F.col("text" if c == text else f"c{k}").alias(c) for k, c in enumerate(df.columns)]
+    return out.select(*own, F.col("kept").alias(kept), F.col("rest").alias(kept_text), F.col("gone").alias(spans))
