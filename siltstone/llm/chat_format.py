@@ -83,9 +83,8 @@ def format_conversations(df: DataFrame, *, conv_id: str = "conv_id", turn: str =
             for a, b in by_bytes(whole.column(3)):
                 batch = whole.slice(a, b - a)
                 out, offsets, begin, stop = assemble(batch.column(2), batch.column(3))
-                conv = batch.column(0).to_numpy(zero_copy_only=False)
                 null = np.asarray(batch.column(0).is_null())
-                ids = np.where(null, 0, np.nan_to_num(conv)).astype(np.int64) if null.any() else conv
+                ids = batch.column(0).fill_null(0).to_numpy()  # beside a null too, ids stay whole numbers
                 first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])]))
                 until = np.append(first[1:], len(ids))
                 spoken = np.asarray(batch.column(2).fill_null("").cast(pa.string()).to_pylist(), object) == "assistant"
