@@ -1,10 +1,11 @@
 """Operator 4: byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Texts are whole: a long one is cut only where no pre-token can cross (a letter or digit before a
-space), so the ids are those of one call over the whole text. Decoding returns raw bytes.
+space or a sign), so the ids are those of one call over the whole text. Decoding returns raw bytes.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; a null id list decodes to
-no bytes; rows repeat as they come; other columns pass unchanged, new ones take the names asked for.
+no bytes; rows repeat as they come; other columns pass unchanged, and a new one whose name is taken
+gets underscores; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from siltstone.llm._common import fresh
+
 #: Texts of more characters than this are cut at safe boundaries before encoding.
 LONG_TEXT = 1 << 16
 #: Ids are decoded in runs of this many.
 LONG_IDS = 1 << 16
-#: A place before a space that follows a letter or digit: no match of the pattern crosses it.
-SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?= )")
+#: A place after a letter or digit and before a space, a line end or a sign other than an apostrophe: no match of the pattern crosses it.
+SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}\p{M}'])")
 
 
 @lru_cache(maxsize=4)
@@ -36,10 +39,14 @@ def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def safe_pieces(text: str, most: int = LONG_TEXT) -> Iterator[str]:
+#: The safe places before a space alone.
+SAFE_SPACE = regex.compile(r"(?<=[\p{L}\p{N}])(?= )")
+
+
+def safe_pieces(text: str, most: int = LONG_TEXT, at: regex.Pattern = SAFE) -> Iterator[str]:
     """text in pieces of about `most` characters, cut at safe boundaries only."""
     start = 0
-    while len(text) - start > most and (cut := SAFE.search(text, start + most)):
+    while len(text) - start > most and (cut := at.search(text, start + most)):
         yield text[start : cut.start()]
         start = cut.start()
     yield text[start:] if start else text
@@ -68,7 +75,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, *, text: str = "text", o
         for batch in texts:
             yield int_lists([encode_text(enc, x.as_py()) for x in batch])
 
-    return df.withColumn(out, ids(F.col(text)))
+    return df.withColumn(*fresh(df, out), ids(F.col(text)))
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -81,4 +88,4 @@ def decode(df: DataFrame, rank_file: str, pattern: str, *, ids: str = "ids", out
             rows = (x.values.to_numpy(zero_copy_only=False) if x.is_valid else () for x in batch)
             yield pa.array([b"".join(enc.decode_bytes(x[k : k + LONG_IDS].tolist()) for k in range(0, len(x), LONG_IDS)) for x in rows], pa.binary())
 
-    return df.withColumn(out, raw(F.col(ids)))
+    return df.withColumn(*fresh(df, out), raw(F.col(ids)))

@@ -3,9 +3,11 @@
 Every partition packs its own rows as they stream by: full windows are cut from a long document at
 once; what is left goes to the fill level that makes the sum of squared counts of partially filled
 windows smallest (Csirik et al., "On the Sum-of-Squares Algorithm for Bin Packing"), kept in an
-array of counts by level. When a partition ends, or has MAX_OPEN open windows, the emptiest ones
-are cut up into the gaps of the fullest, so at most one window of a partition is left short.
-No shuffle: only the open windows' ids are held, MAX_OPEN windows at most.
+array of counts by level. Among equal costs the fullest level wins. With MAX_OPEN windows open, the
+emptiest one gives its pieces to the gap of the fullest, and the rule goes on with all the others as
+they are. When a partition ends, its emptiest windows are cut up into the gaps of the fullest, so at
+most one window of a partition is left short. No shuffle: only the open windows' ids are held,
+MAX_OPEN windows at most.
 
 Defined cases: a null or empty text is just the closing id; a null document id is kept as null;
 repeated rows are packed as often as they come; an empty table gives no rows.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.llm._common import by_bytes
-from siltstone.llm.bpe import LONG_TEXT, safe_pieces
+from siltstone.llm.bpe import LONG_TEXT, SAFE_SPACE, safe_pieces
 
 WINDOW = 2048
 MAX_OPEN = 2048
@@ -89,7 +91,7 @@ def ids_of(path: str, enc: tiktoken.Encoding | None, text: str) -> np.ndarray:
     # a cut is before a space, so no added token without one is cut
     whole = len(text) <= LONG_TEXT or any(" " in token for token in added)
     found = []
-    for x in (text,) if whole else safe_pieces(text):
+    for x in (text,) if whole else safe_pieces(text, at=SAFE_SPACE):
         if enc is None or any(token in x for token in added):
             found.append(np.array(tokenizer(path).encode(x, add_special_tokens=False).ids, np.uint32))
         else:
@@ -136,10 +138,35 @@ class Packer:
         if level + size == w:
             self._close(pieces)
         else:
-            self.open[level + size].append(pieces)
-            counts[level + size] += 1
-            if counts.sum() >= self.most_open:
-                self.settle()
+            self._reopen(pieces, level + size)
+            if counts.sum() > self.most_open:
+                self.join_two()
+
+    def join_two(self) -> None:
+        """The emptiest window's pieces, cut where need be, go to the gap of the fullest: one open window fewer."""
+        levels = np.flatnonzero(self.counts)
+        low, high = int(levels[0]), int(levels[-1])
+        giver, taker = self.open[low].pop(0), self.open[high].pop()
+        self.counts[low] -= 1
+        self.counts[high] -= 1
+        gap = self.window - high
+        while gap and giver:
+            doc, start, ids, n = giver.pop()
+            if len(ids) > gap:
+                giver.append((doc, start + gap, ids[gap:], n))
+                ids = ids[:gap]
+            taker.append((doc, start, ids, n))
+            gap -= len(ids)
+        if gap:
+            self._reopen(taker, self.window - gap)
+        else:
+            self._close(taker)
+        if giver:
+            self._reopen(giver, sum(len(p[2]) for p in giver))
+
+    def _reopen(self, pieces: list, level: int) -> None:
+        self.open[level].append(pieces)
+        self.counts[level] += 1
 
     def settle(self) -> None:
         """Cut the emptiest open windows up into the gaps of the fullest; one window at most stays short."""
