@@ -2,15 +2,18 @@
 
 Each document keeps two segment trees over leaves of whole pre-tokens: characters and token counts.
 An edit descends the character tree to the leaf it touches, re-encodes that leaf (with a neighbour
-where the edit made their common boundary unsafe), and updates the sums on the path to the root.
+where the edit made their common boundary unsafe), and updates the sums on the path to the root. A
+leaf that has grown beyond MOST_CHARS is split, and the trees take their new shape over the leaves'
+known counts; a text of one unbroken word stays one leaf, as its count can't be had by parts.
 
-Leaves end where a letter or digit precedes a space: no pre-token crosses such a place, so the sum
-of the leaves' counts is the count of the whole text.
+Leaves end where a letter or digit precedes a space or a sign: no pre-token crosses such a place, so
+the sum of the leaves' counts is the count of the whole text.
 
 Defined cases: a null text counts as empty; edits apply in array order, each to the text that the
 ones before left; a position beyond the end (or a null one) means the end, a negative one the
 start; a null or negative length removes nothing, a null replacement inserts nothing; a null edit
-is skipped and a null list of edits changes nothing. Rows repeat as they come.
+is skipped and a null list of edits changes nothing. Rows repeat as they come; an empty table gives
+no rows; other columns pass unchanged, and a new one whose name is taken gets underscores.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from siltstone.llm._common import fresh
 from siltstone.llm.bpe import SAFE, encode_text, encoding, int_lists
 
 #: A leaf has at least this many characters, and ends at the next safe boundary.
 LEAF_CHARS = 256
+#: A longer leaf is split after an edit, if it has a safe boundary.
+MOST_CHARS = 8 * LEAF_CHARS
 TREE = "struct<chars:array<int>,tokens:array<int>>"
 EDITED = f"struct<n_tokens:bigint,reencoded_chars:bigint,text:string,tree:{TREE}>"
-_ENDS_SAFELY = regex.compile(r"[\p{L}\p{N}]")
 
 
 def leaves_of(text: str) -> list[str]:
@@ -112,14 +117,30 @@ class CountTree:
                 self._put(k, "", count=False)
         # boundary context: a neighbour joins the region where the edit made the place between them unsafe
         before = next((k for k in range(first - 1, -1, -1) if self.leaves[k]), None)
-        if before is not None and new and not (new[0] == " " and _ENDS_SAFELY.match(self.leaves[before][-1])):
+        if before is not None and new and not SAFE.match(self.leaves[before][-1] + new[0], 1):
             new, old, first = self.leaves[before] + new, first, before
             self._put(old, "", count=False)
         after = next((k for k in range(last + 1, len(self.leaves)) if self.leaves[k]), None)
-        if after is not None and new and not (self.leaves[after][0] == " " and _ENDS_SAFELY.match(new[-1])):
+        if after is not None and new and not SAFE.match(new[-1] + self.leaves[after][0], 1):
             new += self.leaves[after]
             self._put(after, "", count=False)
-        self._put(first, new)
+        parts = leaves_of(new) if len(new) > MOST_CHARS else [new]
+        if len(parts) == 1:
+            self._put(first, new)
+        else:
+            self._split(first, parts)
+
+    def _split(self, leaf: int, parts: list[str]) -> None:
+        """Several leaves in place of one: only these are encoded, the trees' sums are added up anew."""
+        width = len(self.chars) // 2
+        counts = [len(encode_text(self.enc, x)) for x in parts]
+        self.reencoded += sum(map(len, parts))
+        held = [(x, n) for x, n in zip(self.leaves, self.tokens[width:])]
+        held[leaf : leaf + 1] = zip(parts, counts)
+        held = [(x, n) for x, n in held if x]
+        self.leaves = [x for x, _ in held]
+        self.chars, self.tokens = _tree([len(x) for x in self.leaves]), _tree([n for _, n in held])
+        self.leaves += [""] * (len(self.chars) // 2 - len(self.leaves))
 
 
 def _trees(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.StructArray:
@@ -139,7 +160,7 @@ def count_tokens(df: DataFrame, rank_file: str, pattern: str, *, text: str = "te
         for batch in texts:
             yield _trees([_numbers(CountTree(enc, x.as_py() or "")) for x in batch])
 
-    return df.withColumn(out, build(F.col(text)))
+    return df.withColumn(*fresh(df, out), build(F.col(text)))
 
 
 def apply_edits(df: DataFrame, rank_file: str, pattern: str, *, text: str = "text", tree: str = "tree", edits: str = "edits", out: str = "edited") -> DataFrame:
@@ -162,4 +183,4 @@ def apply_edits(df: DataFrame, rank_file: str, pattern: str, *, text: str = "tex
                 numbers.append(_numbers(doc))
             yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(reencoded, pa.int64()), pa.array(after, pa.string()), _trees(numbers)], ["n_tokens", "reencoded_chars", "text", "tree"])
 
-    return df.withColumn(out, edit(F.col(text), F.col(tree), F.col(edits)))
+    return df.withColumn(*fresh(df, out), edit(F.col(text), F.col(tree), F.col(edits)))
