@@ -1,19 +1,21 @@
 """Operator 2: a quality classifier by attention-based multiple-instance learning.
 
 A document is a bag of passages of PASSAGE_WORDS words, of which every one is encoded: shares of
-byte classes, word shapes and repetition, through one hidden layer. Gated attention (Ilse, Tomczak
+byte classes, word shapes, repetition and its words (hashed to BUCKETS), through one hidden layer. Gated attention (Ilse, Tomczak
 and Welling, "Attention-based Deep Multiple Instance Learning") weighs the passages, and the weighted
 mean representation is scored. All weights are learned from document labels alone.
 
-Fitting uses a bounded sample: of each label, the SAMPLE documents whose ids hash lowest among
-those that may be learned from, with bags folded to FOLD passages at most (passage i is averaged
-into slot i mod FOLD, so all of a long text counts). Scoring encodes every passage of every text in
-one pass without a shuffle.
+Fitting uses a bounded sample of labelled rows: of each label, the SAMPLE documents whose ids hash
+lowest among those that may be learned from, and of these as many, in that order, as have
+SAMPLE_PASSAGES passages together. Their bags are whole, and are learned from in mini-batches of whole
+bags. Scoring encodes every passage of every text in one pass without a shuffle.
 
 Defined cases: a null or empty text, or one of white space, is one passage without words, and is
 scored like any other; labels with null parts are left out, and of several labels for an id the
-greatest counts; without any label every score is 0.5; repeated rows get the same score; other
-columns pass unchanged and are never inputs.
+greatest counts; of rows with one id the least bag is learned from; without any label, or over an
+empty table, every score is 0.5; repeated rows get the same score; a very long text is encoded in
+slices of rows, alone; other columns pass unchanged and are never inputs, and the score's name gets
+underscores where it is taken.
 """
 
 from __future__ import annotations
@@ -22,14 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from siltstone.llm._common import by_bytes, flat, span_hashes, words_of
+from siltstone.llm._common import by_bytes, flat, fresh, span_hashes, words_of
 
-PASSAGE_WORDS, SAMPLE, FOLD = 50, 3000, 64
-HIDDEN, ATTENTION, STEPS, RATE, DECAY = 16, 8, 240, 0.02, 1e-4
+PASSAGE_WORDS, SAMPLE, SAMPLE_PASSAGES, BUCKETS = 50, 3000, 150_000, 32
+HIDDEN, ATTENTION, RATE, DECAY = 16, 8, 0.02, 1e-4
+#: Passages of a mini-batch (of whole bags), and the least numbers of passes and of steps.
+BATCH_PASSAGES, EPOCHS, STEPS = 8192, 10, 240
 
 _KINDS = 8
 _KIND = np.full(256, 6, np.uint8)  # other signs
@@ -40,7 +44,8 @@ _KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 3
 _KIND[[ord(c) for c in ".,;:?'\"()-"]] = 4
 _KIND[[ord(c) for c in "#*$%&|<>!"]] = 5
 _KIND[128:] = 7
-FEATURES = _KINDS + 9
+_SHAPES = _KINDS + 9
+FEATURES = _SHAPES + BUCKETS
 
 
 def encode_passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +87,8 @@ def encode_passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
         out[:, _KINDS + 6] = share(again)
         out[:, _KINDS + 7] = np.bincount(word_at[order], fresh, total) / np.maximum(words, 1)
         out[:, _KINDS + 8] = np.log1p(words) / 4
+        bucket = word_at * BUCKETS + (hashes % np.uint64(BUCKETS)).astype(np.int64)
+        out[:, _SHAPES:] = np.bincount(bucket, minlength=total * BUCKETS).reshape(total, BUCKETS) / np.maximum(words, 1)[:, None]
     return out, text
 
 
@@ -114,39 +121,44 @@ class AttentionModel:
     def scores(self, x: np.ndarray, bag: np.ndarray) -> np.ndarray:
         return self._forward(x.astype(np.float64), bag)[-1] if len(x) else np.zeros(0)
 
-    def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-        p, x = self.p, x.astype(np.float64)
-        m, v = {k: 0.0 for k in p}, {k: 0.0 for k in p}
-        for step in range(1, STEPS + 1):
-            xs, h, t, s, a, z, first, at, score = self._forward(x, bag)
-            err = (score - y) * weight / weight.sum()
-            dz = err[:, None] * p["c"]
-            da = (dz[at] * h).sum(axis=1)
-            de = a * (da - np.add.reduceat(a * da, first)[at])
-            dg = de[:, None] * p["w"]
-            dt, ds = dg * s * (1 - t**2), dg * t * s * (1 - s)
-            dh = (a[:, None] * dz[at] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h**2)
-            grad = {"W": xs.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ err, "d": err.sum(keepdims=True)}
-            for k, g in grad.items():
-                g = g + DECAY * p[k]
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.999 * v[k] + 0.001 * g * g
-                p[k] = p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    def fit(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 11) -> None:
+        """x: the bags' passages end to end; a step takes whole bags of about BATCH_PASSAGES passages."""
+        stop, draw, steps = np.cumsum(sizes), np.random.default_rng(seed), 0
+        m, v = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}
+        for epoch in range(max(EPOCHS, STEPS)):
+            if epoch >= EPOCHS and steps >= STEPS:
+                break
+            order = draw.permutation(len(sizes))
+            for bags in np.split(order, np.flatnonzero(np.diff(np.cumsum(sizes[order]) // BATCH_PASSAGES)) + 1):
+                rows = np.concatenate([np.arange(stop[b] - sizes[b], stop[b]) for b in bags])
+                steps += 1
+                self._step(x[rows].astype(np.float64), np.repeat(np.arange(len(bags)), sizes[bags]), y[bags], weight[bags], steps, m, v)
+
+    def _step(self, x, bag, y, weight, step: int, m: dict, v: dict) -> None:
+        p = self.p
+        xs, h, t, s, a, z, first, at, score = self._forward(x, bag)
+        err = (score - y) * weight / weight.sum()
+        dz = err[:, None] * p["c"]
+        da = (dz[at] * h).sum(axis=1)
+        de = a * (da - np.add.reduceat(a * da, first)[at])
+        dg = de[:, None] * p["w"]
+        dt, ds = dg * s * (1 - t**2), dg * t * s * (1 - s)
+        dh = (a[:, None] * dz[at] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h**2)
+        grad = {"W": xs.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ err, "d": err.sum(keepdims=True)}
+        for k, g in grad.items():
+            g = g + DECAY * p[k]
+            m[k] = 0.9 * m[k] + 0.1 * g
+            v[k] = 0.999 * v[k] + 0.001 * g * g
+            p[k] = p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
 
 def _bags(text: pa.Array) -> list[np.ndarray]:
     x, of = encode_passages(*flat(text))
-    out = []
-    for bag in np.split(x, np.flatnonzero(np.diff(of)) + 1) if len(x) else []:
-        if len(bag) > FOLD:
-            slot = np.arange(len(bag)) % FOLD
-            bag = np.stack([np.bincount(slot, bag[:, k], FOLD) for k in range(FEATURES)], axis=1) / np.bincount(slot, minlength=FOLD)[:, None]
-        out.append(bag.astype(np.float32).ravel())
-    return out
+    return [bag.ravel() for bag in np.split(x, np.flatnonzero(np.diff(of)) + 1)] if len(x) else []
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> AttentionModel | None:
-    """A model of `label` (0 or 1) fitted on at most `sample` documents of each; None without any."""
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, passages: int = SAMPLE_PASSAGES) -> AttentionModel | None:
+    """A model of `label` (0 or 1) fitted on at most `sample` documents and `passages` passages of each; None without any."""
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg((F.max(label) > 0).cast("int").alias("y"))
     known = known.join(docs.select(F.col(doc_id).alias("id")).distinct(), "id", "left_semi")
     chosen = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
@@ -157,18 +169,19 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
         for batch in texts:
             yield pa.array([b for lo, hi in by_bytes(batch) for b in _bags(batch.slice(lo, hi - lo))], pa.list_(pa.float32()))
 
-    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(chosen, "id").select("id", "y", bags("text").alias("bag")).toArrow().sort_by("id")
+    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(chosen, "id").select("id", "y", bags("text").alias("bag"))
+    found = found.groupBy("id", "y").agg(F.min("bag").alias("bag")).withColumn("n", F.size("bag") / FEATURES)
+    so_far = F.sum("n").over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))  # over at most `sample` rows
+    found = found.withColumn("so_far", so_far).filter(F.col("so_far") <= passages).select("id", "y", "bag").toArrow().sort_by("id")
     if not found.num_rows:
         return None
-    _, unique = np.unique(found.column("id").to_numpy(), return_index=True)  # of rows with one id, one is learned from
-    found = found.take(pa.array(unique))
     flats = found.column("bag").combine_chunks()
     x = flats.flatten().to_numpy().reshape(-1, FEATURES)
-    bag = np.repeat(np.arange(len(flats)), np.diff(flats.offsets.to_numpy()) // FEATURES)
+    sizes = np.diff(flats.offsets.to_numpy()) // FEATURES
     y = found.column("y").to_numpy().astype(np.float64)
     model = AttentionModel(x.mean(axis=0, dtype=np.float64), np.maximum(x.std(axis=0, dtype=np.float64), 1e-3))
     share = np.clip(np.bincount(y.astype(int), minlength=2) / len(y), 1e-9, 1)
-    model.fit(x, bag, y, 0.5 / share[y.astype(int)])
+    model.fit(x, sizes, y, 0.5 / share[y.astype(int)])
     return model
 
 
@@ -183,4 +196,4 @@ def score(df: DataFrame, model: AttentionModel | None, *, text: str = "text", ou
                 parts.append(model.scores(*encode_passages(*flat(batch.slice(lo, hi - lo)))) if model else np.full(hi - lo, 0.5))
             yield pa.array(np.concatenate(parts))
 
-    return df.withColumn(out, run(F.col(text)))
+    return df.withColumn(*fresh(df, out), run(F.col(text)))
