@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from siltstone.llm._common import fresh, materialize
+from siltstone.llm._common import drop_table, fresh, materialize, written
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Posting lists of up to this many fingerprints are compared pair by pair.
@@ -225,16 +225,18 @@ def _with_least(rows: DataFrame, n: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links: the smallest node that it is connected with."""
-    links = materialize(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    links, path = written(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = lambda: links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = state()
     while True:
         # large star: each node's greater neighbours move to its smallest neighbour
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialize(_with_least(both, 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large, large_path = written(_with_least(both, 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        drop_table(links.sparkSession, path)
         # small star: a node and its smaller neighbours move to the smallest of these
         small = _with_least(large, before[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        links = materialize(small.filter("u != v").distinct())
+        links, path = written(small.filter("u != v").distinct())
+        drop_table(links.sparkSession, large_path)
         now = state()
         if now == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -245,15 +247,19 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """df (without the text, if so asked) with each row's fingerprint (signed bigint), its component, and whether it is the component's first row.
 
     A component's id is the smallest document id that links lead to; its first row is that of the
-    least id (nulls before any), and of rows with one id, one.
+    least id (nulls before any), and of rows with one id, one. Names that df has get underscores.
     """
-    fp, row, least, node, root, parent, winner, key = fresh(df, "__fp", "__row", "__least", "node", "root", "__root", "__winner", "__key")
-    marked = fingerprints(df, text=text, out=fp, shingle=shingle).withColumn(row, F.monotonically_increasing_id())
+    fingerprint, component, first, row = fresh(df, fingerprint, component, first, "__row")
+    marked = fingerprints(df, text=text, out=fingerprint, shingle=shingle).withColumn(row, F.monotonically_increasing_id())
     marked = materialize(marked if keep_text else marked.drop(text))
-    prints = materialize(marked.groupBy(fp).agg(F.min(doc_id).alias(least), F.min(F.struct(doc_id, row)).alias(winner)))
-    roots = components(near_links(prints.select(F.col(fp).alias("fp")), distance=distance)).toDF(node, root)
-    rooted = prints.join(roots, prints[fp] == F.col(node), "left").withColumn(parent, F.coalesce(root, fp))
-    per_root = rooted.groupBy(F.col(parent).alias(root)).agg(F.min(least).alias(component), F.min(winner).alias(winner))
-    named = rooted.select(F.col(fp).alias(key), parent).join(per_root, F.col(parent) == F.col(root)).select(key, component, F.col(winner)[row].alias(winner))
-    out = marked.join(named, F.col(fp) == F.col(key))
-    return out.withColumn(first, F.col(row) == F.col(winner)).withColumnRenamed(fp, fingerprint).drop(key, row, winner)
+    narrow = marked.select(F.col(fingerprint).alias("fp"), F.col(row).alias("row"), F.col(doc_id).alias("id"))
+    prints = materialize(narrow.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct("id", "row")).alias("winner")))
+    roots = components(near_links(prints.select("fp"), distance=distance))
+    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").withColumn("parent", F.coalesce("root", "fp")).drop("node", "root")
+    per_root = rooted.groupBy("parent").agg(F.min("least").alias("component"), F.min("winner").alias("winner"))
+    named = rooted.select("fp", "parent").join(per_root, "parent").select("fp", "component", F.col("winner.row").alias("winner"))
+    # documents of one fingerprint, however many, meet its component as rows of numbers; texts are dealt by their row
+    told = narrow.select("fp", "row").join(named, "fp").select(F.col("row").alias("__told"), F.col("component").alias("__component"), (F.col("row") == F.col("winner")).alias("__first"))
+    told = told.toDF(*fresh(marked, "__told", "__component", "__first"))
+    key, own, is_first = told.columns
+    return marked.join(told, F.col(row) == F.col(key)).withColumnsRenamed({own: component, is_first: first}).drop(key, row)
