@@ -61,6 +61,25 @@ def test_chat_is_reversible(spark, tmp_path):
     assert not chat_format.read_back(chat_format.format_conversations(df.filter("false"))).collect()
 
 
+def test_chat_ids_beside_a_null_stay_whole(spark):
+    big = 1 << 53
+    df = spark.createDataFrame([(big, 0, "user", "a"), (big + 1, 0, "user", "b"), (None, 0, "user", "c")], "conv_id long, turn long, role string, text string").coalesce(1)
+    rows = chat_format.read_back(chat_format.format_conversations(df)).collect()
+    assert sorted(((r.conv_id or 0), r.n_turns) for r in rows) == [(0, 1), (big, 1), (big + 1, 1)]
+
+
+def test_classifier_learns_from_whole_bags(spark):
+    """Bags of any length are learned from: only their last passage tells the labels apart."""
+    plain = "plain words of a long report about rivers and towns " * 900
+    rows = [(k, plain + ("and so it ends in peace " * 10 if k % 2 else "$$ ## BUY %% NOW && " * 12)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    model = quality_mil.train(docs, labels)
+    found = quality_mil.score(docs.filter("doc_id >= 40"), model).toPandas()
+    assert ((found.score >= 0.5) == (found.doc_id % 2 == 1)).mean() >= 0.9
+    assert quality_mil.train(docs, labels, passages=1) is None  # no bag fits into the sample
+
+
 def test_classifier_learns_and_takes_odd_rows(spark, odd, none):
     rows = queries.op2_quality(spark, "/root/testdata/sf0.01").toPandas().merge(pd.read_parquet("/root/testdata/sf0.01/labels.parquet"), on="doc_id")
     assert (rows.held_out == [zlib.crc32(str(d).encode()) % 3 == 1 for d in rows.doc_id]).all()
@@ -132,6 +151,32 @@ def test_counts_follow_edits(spark, odd):
         assert r.edited.text == old[:3] + "new " + old[3:] and r.edited.n_tokens == len(enc.encode_ordinary(r.edited.text))
 
 
+def test_leaves_split_after_a_long_insertion():
+    enc = bpe.encoding(RANKS, PATTERN)
+    tree = token_counts.CountTree(enc, "short text, to begin with")
+    tree.edit(6, 0, LONG + "f(x)[i]+=a.b;" * 3000)
+    now, done = tree.text, tree.reencoded
+    assert max(map(len, tree.leaves)) <= token_counts.MOST_CHARS
+    tree.edit(len(now) // 2, 3, "new words")
+    assert tree.reencoded - done <= 2 * token_counts.MOST_CHARS
+    assert tree.tokens[1] == len(enc.encode_ordinary(tree.text)) and tree.chars[1] == len(tree.text)
+
+
+def test_names_that_are_taken(spark, odd, none):
+    """New columns whose names are taken get underscores; those of the input stay as they are."""
+    df = odd.withColumns({"tree": F.lit(1), "edited": F.lit(2), "decoded": F.lit(3), "component_id": F.lit(4), "fingerprint": F.lit(5), "node": F.lit(6), "spans": F.lit(7)})
+    coded = bpe.decode(bpe.encode(df, RANKS, PATTERN), RANKS, PATTERN, ids="ids_")
+    assert all(r.ids == "x" and r.decoded == 3 and bytes(r.decoded_) == (r.text or "").encode() for r in coded.collect())
+    counted = token_counts.count_tokens(df.withColumn("edits", F.expr("array(struct(0 as position, 1 as length, cast(null as string) as replacement))")), RANKS, PATTERN)
+    assert all(r.tree == 1 and r.edited == 2 and r.edited_.text == (r.text or "")[1:] for r in token_counts.apply_edits(counted, RANKS, PATTERN, tree="tree_").collect())
+    assert not token_counts.count_tokens(none, RANKS, PATTERN).collect()
+    found = simhash.near_duplicates(df)
+    assert found.columns[: len(df.columns)] == df.columns and found.columns[len(df.columns) :] == ["fingerprint_", "component_id_", "is_first"]
+    assert all((r.component_id, r.fingerprint, r.node) == (4, 5, 6) for r in found.collect())
+    assert all((r.Score, r.score_) == (1, 0.5) for r in quality_mil.score(df, None).collect())
+    assert all(r.spans == 7 and r.kept == "k" for r in suffix_dedup.deduplicate(df.withColumn("kept_bytes", F.lit(0))).collect())
+
+
 def test_lm_scores(spark, odd, none):
     rows = odd.withColumn("learn", F.coalesce(F.col("doc_id") != 7, F.lit(True)))
     model, table = lm_bloom.fit(rows.filter("learn"))
@@ -323,11 +368,12 @@ def test_packing_holds_every_id_once(spark, odd, none):
 
 def test_packer_leaves_one_short_window_at_most():
     draw = np.random.default_rng(4)
-    for most in (2048, 8):
+    for most in (2048, 40, 8):
         packer = packing.Packer(64, 0, most)
         docs = [np.arange(n, dtype=np.uint32) for n in draw.integers(1, 150, 500)]
         for k, ids in enumerate(docs):
             packer.add(k, ids)
+            assert packer.counts.sum() <= most and [len(x) for x in packer.open] == packer.counts.tolist()
         packer.settle()
         fill = collections.Counter()
         back = collections.defaultdict(dict)
@@ -335,7 +381,7 @@ def test_packer_leaves_one_short_window_at_most():
             assert offset == fill[window]
             fill[window] += length
             back[doc][start] = np.frombuffer(data, "<u4")
-        assert max(fill.values()) <= 64 and (most < 2048 or sum(n < 64 for n in fill.values()) <= 1)
+        assert max(fill.values()) <= 64 and sum(n < 64 for n in fill.values()) <= 1
         assert all(np.concatenate([back[k][s] for s in sorted(back[k])]).tolist() == ids.tolist() for k, ids in enumerate(docs))
 
 
