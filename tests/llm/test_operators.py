@@ -319,7 +319,10 @@ def test_flips_give_the_links_of_pairs():
     assert (simhash._forest(len(values), *simhash.flip_links(values, 3)) == by_pairs).all()
 
 
-def test_top_k_is_exact(spark):
+@pytest.mark.parametrize("slice_rows", [1 << 16, 60])
+def test_top_k_is_exact(spark, slice_rows, monkeypatch):
+    monkeypatch.setattr(topk, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 4 if slice_rows < 100 else 1 << 12)
     draw = np.random.default_rng(2)
     rows = [(k, draw.normal(size=8).tolist()) for k in range(400)] + [(k, [0.5] * 8) for k in range(400, 460)]
     rows += [(500, None), (501, [1.0, None] * 4), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (None, [9.0] * 8), (504, [1.0, 2.0]), (505, []), (50, [0.1] * 8), (506, [3.0, 1.0])]
@@ -339,6 +342,22 @@ def test_top_k_is_exact(spark):
     assert not topk.top_k(vectors.filter("false"), vectors).collect()
 
 
+def test_top_k_of_huge_components_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SLICE_ROWS", 50)
+    rows = [(1, [1e300, 1.0]), (2, [1e18, -1.0]), (3, [-1e300, 0.5]), (4, [2.0, 3.0])] + [(k, [7.0, 7.0]) for k in range(10, 210)]
+    vectors = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = collections.defaultdict(list)
+    for r in topk.top_k(vectors, vectors.filter("vec_id IN (1, 3, 4, 10)")).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    whole = lambda x: min(max(math.floor(256 * x) if abs(x) < 1e30 else int(math.copysign(1 << 70, x)), -(1 << 63)), (1 << 63) - 1)
+    exact = {i: [whole(x) for x in v] for i, v in rows}
+    for q in (1, 3, 4, 10):
+        scores = {i: sum(a * b for a, b in zip(exact[q], v)) for i, v in exact.items() if i != q}
+        best = sorted(scores, key=lambda i: (-scores[i], i))[:5]
+        clip = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+        assert found[q] == sorted(((i, clip(scores[i])) for i in best), key=lambda p: (-p[1], p[0]))
+
+
 def test_rules_on_odd_rows(odd, none):
     judged, at = quality_rules.judge(odd)
     rows = judged.collect()
