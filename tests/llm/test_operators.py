@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siltstone.llm import bpe, chat_format, lm_bloom, packing, quality_mil, quality_rules, queries, simhash, suffix_dedup, token_counts, topk
+from siltstone.llm import bpe, chat_format, lm_bloom, packing, quality_mil, quality_rules, queries, simhash, simhash_wide, suffix_dedup, token_counts, topk
 from siltstone.llm._common import fresh
 
 SF = "/root/testdata/sf0.001"
@@ -319,6 +319,47 @@ def test_flips_give_the_links_of_pairs():
     assert (simhash._forest(len(values), *simhash.flip_links(values, 3)) == by_pairs).all()
 
 
+def test_wide_near_copies(spark, odd, none):
+    """Edited copies of 0.85 and more go, texts of other words stay, exact copies go however many they are."""
+    draw = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    rows, want = [], {}
+    for k in range(150):
+        words = [draw.choice(vocabulary) for _ in range(draw.randint(150, 400))]
+        copy = list(words)
+        for _ in range(draw.randint(1, 4)):
+            copy[draw.randrange(len(copy))] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        want[2 * k + 1] = len(a & b) / len(a | b)
+    rows += [(1000 + k, rows[0][1].upper()) for k in range(300)] + [rows[4]] * 3
+    kept = collections.Counter(r.doc_id for r in simhash_wide.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert set(kept.values()) == {1} and all(2 * k in kept for k in range(150)) and not any(d >= 1000 for d in kept)
+    close = [d for d, s in want.items() if s >= 0.85]
+    assert len(close) > 50 and sum(d in kept for d in close) <= 0.1 * len(close)
+    ids = sorted(simhash_wide.first_of_each(odd).select("doc_id", "rid", "Score", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    assert [r.doc_id for r in ids] == [None, 1, 2, 6, 7] and all(r.rid == 2.5 for r in ids)
+    assert not simhash_wide.first_of_each(none).collect() and simhash_wide.first_of_each(none).columns == odd.columns
+
+
+def test_wide_lists_give_the_links_of_pairs():
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 1 << 62, (6, 4)).astype(np.uint64)
+    rows = []
+    for k in range(200):
+        bits = np.unpackbits(base[k % 6].view(np.uint8))
+        bits[draw.choice(256, draw.integers(0, 60), replace=False)] ^= 1
+        rows.append(np.packbits(bits).view(np.uint64))
+    prints = np.stack(rows)
+    near = simhash_wide._differing(prints[:, None], prints[None, :]) <= 45
+    label = simhash_wide.list_links(prints, 45)
+    want = np.arange(len(prints))
+    while (new := np.array([want[n].min() for n in near])).tolist() != want.tolist():
+        want = new
+    assert label.tolist() == want.tolist()
+
+
 @pytest.mark.parametrize("slice_rows", [1 << 16, 60])
 def test_top_k_is_exact(spark, slice_rows, monkeypatch):
     monkeypatch.setattr(topk, "SLICE_ROWS", slice_rows)
