@@ -148,7 +148,7 @@ def op9_sql() -> str:
     chars = ["n_upper", "n_digit", "n_symbols", "n_punctuation", "n_space", "n_chars - n_upper - n_digit - n_symbols - n_punctuation - n_space"]
     common = {w: f"n{k}" for k, w in enumerate(r.COMMON)}
     tally = ", ".join(f"len(list_filter(w, lambda x: x IN ('{w}', '{w.capitalize()}'))) AS {n}" for w, n in common.items())
-    by_lang = [_js_sql([*[common[w] for w in words], f"(n_words - {' - '.join(common[w] for w in words)})"], "n_words", r.word_reference(lang)) for lang, words in r.WORD_REFERENCE.items()]
+    by_lang = [_js_sql([*[common[w] for w in words], f"(n_words - {' - '.join(common[w] for w in words)})"], "n_words", r.word_reference(lang)) + f" / {r.without_common_words(lang)!r}" for lang, words in r.WORD_REFERENCE.items()]
     marks = lambda what: f"length(regexp_replace(t, '[^{what[1:].replace(chr(39), chr(39) * 2)}', '', 'g'))"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
