@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
 from siltstone.operators import access, operations, retrieval
-from siltstone.plans import ingestion, ranking, writes
+from siltstone.plans import app_documents, ingestion, ranking, writes
 from siltstone.plans.tables import CATALOG, UNIT, catalog, table, vectors
 
 QUOTA = 500_000
@@ -185,8 +185,14 @@ SELECT query_id, id, dense_rank, sparse_rank, score, CAST(row_number() OVER (PAR
 }
 
 
-SQL = {**_OWN, **ranking.SQL, **ingestion.SQL, **writes.SQL}
+_PARTS = (ranking, ingestion, writes, app_documents)
+SQL = dict(_OWN)
+for _part in _PARTS:
+    SQL |= _part.SQL
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in _OWN} | ranking.queries() | ingestion.queries() | writes.queries()
+    found = {name: globals()[name] for name in _OWN}
+    for part in _PARTS:
+        found |= part.queries()
+    return found

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations", "events", "labels", "benchmark", "lineitem"):
+    for t in ("documents", "embeddings", "conversations", "events", "labels", "benchmark", "lineitem", "orders", "nation", "part", "customer", "supplier", "region", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
