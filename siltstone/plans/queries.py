@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
 from siltstone.operators import access, operations, retrieval
-from siltstone.plans import app_documents, ingestion, ranking, writes
+from siltstone.plans import app_documents, app_turns, ingestion, ranking, writes
 from siltstone.plans.tables import CATALOG, UNIT, catalog, table, vectors
 
 QUOTA = 500_000
@@ -185,7 +185,7 @@ SELECT query_id, id, dense_rank, sparse_rank, score, CAST(row_number() OVER (PAR
 }
 
 
-_PARTS = (ranking, ingestion, writes, app_documents)
+_PARTS = (ranking, ingestion, writes, app_documents, app_turns)
 SQL = dict(_OWN)
 for _part in _PARTS:
     SQL |= _part.SQL
