@@ -1,8 +1,8 @@
 r"""Screening of questions for instructions to the model, and defusing of untrusted text.
 
-Rules are RLIKE patterns over a folded text, so a screen stays in the JVM. A blocking rule that only
-matches inside quotes is a mention and no more than suspicious: quoted stretches are blanked and the
-rule is tried again on what is left.
+Rules are patterns over a folded text, so a screen stays in the JVM. A blocking rule whose match lies
+entirely inside quotes is a mention and no more than suspicious; a match that only reaches into or
+over quotes blocks. One of the fences that mark untrusted text, in a question, blocks as well.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ SUSPICIOUS = {"MENTIONS_INJECTION": r"\bprompt\s+injection\b|\bjail\s?break(?:in
 QUOTED = r"\"[^\"\n]{1,400}\"|'[^'\n]{1,400}'|`[^`\n]{1,400}`|“[^”\n]{1,400}”"
 SOURCE_MARK = r"\[S(\d+)\]"
 DEFUSED = "[removed]"
+#: What untrusted text stands between in a prompt.
+FENCE_OPEN, FENCE_CLOSE = "<<<UNTRUSTED_CONTEXT>>>", "<<<END_UNTRUSTED_CONTEXT>>>"
 
 
 def folded(text: Column) -> Column:
@@ -43,13 +45,34 @@ def folded(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, r"[^\S\n]+", " "), r"\n\s*\n+", "\n")
 
 
+def quoted_spans(text: Column) -> Column:
+    """array<struct<start, stop>> of the quoted stretches, from 1, stops excluded."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
+
+    def step(a: Column, quote: Column) -> Column:
+        at = F.position(quote, text, a["at"])
+        stop = at + F.length(quote)
+        return F.struct(stop.alias("at"), F.concat(a["spans"], F.array(F.struct(at.alias("start"), stop.alias("stop")))).alias("spans"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(QUOTED), 0), start, step, lambda a: a["spans"])
+
+
 def screen(text: Column) -> Column:
     """struct<verdict, rule>: clean, suspicious or blocked, and the code of the first rule that says so; text is folded."""
-    unquoted = F.regexp_replace(text, QUOTED, "\u0001")
-    hit = lambda body, pattern: body.rlike(f"(?i)(?U){pattern}")
+    pattern = lambda p: F.lit(f"(?i)(?U){p}")
     say = lambda verdict, rule: F.struct(F.lit(verdict).alias("verdict"), rule.alias("rule"))
-    first = lambda body, rules: F.coalesce(*[F.when(hit(body, p), F.lit(code)) for code, p in rules.items()])
-    blocked, mentioned, weak = first(unquoted, BLOCKING), first(text, BLOCKING), first(text, SUSPICIOUS)
+    quotes = quoted_spans(text)
+
+    def mention(p: str) -> Column:
+        start = F.regexp_instr(text, pattern(p))
+        stop = start + F.length(F.regexp_extract(text, f"(?i)(?U){p}", 0))
+        return F.exists(quotes, lambda q: (q["start"] <= start) & (stop <= q["stop"]))
+
+    hit = lambda p: text.rlike(f"(?i)(?U){p}")
+    fence = F.contains(text, F.lit(FENCE_OPEN)) | F.contains(text, F.lit(FENCE_CLOSE))
+    blocked = F.coalesce(F.when(fence, F.lit("FENCE_SPOOF")), *[F.when(hit(p) & ~mention(p), F.lit(code)) for code, p in BLOCKING.items()])
+    weak = F.coalesce(*[F.when(hit(p), F.lit(code)) for code, p in SUSPICIOUS.items()])
+    mentioned = F.coalesce(*[F.when(hit(p), F.lit(code)) for code, p in BLOCKING.items()])
     return (
         F.when(blocked.isNotNull(), say("blocked", blocked))
         .when(weak.isNotNull(), say("suspicious", weak))
@@ -59,6 +82,8 @@ def screen(text: Column) -> Column:
 
 
 def defused(text: Column) -> Column:
-    """Untrusted text without format characters, and with source marks and chat control tokens replaced."""
+    """Untrusted text without format characters, and with fences, source marks and chat control tokens replaced."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Cf}", "")
+    for fence in (FENCE_OPEN, FENCE_CLOSE):
+        plain = F.replace(plain, F.lit(fence), F.lit(DEFUSED))
     return F.regexp_replace(F.regexp_replace(plain, SOURCE_MARK, DEFUSED), f"(?i){CHAT_CONTROL}", DEFUSED)

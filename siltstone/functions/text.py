@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+
+
+# Characters that show nothing (soft hyphen, zero widths, byte order mark), and spaces other than U+0020.
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
+
+
+def composed(text: Column) -> Column:
+    """Unicode's composed form (NFC), which has no built-in."""
+
+    @arrow_udf("string")
+    def nfc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([unicodedata.normalize("NFC", x.as_py() or "") for x in batch], pa.string())
+
+    return nfc(text)
 
 
 def normalized(text: Column) -> Column:
-    """Control characters dropped (tab and newline stay), three or more newlines made two, outer white space cut."""
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0B-\x1F\x7F]", "")
-    return F.regexp_replace(F.regexp_replace(clean, r"\n{3,}", "\n\n"), r"^[ \t\n]+|[ \t\n]+$", "")
+    """Line ends made one newline, control and invisible characters dropped, odd spaces made plain, NFC, no white space at line ends, at most one blank line, none outside."""
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    clean = F.regexp_replace(clean, f"[\\x00-\\x08\\x0B-\\x1F\\x7F{INVISIBLE}]", "")
+    clean = composed(F.regexp_replace(clean, f"[{SPACES}]", " "))
+    clean = F.regexp_replace(F.regexp_replace(clean, r"[ \t]+(\n|$)", "$1"), r"\n{3,}", "\n\n")
+    return F.regexp_replace(clean, r"^[ \t\n]+|[ \t\n]+$", "")
+
+
+def is_blank(text: Column) -> Column:
+    return F.coalesce(F.trim(F.regexp_replace(text, r"\s+", "")) == "", F.lit(True))
 
 
 def or_query(text: Column) -> Column:
@@ -36,10 +64,3 @@ def budget_percent(used: Column, window: int = 10_400) -> Column:
 
 def score_band(score: Column) -> Column:
     return F.when(score >= 0.9, "good").when(score >= 0.8, "warn").otherwise("bad")
-
-
-def coverage(answer: Column, min_words: int = 4) -> Column:
-    """Share of an answer's claims that carry a citation mark like [1]; a claim is a sentence of min_words words or more; 0 without claims."""
-    sentences = F.filter(F.split(F.coalesce(answer, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.size(F.array_remove(F.split(F.regexp_replace(s, r"\[[0-9]+\]", " "), r"\s+"), "")) >= min_words)
-    cited = F.filter(sentences, lambda s: s.rlike(r"\[[0-9]+\]"))
-    return F.when(F.size(sentences) > 0, F.size(cited) / F.size(sentences)).otherwise(0.0)

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one copy of the vectors meets at a time.
-QUERY_BLOCK = 128
+#: Queries of a block, and documents that are counted at a time.
+QUERY_BLOCK, DOCUMENT_ROWS = 1024, 512
 
 
 def top_by(df: DataFrame, key: str, order: list, n: int, rank: str = "rank") -> DataFrame:
@@ -23,19 +27,60 @@ def unit(vector: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
+def _by_blocks(queries: DataFrame, run, schema: str) -> DataFrame:
+    """The union of run(block) over blocks of at most QUERY_BLOCK queries, each an Arrow table on the driver: a block's size is bounded, whatever the number of queries.
+
+    A block goes to the tasks with the function that reads it; rows are read once for each block and not shuffled.
+    """
+    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    numbered = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    out = None
+    for k in range(blocks):
+        block = numbered.filter(F.col("__block") == k).drop("__block").toArrow()
+        found = run(block) if block.num_rows else queries.sparkSession.createDataFrame([], schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest scores, ties by id."""
+    if len(score) > k:
+        least = np.partition(score, len(score) - k)[len(score) - k]
+        place = np.flatnonzero(score >= least)
+    else:
+        place = np.arange(len(score))
+    return place[np.lexsort((ids[place], -score[place]))][:k]
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k ids of greatest cosine similarity to each query, rounded to 6; ties by id.
 
-    vectors: (id, vector), queries: (query_id, vector). Queries go in blocks: a vector meets a block
-    of at most QUERY_BLOCK queries in an equi-join on the block, never all pairs of two tables at once.
+    vectors: (id, vector), queries: (query_id, vector). Each Arrow batch of vectors is multiplied with a
+    block of queries at once and gives its own k best of each query; only these are shuffled.
     """
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    packed = queries.select("query_id", unit(F.col("vector")).alias("q")).groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-    packed = packed.agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    spread = vectors.select("id", unit(F.col("vector")).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    dot = lambda q: F.round(F.aggregate(F.zip_with(F.col("v"), q, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 6)
-    scored = spread.join(packed, "block").select("id", F.explode(F.transform("queries", lambda x: F.struct(x["query_id"].alias("query_id"), dot(x["q"]).alias("score")))).alias("s"))
-    return top_by(scored.select("s.query_id", "id", "s.score"), "query_id", [F.desc("score"), "id"], k)
+
+    def matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
+        m = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    def run(block: pa.Table) -> DataFrame:
+        asked, q = block.column("query_id").to_numpy(), matrix(block.column("vector"), block.num_rows).T
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                if not len(ids):
+                    continue
+                score = np.round(matrix(pa.chunked_array([batch.column(1)]), len(ids)) @ q, 6)
+                places = [_best(score[:, j], ids, k) for j in range(len(asked))]
+                of = np.repeat(np.arange(len(asked)), [len(p) for p in places])
+                at = np.concatenate(places)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[of]), pa.array(ids[at]), pa.array(score[at, of])], ["query_id", "id", "score"])
+
+        return vectors.select("id", "vector").filter("id IS NOT NULL AND vector IS NOT NULL").mapInArrow(search, "query_id bigint, id bigint, score double")
+
+    return top_by(_by_blocks(queries.select("query_id", "vector"), run, "query_id bigint, id bigint, score double"), "query_id", [F.desc("score"), "id"], k)
 
 
 def terms(text: Column) -> Column:
@@ -46,12 +91,36 @@ def terms(text: Column) -> Column:
 def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k documents with most occurrences of a query's distinct terms; ties by id.
 
-    Documents' terms are counted before they are shuffled, so a common term is one row per document.
+    A batch of documents meets a block of queries: the terms asked for are counted by document, and the
+    counts are multiplied with the queries' terms. Only each batch's k best of a query are shuffled, so
+    neither the documents' terms nor the documents that hold a common term are.
     """
-    found = docs.select("id", F.explode(terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    scored = found.join(asked, "term").groupBy("query_id", "id").agg(F.sum("n").alias("score"))
-    return top_by(scored, "query_id", [F.desc("score"), "id"], k)
+
+    def run(block: pa.Table) -> DataFrame:
+        asked, lists = block.column("query_id").to_numpy(), block.column("terms").combine_chunks()
+        flat = lists.flatten()
+        known = flat.unique()
+        wanted = np.zeros((len(known), len(asked)), np.float32)
+        wanted[pc.index_in(flat, known).to_numpy(), np.repeat(np.arange(len(asked)), np.diff(lists.offsets.to_numpy()))] = 1
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, DOCUMENT_ROWS):
+                    batch = whole.slice(lo, DOCUMENT_ROWS)
+                    ids, own, n = batch.column(0).to_numpy(), batch.column(1), batch.num_rows
+                    place = pc.index_in(own.flatten(), known)
+                    of = np.repeat(np.arange(n), np.diff(own.offsets.to_numpy()))[np.asarray(place.is_valid())]
+                    cell = of * len(known) + place.drop_null().to_numpy()
+                    score = np.bincount(cell, minlength=n * len(known)).reshape(n, -1).astype(np.float32) @ wanted
+                    places = [p[score[p, j] > 0] for j in range(len(asked)) for p in (_best(score[:, j], ids, k),)]
+                    q = np.repeat(np.arange(len(asked)), [len(p) for p in places])
+                    at = np.concatenate(places)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(ids[at]), pa.array(score[at, q].astype(np.int64))], ["query_id", "id", "score"])
+
+        return docs.select("id", terms(F.col("text")).alias("terms")).mapInArrow(search, "query_id bigint, id bigint, score bigint")
+
+    asked = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("terms"))
+    return top_by(_by_blocks(asked.filter(F.size("terms") > 0), run, "query_id bigint, id bigint, score bigint"), "query_id", [F.desc("score"), "id"], k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = 60, top: int = 30) -> DataFrame:

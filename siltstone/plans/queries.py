@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as tx
 from siltstone.operators import access, operations, retrieval
 from siltstone.plans import app_documents, app_turns, ingestion, ranking, writes
-from siltstone.plans.tables import CATALOG, UNIT, catalog, table, vectors
+from siltstone.plans.app import app, app_sql
+from siltstone.plans.tables import CATALOG, NORMALIZED, UNIT, catalog, table, vectors
 
 QUOTA = 500_000
 
@@ -95,9 +96,11 @@ def drift_totals(spark, sf_dir):
 
 
 def open_job_anti(spark, sf_dir):
-    """Users with purchases and no open error: the anti join of documents without open jobs."""
-    events = table(spark, sf_dir, "events")
-    return operations.without_open(events.filter("event_type = 'purchase'").groupBy("user_id").agg(F.count(F.lit(1)).alias("purchases")), events.filter("event_type = 'error'"), "user_id")
+    """Documents without an open ingestion, and those with one."""
+    docs, jobs = app(spark, sf_dir, "docs").select("id", "status"), app(spark, sf_dir, "jobs")
+    busy = jobs.filter("job_type = 'INGEST' AND status IN ('QUEUED', 'RUNNING')").select(F.col("document_id").alias("id"))
+    idle = operations.without_open(docs, busy, "id").withColumn("open", F.lit(False))
+    return idle.unionByName(operations.without_open(docs, busy, "id", negate=False).withColumn("open", F.lit(True)))
 
 
 def checkpoint_keep_n(spark, sf_dir):
@@ -128,8 +131,9 @@ def outcome_mix(spark, sf_dir):
 
 
 def groundedness(spark, sf_dir):
-    answers = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    return answers.select("conv_id", "turn", F.round(tx.coverage(F.col("text")), 6).alias("coverage"), tx.score_band(tx.coverage(F.col("text"))).alias("band"))
+    """Coverage by block, and its band."""
+    found = app_turns.grounded_answers(spark, sf_dir)
+    return found.select("conv_id", "turn", F.col("score").alias("coverage"), tx.score_band(F.col("score")).alias("band"))
 
 
 def normalize_text(spark, sf_dir):
@@ -149,9 +153,6 @@ asked AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest
 sparse AS (SELECT query_id, id, CAST(sum(n) AS BIGINT) AS score, row_number() OVER (PARTITION BY query_id ORDER BY sum(n) DESC, id) AS rank FROM found JOIN asked USING (term) GROUP BY query_id, id QUALIFY rank <= 50)"""
 _TOKENS = "CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT)"
 _DRIFT = """drift AS (SELECT owner, count(*) FILTER (WHERE kb_id IS DISTINCT FROM 'en') AS stale, coalesce(bool_or(kb_id IS DISTINCT FROM 'en' AND searchable AND NOT deleted), false) AS any_live FROM catalog GROUP BY owner HAVING stale > 0)"""
-_COVER = r"""SELECT conv_id, turn, CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: regexp_matches(x, '\[[0-9]+\]'))) / len(s) ELSE 0 END AS c FROM (
-  SELECT conv_id, turn, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: len(list_filter(regexp_split_to_array(regexp_replace(x, '\[[0-9]+\]', ' ', 'g'), '\s+'), lambda w: w <> '')) >= 4) AS s
-  FROM conversations WHERE role = 'assistant')"""
 
 _OWN = {
     "access_filter": f"WITH {CATALOG} SELECT owner, count(*) AS visible, CAST(sum(n_chars) AS BIGINT) AS chars FROM live GROUP BY owner",
@@ -173,14 +174,14 @@ SELECT query_id, id, dense_rank, sparse_rank, score, CAST(row_number() OVER (PAR
     "checksum_duplicates": "SELECT sha256(text) AS checksum, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY sha256(text) HAVING count(*) > 1",
     "drift_report": f"WITH {CATALOG}, {_DRIFT} SELECT * FROM drift",
     "drift_totals": f"WITH {CATALOG}, {_DRIFT} SELECT count(*) AS owners, CAST(coalesce(sum(stale), 0) AS BIGINT) AS stale FROM drift",
-    "open_job_anti": "SELECT user_id, count(*) AS purchases FROM events WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id IS NOT NULL) GROUP BY user_id",
+    "open_job_anti": f"WITH {app_sql('docs', 'jobs')} SELECT id, status, id IN (SELECT document_id FROM jobs WHERE job_type = 'INGEST' AND status IN ('QUEUED', 'RUNNING')) AS open FROM docs",
     "checkpoint_keep_n": "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS n FROM events QUALIFY n <= 3",
     "json_props": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGINT) AS total, count(*) FILTER (WHERE json_extract(props, '$.k') IS NULL) AS missing FROM events GROUP BY event_type",
     "calibration_separation": "SELECT count(*) FILTER (WHERE quality = 1) AS liked, count(*) FILTER (WHERE quality = 0) AS disliked, median(CAST(n_chars AS DOUBLE)) FILTER (WHERE quality = 1) AS liked_median, median(CAST(n_chars AS DOUBLE)) FILTER (WHERE quality = 0) AS disliked_median, liked_median - disliked_median AS gap FROM labels JOIN documents USING (doc_id)",
     "threshold_sweep": "SELECT CAST(500 * i AS INTEGER) AS threshold, count(*) FILTER (WHERE n_chars >= 500 * i AND quality = 1) AS good, count(*) FILTER (WHERE n_chars >= 500 * i AND quality = 0) AS bad FROM labels JOIN documents USING (doc_id), range(1, 11) r(i) GROUP BY i",
     "outcome_mix": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic",
-    "groundedness": f"SELECT conv_id, turn, round(CAST(c AS DOUBLE), 6) AS coverage, CASE WHEN c >= 0.9 THEN 'good' WHEN c >= 0.8 THEN 'warn' ELSE 'bad' END AS band FROM ({_COVER})",
-    "normalize_text": r"SELECT doc_id, length(t) AS n_chars, sha256(t) AS checksum FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B-\x1F\x7F]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n]+|[ \t\n]+$', '', 'g') AS t FROM documents)",
+    "groundedness": f"SELECT conv_id, turn, score AS coverage, CASE WHEN score >= 0.9 THEN 'good' WHEN score >= 0.8 THEN 'warn' ELSE 'bad' END AS band FROM ({app_turns.SQL['grounded_answers']})",
+    "normalize_text": f"SELECT doc_id, length(t) AS n_chars, sha256(t) AS checksum FROM (SELECT doc_id, {NORMALIZED} AS t FROM documents)",
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }
 

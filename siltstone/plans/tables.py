@@ -28,3 +28,5 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 CATALOG = """catalog AS (SELECT doc_id AS id, text, source AS owner, lang AS kb_id, n_chars, n_chars >= 20 AS searchable, contains(text, 'Draft') AS deleted FROM documents),
 live AS (SELECT * FROM catalog WHERE coalesce(searchable, false) AND NOT coalesce(deleted, false))"""
 UNIT = """unit AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS u FROM embeddings)"""
+#: functions.text.normalized of the column text.
+NORMALIZED = r"regexp_replace(regexp_replace(regexp_replace(nfc_normalize(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B-\x1F\x7F\x{ad}\x{200b}-\x{200d}\x{2060}\x{feff}]', '', 'g'), '[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]', ' ', 'g')), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n]+|[ \t\n]+$', '', 'g')"
