@@ -113,9 +113,11 @@ def parse(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            for path, content, large in zip(batch.column("path").to_pylist(), batch.column("content"), batch.column("large").to_pylist()):
                 suffix = path.rpartition(".")[2].lower()
                 try:
+                    if large:
+                        raise ValueError(f"the file has over {MAX_BYTES} bytes")
                     if suffix not in _PARSERS:
                         raise ValueError(f"no parser for .{suffix}")
                     data = content.as_py() or b""
@@ -126,7 +128,8 @@ def parse(files: DataFrame) -> DataFrame:
                     rows = [dict.fromkeys(_BLOCKS.names) | {"path": path, "block_order": 0, "error": str(e)}]
                 yield pa.RecordBatch.from_pylist(rows, _BLOCKS)
 
-    known = files.select("path", F.when(F.octet_length("content") <= MAX_BYTES, F.col("content")).alias("content"))
+    large = F.coalesce(F.octet_length("content") > MAX_BYTES, F.lit(False))
+    known = files.select("path", F.when(~large, F.col("content")).alias("content"), large.alias("large"))
     return known.mapInArrow(run, BLOCKS)
 
 

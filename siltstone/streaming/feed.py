@@ -33,7 +33,8 @@ def delta(before: DataFrame, now: DataFrame, key: str, watched: list[str]) -> Da
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     seen = state.get if state.exists else None
     rows = []
-    for row in pd.concat(frames).sort_values("version").itertuples():
+    # a key's states within one micro-batch; they come in pieces, and versions decide their order
+    for row in pd.concat([f[["version", "fingerprint", "deleted"]] for f in frames]).sort_values("version").itertuples():
         if seen is not None and row.version <= seen[0]:
             continue  # late or repeated
         if row.deleted:
