@@ -1,10 +1,17 @@
 """The pipeline's stages: each one's decisions against brute force over its own input."""
 
+import collections
+import re
+
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as p
 from siltstone.llm._common import materialize
+from siltstone.llm.queries import PACKED
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,7 +37,37 @@ def test_stages(spark):
                 rest = bytes(b for i, b in enumerate(data) if i not in gone).decode(errors="ignore")
                 assert now[doc].text == rest and now[doc].n_chars == len(rest)
         elif name == "packing":
-            assert {r.doc_id for r in after} == set(before)
+            tok = Tokenizer.from_file(public_tokenizers.path(PACKED))
+            size = {d: len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1 for d, r in before.items()}
+            got = collections.Counter()
+            for r in after:
+                got[r.doc_id] += r.length
+            assert got == size
+        elif name == "simhash_near_dedup":
+            # by brute force over all pairs of sets of five-word shingles: copies go, and what goes is near one that stays or goes
+            sets = {d: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for d, r in before.items() for w in [(r.text or "").lower().split()]}
+            alike = lambda a, b: len(sets[a] & sets[b]) / max(len(sets[a] | sets[b]), 1)
+            kept = {r.doc_id for r in after}
+            assert all(before[r.doc_id] == r for r in after)
+            for d in before:
+                best = max((alike(d, e) for e in before if e < d), default=0)
+                assert best < 1 or d not in kept
+                assert best > 0.6 or d in kept
+        elif name == "quality_rules":
+            want = set()
+            for d, r in before.items():
+                w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+                grams = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+                again = {p for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for p in (k, k + 1, k + 2)}
+                if len(w) >= 50 and 100 * len(again) <= 50 * len(w):
+                    want.add(d)
+            kept = {r.doc_id for r in after}
+            labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+            assert kept <= want and {d for d in want if labels.get(d) == 1} <= kept and len(kept) > 0.9 * len(want)
+        elif name == "quality_classifier":
+            kept = {r.doc_id for r in after}
+            labels = [(r.doc_id in kept) == (r.quality == 1) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+            assert np.mean(labels) >= 0.95 and all(before[r.doc_id] == r for r in after)
         else:
             assert 0.7 * len(before) < len(after) <= len(before)
             assert all(before[r.doc_id] == r for r in after)
