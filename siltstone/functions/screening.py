@@ -70,15 +70,21 @@ def screen(text: Column) -> Column:
 
     hit = lambda p: text.rlike(f"(?i)(?U){p}")
     fence = F.contains(text, F.lit(FENCE_OPEN)) | F.contains(text, F.lit(FENCE_CLOSE))
-    blocked = F.coalesce(F.when(fence, F.lit("FENCE_SPOOF")), *[F.when(hit(p) & ~mention(p), F.lit(code)) for code, p in BLOCKING.items()])
     weak = F.coalesce(*[F.when(hit(p), F.lit(code)) for code, p in SUSPICIOUS.items()])
-    mentioned = F.coalesce(*[F.when(hit(p), F.lit(code)) for code, p in BLOCKING.items()])
-    return (
-        F.when(blocked.isNotNull(), say("blocked", blocked))
-        .when(weak.isNotNull(), say("suspicious", weak))
-        .when(mentioned.isNotNull(), say("suspicious", mentioned))
-        .otherwise(say("clean", F.lit(None).cast("string")))
-    )
+
+    def verdict(h: Column) -> Column:
+        blocked = F.coalesce(F.when(fence, F.lit("FENCE_SPOOF")), *[F.when(h[code] & ~mention(p), F.lit(code)) for code, p in BLOCKING.items()])
+        mentioned = F.coalesce(*[F.when(h[code], F.lit(code)) for code in BLOCKING])
+        return (
+            F.when(blocked.isNotNull(), say("blocked", blocked))
+            .when(weak.isNotNull(), say("suspicious", weak))
+            .when(mentioned.isNotNull(), say("suspicious", mentioned))
+            .otherwise(say("clean", F.lit(None).cast("string")))
+        )
+
+    # each blocking rule is searched for once, as a named value
+    hits = F.struct(*[hit(p).alias(code) for code, p in BLOCKING.items()])
+    return F.transform(F.array(hits), verdict)[0]
 
 
 def defused(text: Column) -> Column:
