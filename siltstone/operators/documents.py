@@ -218,3 +218,13 @@ def admit(docs: DataFrame, uploads: DataFrame, quota: int) -> DataFrame:
     known = live.groupBy("knowledge_base_id", "checksum").agg(F.lit(True).alias("known"))
     met = uploads.join(used, "owner_id", "left").join(known, ["knowledge_base_id", "checksum"], "left")
     return met.select("id", F.when(F.col("known"), "duplicate").when(F.coalesce("used", F.lit(0)) + F.col("size_bytes") > quota, "over_quota").otherwise("accepted").alias("verdict"))
+
+
+def swept(jobs: DataFrame, refused: DataFrame, older_than: int, limit: int = 100) -> DataFrame:
+    """jobs after a sweep: the undispatched ones are sent again, oldest first, up to the first that the queue refuses (id); their error is cleared."""
+    oldest = Window.orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)  # over `limit` rows at most
+    no = refused.select("id").distinct().withColumn("no", F.lit(True))
+    sent = undispatched(jobs, older_than, limit).join(no, "id", "left").withColumn("stopped", F.max(F.coalesce("no", F.lit(False))).over(oldest))
+    done = sent.filter("NOT stopped").select("id", F.lit(True).alias("sent"))
+    clear = lambda c: F.when(F.col("sent"), None).otherwise(F.col(c)).alias(c)
+    return jobs.join(done, "id", "left").select(*[clear(c) if c in ("error_code", "error_message") else F.col(c) for c in jobs.columns], F.coalesce("sent", F.lit(False)).alias("sent"))

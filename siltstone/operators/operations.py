@@ -59,3 +59,21 @@ def preceding(turns: DataFrame, conversation: str, order: str, role: str, wanted
     """turns with the latest earlier value of a turn whose role is `wanted`."""
     w = Window.partitionBy(conversation).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return turns.withColumn(out, F.last(F.when(F.col(role) == wanted, F.col(value)), ignorenulls=True).over(w))
+
+
+AUDIT = ("id", "event_type", "actor_id", "target_type", "target_id", "details", "created_at")
+
+
+def audited(log: DataFrame, events: DataFrame) -> DataFrame:
+    """The audit log with further events: nothing in it changes; an event needs id, event_type and created_at, the rest may be left out."""
+    kinds = dict(log.dtypes)
+    return log.select(*AUDIT).unionByName(events.select(*[(F.col(c) if c in events.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in AUDIT]))
+
+
+def audit_page(log: DataFrame, *, actor_id: int | None = None, event_type: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """Newest first, ties by the greater id; of one actor, one kind of event, both or neither."""
+    if not 1 <= limit <= 500:
+        raise ValueError("limit must be from 1 to 500")
+    own = log if actor_id is None else log.filter(F.col("actor_id") == actor_id)
+    own = own if event_type is None else own.filter(F.col("event_type") == event_type)
+    return own.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(limit)

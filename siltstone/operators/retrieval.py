@@ -169,3 +169,17 @@ def fetch_in_order(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows of docs by (query_id, ids array), with their place in the request; missing ones are left out."""
     asked = ids.select("query_id", F.posexplode("ids").alias("place", "id"))
     return asked.join(docs, "id")
+
+
+def hybrid(chunks: DataFrame, queries: DataFrame, *, arm: int = 50, top: int = 30) -> DataFrame:
+    """(query_id, id, dense_rank, sparse_rank, score, rank): both arms' best fused, without neighbours of a better hit, the first `top`.
+
+    chunks: what the reader may see (id, text, vector or null, document_id, block_order, block_chunk_index);
+    queries: (query_id, text, vector). From the fusion on, a query has at most 2 * arm rows.
+    """
+    dense = dense_top_k(chunks, queries.filter("vector IS NOT NULL"), arm)
+    fused = fuse(dense, lexical_top_k(chunks, queries, arm), top=2 * arm).withColumnRenamed("rank", "fused")
+    place = chunks.select("id", "document_id", "block_order", "block_chunk_index")
+    hits = fused.join(place, "id").select("query_id", F.col("fused").alias("rank"), "document_id", "block_order", "block_chunk_index")
+    kept = drop_neighbours(hits).select("query_id", F.col("rank").alias("fused"))
+    return top_by(fused.join(kept, ["query_id", "fused"], "left_semi"), "query_id", ["fused"], top).drop("fused")

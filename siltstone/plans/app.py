@@ -91,6 +91,15 @@ APP: dict[str, tuple[str, dict[str, str], bool]] = {
         "groundedness": "CASE WHEN conv_id % 6 = 0 THEN NULL ELSE CAST((conv_id * 7 + turn * 3) % 11 AS DOUBLE) / 10 END",
         "created_at": "conv_id * 100 + turn",
     }, False),
+    "audit": ("events", {
+        "id": "event_id",
+        "event_type": "upper(event_type)",
+        "actor_id": "CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id END",
+        "target_type": "CASE WHEN event_id % 2 = 0 THEN 'document' END",
+        "target_id": "CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 50 AS STRING) END",
+        "details": "props",
+        "created_at": "event_id % 97",
+    }, False),
     "checkpoints": ("events", {
         "thread_id": "user_id",
         "checkpoint_ns": "event_type",

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
 from siltstone.operators import access, operations, retrieval
-from siltstone.plans import app_documents, app_prompts, app_turns, ingestion, ranking, writes
+from siltstone.plans import app_documents, app_prompts, app_search, app_turns, ingestion, ranking, writes
 from siltstone.plans.app import app, app_sql
-from siltstone.plans.tables import CATALOG, NORMALIZED, UNIT, catalog, table, vectors
+from siltstone.plans.tables import CATALOG, DENSE, NORMALIZED, SPARSE, UNIT, catalog, table, vectors
 
 QUOTA = 500_000
 
@@ -146,21 +146,16 @@ def event_windows(spark, sf_dir):
     return per_hour.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-_DENSE = """scored AS (SELECT q.id AS query_id, v.id, round(list_sum(list_transform(list_zip(q.u, v.u), lambda p: p[1] * p[2])), 6) AS score FROM {queries} q CROSS JOIN {vectors} v),
-dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 50)"""
-_SPARSE = """found AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM live) GROUP BY ALL),
-asked AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark)),
-sparse AS (SELECT query_id, id, CAST(sum(n) AS BIGINT) AS score, row_number() OVER (PARTITION BY query_id ORDER BY sum(n) DESC, id) AS rank FROM found JOIN asked USING (term) GROUP BY query_id, id QUALIFY rank <= 50)"""
 _TOKENS = "CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT)"
 _DRIFT = """drift AS (SELECT owner, count(*) FILTER (WHERE kb_id IS DISTINCT FROM 'en') AS stale, coalesce(bool_or(kb_id IS DISTINCT FROM 'en' AND searchable AND NOT deleted), false) AS any_live FROM catalog GROUP BY owner HAVING stale > 0)"""
 
 _OWN = {
     "access_filter": f"WITH {CATALOG} SELECT owner, count(*) AS visible, CAST(sum(n_chars) AS BIGINT) AS chars FROM live GROUP BY owner",
     "ambient_scope": f"WITH {CATALOG} SELECT id, kb_id FROM live WHERE kb_id IN ('en', 'de')",
-    "dense_topk": f"WITH {UNIT}, asked AS (SELECT * FROM unit WHERE id % 100 = 0), {_DENSE.format(queries='asked', vectors='unit')} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM dense",
-    "sparse_topk": f"WITH {CATALOG}, {_SPARSE} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM sparse",
+    "dense_topk": f"WITH {UNIT}, asked AS (SELECT * FROM unit WHERE id % 100 = 0), {DENSE.format(queries='asked', vectors='unit')} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM dense",
+    "sparse_topk": f"WITH {CATALOG}, {SPARSE} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM sparse",
     "hybrid_search": f"""WITH {CATALOG}, {UNIT}, own AS (SELECT * FROM unit WHERE id IN (SELECT id FROM live)), questions AS (SELECT * FROM unit WHERE id IN (SELECT item_id FROM benchmark)),
-{_DENSE.format(queries='questions', vectors='own')}, {_SPARSE},
+{DENSE.format(queries='questions', vectors='own')}, {SPARSE},
 both_arms AS (SELECT query_id, id, CAST(d.rank AS INTEGER) AS dense_rank, CAST(s.rank AS INTEGER) AS sparse_rank, round(coalesce(CAST(1 AS DOUBLE) / (60 + d.rank), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + s.rank), 0), 9) AS score FROM dense d FULL JOIN sparse s USING (query_id, id))
 SELECT query_id, id, dense_rank, sparse_rank, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM both_arms QUALIFY rank <= 30""",
     "latest_event_per_user": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
@@ -186,7 +181,7 @@ SELECT query_id, id, dense_rank, sparse_rank, score, CAST(row_number() OVER (PAR
 }
 
 
-_PARTS = (ranking, ingestion, writes, app_documents, app_turns, app_prompts)
+_PARTS = (ranking, ingestion, writes, app_documents, app_turns, app_prompts, app_search)
 SQL = dict(_OWN)
 for _part in _PARTS:
     SQL |= _part.SQL
