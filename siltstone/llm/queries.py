@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chat_format, lm_bloom, packing, quality_mil, quality_rules, simhash, suffix_dedup, token_counts, topk
+from siltstone.llm import bpe, chat_format, lang_conv, lm_bloom, packing, prefix_trie, quality_mil, quality_rules, simhash, suffix_dedup, token_counts, topk, vector_codes
 from siltstone.llm._common import documents, held_out
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -99,12 +99,35 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    conv = F.col("conv_id")
+    paths, ids = prefix_trie.rebuilt(turns, conv - conv % 5, F.crc32(conv.cast("string").cast("binary")) % 9, 8)
+    return prefix_trie.trie(paths, ids)
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", held_out(F.col("doc_id"), 4, 2).alias("held_out"))
+    return lang_conv.identify(docs.select("doc_id", "text", "held_out"), lang_conv.train(docs.filter("NOT held_out"))).drop("text")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), keep=("label",))
+    numbers = ",".join(str(x) for book in done.codebooks for entry in book for x in entry)
+    codes = done.codes.select("vec_id", F.col("kept")["label"].alias("label"), F.lower(F.hex("code")).alias("code"), "error")
+    most = F.lit((1 << 63) - 1).cast("decimal(38,0)")
+    sums = codes.groupBy("label").agg(F.least(F.sum(F.col("error").cast("decimal(38,0)")), most).cast("long").alias("label_error")).withColumnRenamed("label", "of")
+    joined = codes.join(sums, codes["label"].eqNullSafe(sums["of"]))
+    return joined.select("vec_id", "code", "error", "label_error", F.sha2(F.lit(numbers), 256).alias("codebooks_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_quality, op3_suffix_dedup, op4_bpe_round_trip, op5_token_counts, op6_lm_scores, op7_simhash, op8_topk, op9_quality_rules, op10_packing)}
+    found = (op1_chat_format, op2_quality, op3_suffix_dedup, op4_bpe_round_trip, op5_token_counts, op6_lm_scores, op7_simhash, op8_topk, op9_quality_rules, op10_packing, op11_prefix_trie, op12_language, op13_vector_codes)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1, "op8_topk": OP8, "op9_quality_rules": op9_sql()}
+    return {"op1_chat_format": OP1, "op8_topk": OP8, "op9_quality_rules": op9_sql(), "op11_prefix_trie": OP11, "op13_vector_codes": op13_sql()}
 
 
 OP1 = r"""
@@ -167,3 +190,56 @@ SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_du
   NOT base_failed AND NOT (n_chars >= {r.MIN_CHARS_JUDGED} AND char_distance > {r.MAX_CHAR_DISTANCE}) AND NOT (n_words >= {r.MIN_WORDS_JUDGED} AND word_distance > {r.MAX_WORD_DISTANCE}) AS kept
 FROM k
 """
+
+
+#: The unsigned CRC-32 of a number's decimal digits, bit by bit.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384::BIGINT * (y & 1)))), 4294967295::BIGINT)"
+
+OP11 = f"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p,
+    {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC32.format('conv_id')} % 9 AS h, list(turn ORDER BY p) AS own FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.own[:c.h], []), c.own[c.h + 1:]) AS path FROM c LEFT JOIN c AS b ON b.conv_id = c.base),
+m AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM r),
+n AS (
+  SELECT depth, path[:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(path) = depth), '')) AS ends_sha256
+  FROM m GROUP BY depth, path[:depth]),
+k AS (
+  SELECT n.*, (SELECT count(*) FROM n AS x WHERE x.depth = n.depth + 1 AND x.prefix[:n.depth] = n.prefix) AS n_children,
+    (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE strlen(prefix[depth].text) END AS saved FROM n)
+SELECT k.conv_id, k.depth, CASE WHEN k.depth > 0 THEN any_value(u.conv_id) END AS parent_conv_id, k.n_convs, k.n_children,
+  CAST(sum(CASE WHEN d.n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum(d.saved) AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM k JOIN k AS d ON d.depth >= k.depth AND d.prefix[:k.depth] = k.prefix
+LEFT JOIN k AS u ON u.depth = k.depth - 1 AND u.prefix = k.prefix[:k.depth - 1]
+GROUP BY k.conv_id, k.depth, k.n_convs, k.n_children, k.ends_sha256
+"""
+
+
+def op13_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    v = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, e) - 1 AS rid, vec_id, label, e FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE len(embedding) > 0 AND len(embedding) % {parts} = 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0)),
+w AS MATERIALIZED (SELECT rid, j, e[j * len(e) // {parts} + 1:(j + 1) * len(e) // {parts}] AS x FROM v, range({parts}) AS r(j) WHERE len(e) = (SELECT len(e) FROM v WHERE rid = 0)),
+b0 AS MATERIALIZED (SELECT j, rid AS i, x AS c FROM w WHERE rid < {entries})"""
+    for k in range(rounds + 1):
+        v += f""",
+a{k} AS MATERIALIZED (
+  SELECT rid, j, any_value(x) AS x, min({{'d': d, 'i': i}}) AS best FROM (
+    SELECT w.rid, w.j, w.x, b.i, CAST(list_sum(list_transform(list_zip(w.x, b.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM w JOIN b{k} AS b ON b.j = w.j) GROUP BY rid, j)"""
+        if k < rounds:
+            v += f""",
+s{k} AS (SELECT j, i, p, CAST(floor(sum(y) / count(*)) AS BIGINT) AS y FROM (SELECT j, best.i AS i, unnest(x) AS y, generate_subscripts(x, 1) AS p FROM a{k}) GROUP BY j, i, p),
+b{k + 1} AS MATERIALIZED (SELECT b.j, b.i, coalesce(any_value(n.c), any_value(b.c)) AS c FROM b{k} AS b LEFT JOIN (SELECT j, i, list(y ORDER BY p) AS c FROM s{k} GROUP BY j, i) AS n ON n.j = b.j AND n.i = b.i GROUP BY b.j, b.i)"""
+    return (
+        v
+        + f""",
+f AS (SELECT rid, string_agg(lower(printf('%02x', best.i)), '' ORDER BY j) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid),
+g AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY j, i)) AS codebooks_sha256 FROM b{rounds})
+SELECT v.vec_id, f.code, f.error, CAST(sum(f.error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, g.codebooks_sha256 FROM f JOIN v USING (rid), g
+"""
+    )
