@@ -35,7 +35,7 @@ from pyspark.sql.functions import arrow_udf
 from siltstone.llm._common import flat, fresh
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
-SAMPLE, LEAST, PIECES = 6000, 50, 3
+SAMPLE, LEAST, PIECES, MOST_SENT = 6000, 50, 3, 100_000
 #: Passes over the sample, but at least STEPS steps.
 EPOCHS, STEPS, BATCH, RATE, DECAY = 4, 600, 64, 0.01, 1e-4
 #: Windows scored at a time.
@@ -176,13 +176,19 @@ def _pieces(text: bytes) -> list[bytes]:
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> ByteConv | None:
     """A network of all values of `lang`, fitted on a sample; None without any."""
     known = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & has_letter(F.col("text")))
-    slim = known.select("id", "lang")
-    n_langs = slim.agg(F.countDistinct("lang")).first()[0]
+    slim = known.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("hash"))
+    sizes = slim.groupBy("lang").agg(F.count("*").alias("rows"))
+    n_langs = sizes.count()
     if not n_langs:
         return None
     share = max(LEAST, sample // n_langs)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))  # tasks send `share` rows of a language at most
-    chosen = slim.withColumn("nth", nth).filter(F.col("nth") <= share).select("id", "lang").distinct()
+    # some four times the share has hashes this low, so a language's ranks are of few rows at any size
+    few = n_langs <= MOST_SENT
+    low = slim.join(F.broadcast(sizes) if few else sizes, "lang").filter(F.col("hash") < F.lit(4.0 * share * (1 << 40)) / F.col("rows"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
+    chosen = low.withColumn("nth", nth).filter(F.col("nth") <= share).select("id", "lang").distinct()
+    if share * n_langs <= MOST_SENT:  # rows at most; with more languages Spark picks the join
+        chosen = F.broadcast(chosen)
 
     @arrow_udf("array<binary>")
     def pieces(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
