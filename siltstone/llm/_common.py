@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes read or hashed at a time: what a buffer's masks, running sums and powers take is bounded by it.
+HASH_BYTES = 1 << 20
 #: ASCII white space: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -87,21 +90,19 @@ def by_bytes(text: pa.Array, most: int = 1 << 20):
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (byte positions) of the maximal runs of non-space bytes, and each one's row."""
-    if not len(data):
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    word = ~SPACE[data]
-    begins = word.copy()
-    begins[1:] &= ~word[:-1]
-    edge = offsets[1:-1]
-    edge = edge[edge < len(data)]
-    begins[edge] = word[edge]  # a text's first byte begins a word even when the text before ended in one
-    stops = word.copy()
-    stops[:-1] &= ~word[1:]
-    last = offsets[1:] - 1
-    last = last[last >= 0]
-    stops[last] = word[last]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    n, z = len(data), np.zeros(0, np.int64)
+    begins, stops = [z], [z]
+    for lo in range(0, n, HASH_BYTES):
+        hi = min(lo + HASH_BYTES, n)
+        word = np.zeros(hi - lo + 2, bool)  # with a byte of each neighbour
+        word[1:-1] = ~SPACE[data[lo:hi]]
+        word[0], word[-1] = lo > 0 and not SPACE[data[lo - 1]], hi < n and not SPACE[data[hi]]
+        begins.append(np.flatnonzero(word[1:-1] & ~word[:-2]) + lo)
+        stops.append(np.flatnonzero(word[1:-1] & ~word[2:]) + lo + 1)
+    edge = np.unique(offsets[1:-1])
+    edge = edge[(edge > 0) & (edge < n)]
+    edge = edge[~SPACE[data[edge]] & ~SPACE[data[edge - 1]]]  # one text's last word ends and the next one's first begins
+    starts, ends = (np.sort(np.concatenate([*x, edge])) if len(edge) else np.concatenate(x) for x in (begins, stops))
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
@@ -130,15 +131,82 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The polynomial sum of each span, counted from its own start; from one running sum over all of data."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers("up", len(data) + 1)[: len(data)], out=total[1:])
+    return (total[ends] - total[starts]) * _powers("down", len(data) + 1)[starts]
+
+
+def _long_sum(data: np.ndarray) -> np.uint64:
+    """The same for one span of any length, piece by piece."""
+    total, shift = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    up = _powers("up", HASH_BYTES + 1)
+    for lo in range(0, len(data), HASH_BYTES):
+        piece = data[lo : lo + HASH_BYTES]
+        total += shift * ((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)]).sum(dtype=np.uint64)
+        shift *= up[HASH_BYTES : HASH_BYTES + 1]
+    return total[0]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit content hashes of byte spans, from one running polynomial sum over the buffer."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers("up", n + 1)[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * _powers("down", n + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit content hashes of byte spans, HASH_BYTES of the buffer at a time."""
+    if len(starts) > 1 and (starts[1:] < starts[:-1]).any():
+        order = np.argsort(starts, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return span_hashes(data, starts[order], ends[order])[back]
+    out = np.zeros(len(starts), np.uint64)
+    lo, reach = 0, np.maximum.accumulate(ends) if len(ends) else ends
+    while lo < len(starts):
+        first = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(reach, first + HASH_BYTES, "right")))
+        if int(ends[lo]) - first > HASH_BYTES:
+            hi, out[lo] = lo + 1, _long_sum(data[first : int(ends[lo])])
+        else:
+            out[lo:hi] = _sums(data[first : int(reach[hi - 1])], starts[lo:hi] - first, ends[lo:hi] - first)
+        lo = hi
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def cuts(data: np.ndarray, most: int = HASH_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of about `most` bytes that end behind white space, so that no word is cut; a longer word stays whole."""
+    start, n = 0, len(data)
+    while start < n:
+        stop, back = min(start + most, n), 0
+        if stop < n:
+            tail = np.flatnonzero(SPACE[data[start:stop]])
+            back = len(tail)
+            stop = start + int(tail[-1]) + 1 if back else stop
+        while not back and stop < n:  # a word of over `most` bytes: up to the next white space
+            ahead = np.flatnonzero(SPACE[data[stop : stop + most]])
+            back = len(ahead)
+            stop = stop + int(ahead[0]) + 1 if back else min(stop + most, n)
+        yield start, stop
+        start = stop
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, and the number of words of each; in slices, so that a word's own eight bytes are all that grows with a text."""
+    out, counts = [np.zeros(0, np.uint64)], np.zeros(len(offsets) - 1, np.int64)
+    most = HASH_BYTES
+    groups = [(0, 0)]
+    while groups[-1][1] < len(counts):  # texts of `most` bytes together, or one longer text
+        first = groups[-1][1]
+        groups.append((first, max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)))
+    for a, b in groups[1:]:
+        own = data[offsets[a] : offsets[b]]
+        for lo, hi in cuts(own, most) if b == a + 1 else [(0, len(own))]:
+            low = lowered(own[lo:hi])
+            starts, ends, row = words_of(low, offsets[a : b + 1] - offsets[a] if b > a + 1 else np.array([0, hi - lo]))
+            out.append(span_hashes(low, starts, ends))
+            counts[a:b] += np.bincount(row, minlength=b - a)
+    return np.concatenate(out), counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm._common import by_bytes, flat, fresh, materialize, mix, shuffle_parts, span_hashes, words_of
+from siltstone.llm._common import by_bytes, flat, fresh, materialize, mix, shuffle_parts, word_hashes
 
 BASE, BITS_PER_KEY, PROBES = 1.5, 10, 7
 #: Words counted in a task before its blobs are emitted.
@@ -53,12 +53,11 @@ _LEVEL_SALT = np.uint64(0xA0761D6478BD642F)
 def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text, an end token after each text's, and n + 1 offsets."""
     data, offsets = flat(text)
-    lower = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-    starts, ends, row = words_of(lower, offsets)
+    hashes, counts = word_hashes(data, offsets)
     n = len(offsets) - 1
-    out_offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n) + 1)])
+    out_offsets = np.concatenate([[0], np.cumsum(counts + 1)])
     out = np.full(int(out_offsets[-1]), END, np.uint64)
-    out[np.arange(len(starts)) + row] = span_hashes(lower, starts, ends)
+    out[np.arange(len(hashes)) + np.repeat(np.arange(n), counts)] = hashes
     return out, out_offsets
 
 

@@ -16,7 +16,7 @@ in its size. Components come from large-star/small-star steps (Kiveris et al., "
 in MapReduce and Beyond") over links only, with every step written to the shared folder.
 
 Defined cases: a null or empty text has no words and fingerprint zero, and links like any other;
-fewer words than the shingle's are one shingle; repeated rows count as documents with one
+fewer words than the shingle's are one shingle; a very long text is read in slices; repeated rows count as documents with one
 fingerprint; a null document id gets its component's smallest id (null if it has none); other
 columns pass unchanged; an empty table gives no rows.
 """
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from siltstone.llm._common import drop_table, fresh, materialize, written
+from siltstone.llm._common import cuts, drop_table, fresh, materialize, written
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Posting lists of up to this many fingerprints are compared pair by pair.
@@ -43,26 +43,32 @@ FEW, HOT = 64, 512
 _HALVES = [c for half in (range(4), range(4, 8)) for c in combinations(half, 3)]
 
 
-def fingerprint_text(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Unsigned 64-bit hashes of the text's shingles."""
-    words = (text or "").encode().lower().split()  # bytes: lower() is A-Z only, split() is at \x20 and \x09-\x0D
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
-    return np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, len(words) - shingle + 1)
-
-
-def simhash(hashes: np.ndarray) -> int:
-    if not len(hashes):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for a in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[a : a + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Unsigned 64-bit hashes of the text's shingles, in slices: the last words of one begin the next."""
+    data, digest, carry, some = (text or "").encode(), xxhash.xxh64_intdigest, [], False
+    for lo, hi in cuts(np.frombuffer(data, np.uint8)):
+        words = carry + data[lo:hi].lower().split()  # bytes: lower() is A-Z only, split() is at \x20 and \x09-\x0D
+        carry = words[max(0, len(words) - shingle + 1) :] if shingle > 1 else []
+        if len(words) < shingle:
+            continue
+        some = True
+        line = b" ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
+        yield np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, len(words) - shingle + 1)
+    if carry and not some:
+        yield np.array([digest(b" ".join(carry), SEED)], np.uint64)
+
+
+def simhash(parts: Iterator[np.ndarray]) -> int:
+    """The fingerprint of hashes that come in parts: a bit is 1 if it is set in over half of them."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        n += len(hashes)
+        for a in range(0, len(hashes), 1 << 16):
+            ones += np.unpackbits(hashes[a : a + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True) if n else 0
 
 
 def fingerprints(df: DataFrame, *, text: str = "text", out: str = "fingerprint", shingle: int = SHINGLE) -> DataFrame:
@@ -71,7 +77,7 @@ def fingerprints(df: DataFrame, *, text: str = "text", out: str = "fingerprint",
     @arrow_udf("bigint")
     def mark(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pa.array([simhash(fingerprint_text(x.as_py(), shingle)) for x in batch], pa.int64())
+            yield pa.array([simhash(shingle_hashes(x.as_py(), shingle)) for x in batch], pa.int64())
 
     return df.withColumn(out, mark(F.col(text)))
 
