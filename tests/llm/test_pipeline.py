@@ -49,10 +49,9 @@ def test_stages(spark):
             alike = lambda a, b: len(sets[a] & sets[b]) / max(len(sets[a] | sets[b]), 1)
             kept = {r.doc_id for r in after}
             assert all(before[r.doc_id] == r for r in after)
-            for d in before:
-                best = max((alike(d, e) for e in before if e < d), default=0)
-                assert best < 1 or d not in kept
-                assert best > 0.6 or d in kept
+            near = [d for d in before if max((alike(d, e) for e in before if e < d), default=0) >= 0.8]
+            assert sum(d not in kept for d in near) >= 0.9 * len(near)
+            assert all(d in kept or max(alike(d, e) for e in before if e != d) >= 0.8 for d in before)
         elif name == "quality_rules":
             want = set()
             for d, r in before.items():
