@@ -209,6 +209,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(out), counts
 
 
+def give_back() -> None:
+    """Return the memory that Arrow holds for later use: the executor's workers stay when their tasks have ended."""
+    pa.default_memory_pool().release_unused()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -30,14 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from siltstone.llm._common import HASH_BYTES, by_bytes, flat, fresh, span_hashes, words_of
+from siltstone.llm._common import HASH_BYTES, by_bytes, flat, fresh, give_back, span_hashes, words_of
 
 PASSAGE_WORDS, SAMPLE, SAMPLE_PASSAGES, BAGS, BUCKETS = 50, 3000, 100_000, 16, 1024
 HIDDEN, ATTENTION, RATE, DECAY = 16, 8, 0.02, 1e-4
 #: Passages encoded at a time when scoring.
-AT_ONCE = 4096
+AT_ONCE = 512
 #: Passages of a mini-batch (of whole bags), and the least numbers of passes and of steps.
 BATCH_PASSAGES, EPOCHS, STEPS = 8192, 10, 240
 
@@ -226,12 +227,15 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     chosen = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 x sample rows of two numbers
 
-    @arrow_udf("array<float>")
-    def bags(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            yield pa.array([b for lo, hi in by_bytes(batch) for b in _bags(batch.slice(lo, hi - lo))], pa.list_(pa.float32()))
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in by_bytes(batch.column("text")):
+                own = pa.array(_bags(batch.column("text").slice(lo, hi - lo)), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("id", "y")), own], ["id", "y", "bag"])
+            give_back()
 
-    found = short.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(chosen, "id").select("id", "y", bags("text").alias("bag"))
+    found = short.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(chosen, "id").select("id", "y", "text")
+    found = found.mapInArrow(bags, T.StructType([found.schema["id"], found.schema["y"], T.StructField("bag", T.ArrayType(T.FloatType()))]))
     found = found.groupBy("id", "y").agg(F.min("bag").alias("bag")).withColumn("n", F.size("bag") / FEATURES)
     so_far = F.sum("n").over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))  # over at most `sample` rows
     found = found.withColumn("so_far", so_far).filter(F.col("so_far") <= passages).select("id", "y", "bag").toArrow().sort_by("id")
@@ -259,5 +263,6 @@ def score(df: DataFrame, model: AttentionModel | None, *, text: str = "text", ou
             for lo, hi in by_bytes(batch):
                 parts.append(model.scores(*encode_passages(*flat(batch.slice(lo, hi - lo)))) if model else np.full(hi - lo, 0.5))
             yield pa.array(np.concatenate(parts))
+            give_back()
 
     return df.withColumn(*fresh(df, out), run(F.col(text)))
