@@ -1,20 +1,27 @@
-"""A feed of documents: a snapshot first, then what changed.
+"""A feed of documents: a snapshot first, then what changed, and what has stalled.
 
 delta() compares two snapshots as tables. changes() is the stream: states of documents come in, and
 only those go out that differ from the document's last one, by a fingerprint of the watched columns.
-State is one row for each document, dealt by its id.
+State is one typed row for each document, dealt by its id; it can begin as a snapshot's (the feed's first
+tick), of which nothing goes out. A document whose work is open and that isn't heard of for a while is
+reported as stalled: by a timer if it stays silent, or when it is heard of again too late.
 """
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 CHANGES = "id bigint, version bigint, kind string, fingerprint bigint"
+#: A document's state as it is kept; told: that it has stalled was reported.
+STATE = T.StructType([*(T.StructField(c, T.LongType()) for c in ("version", "fingerprint")), *(T.StructField(c, T.BooleanType()) for c in ("deleted", "open")), T.StructField("at", T.LongType()), T.StructField("told", T.BooleanType())])
+State = namedtuple("State", STATE.fieldNames())
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def mark(*watched: str) -> Column:
@@ -30,30 +37,80 @@ def delta(before: DataFrame, now: DataFrame, key: str, watched: list[str]) -> Da
     return both.select(key, kind.alias("kind")).filter("kind IS NOT NULL")
 
 
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen = state.get if state.exists else None
-    rows = []
-    # a key's states within one micro-batch; they come in pieces, and versions decide their order
-    for row in pd.concat([f[["version", "fingerprint", "deleted"]] for f in frames]).sort_values("version").itertuples():
-        if seen is not None and row.version <= seen[0]:
-            continue  # late or repeated
-        if row.deleted:
-            kind = "removed" if seen is not None and not seen[2] else None
-        elif seen is None or seen[2]:
-            kind = "added"
-        else:
-            kind = "changed" if row.fingerprint != seen[1] else None
-        seen = (int(row.version), int(row.fingerprint), bool(row.deleted))
-        if kind:
-            rows.append((key[0], row.version, kind, row.fingerprint))
-    if seen is not None:
-        state.update(seen)
-    yield pd.DataFrame(rows, columns=["id", "version", "kind", "fingerprint"])
-
-
-def changes(states: DataFrame) -> DataFrame:
-    """states: a stream of (id, version, fingerprint, deleted). Repeated and late versions change nothing; a removed document's version stays in the state."""
-    return states.groupBy("id").applyInPandasWithState(_step, CHANGES, "version bigint, fingerprint bigint, deleted boolean", "append", GroupStateTimeout.NoTimeout)
+class Changes(StatefulProcessor):
+    """One document's last state, and a timer while its work is open. Times are milliseconds."""
+
+    def __init__(self, stall_after_ms: int):
+        self.limit = stall_after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.seen = handle, handle.getValueState("seen", STATE)
+
+    def _keep(self, row, told: bool = False) -> None:
+        self.seen.update((row.version, row.fingerprint, row.deleted, row.open, row.at, told))
+
+    def _watch(self, row) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if row.open and not row.deleted:
+            self.handle.registerTimer(row.at + self.limit)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._keep(initialState)
+        self._watch(initialState)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last, out = (State(*self.seen.get()) if self.seen.exists() else None), []
+        now = last
+        # versions decide the order of what came in one micro-batch
+        for row in sorted(rows, key=lambda r: r.version):
+            if now is not None and row.version <= now.version:
+                continue  # late or repeated
+            if now is not None and now.open and not now.deleted and not now.told and row.at - now.at > self.limit:
+                out.append((now.version, "stalled", now.fingerprint))
+            if row.deleted:
+                kind = "removed" if now is not None and not now.deleted else None
+            elif now is None or now.deleted:
+                kind = "added"
+            else:
+                kind = "changed" if row.fingerprint != now.fingerprint else None
+            if kind:
+                out.append((row.version, kind, row.fingerprint))
+            now = State(row.version, row.fingerprint, row.deleted, row.open, row.at, False)
+        if now is not None and now is not last:
+            self._keep(now)
+            self._watch(now)
+        for version, kind, fingerprint in out:
+            yield Row(id=key[0], version=version, kind=kind, fingerprint=fingerprint)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = State(*self.seen.get())
+        if now.open and not now.deleted and not now.told:
+            self._keep(now, told=True)
+            yield Row(id=key[0], version=now.version, kind="stalled", fingerprint=now.fingerprint)
+
+    def close(self) -> None:
+        pass
+
+
+def changes(states: DataFrame, *, stall_after_ms: int = 900_000, delay: str = "1 second", first: DataFrame | None = None) -> DataFrame:
+    """CHANGES of a stream of (id, version, fingerprint, deleted, open, ts).
+
+    Repeated and late versions change nothing; a removed document's version stays in the state. first:
+    a snapshot with the same columns, from which the states begin. Timers follow the stream's own time.
+    """
+    states.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # the one that keeps typed state and timers
+    timed = lambda df: df.withColumn("at", F.unix_millis("ts"))
+    known = timed(first).select("id", "version", "fingerprint", "deleted", "open", "at").groupBy("id") if first is not None else None
+    return timed(states).withWatermark("ts", delay).groupBy("id").transformWithState(Changes(stall_after_ms), T.StructType.fromDDL(CHANGES), "Append", "EventTime", initialState=known)
+
+
+def replayed(ticks: list[DataFrame], path: str) -> DataFrame:
+    """A stream of the tables' rows, a table after another: each is written as one set of files, and files are read in the order of their writing."""
+    spark: SparkSession = ticks[0].sparkSession
+    for k, rows in enumerate(ticks):
+        rows.write.parquet(f"{path}/tick={k}")
+    return spark.readStream.schema(ticks[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
 
 
 def stalled(jobs: DataFrame, now: Column, after_seconds: int = 900) -> DataFrame:
