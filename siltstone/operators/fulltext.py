@@ -24,11 +24,21 @@ from siltstone.operators.retrieval import top_by
 DIGITS = 9
 
 
+def stemmed(words: DataFrame) -> DataFrame:
+    """words (word) with their `stem`.
+
+    Stemming is the work here, not the bytes: rows are spread by number, and explode() keeps the long
+    expression from being repeated in filters and keys.
+    """
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words.repartition(n, "word").select("*", F.explode(stems("array(word)")).alias("stem"))
+
+
 def questions(asked: DataFrame, most: int | None = None) -> DataFrame:
     """(query_id, stem, nth): the distinct stems of each question (query_id, text), numbered from 0 by their first place; `most` takes the first ones."""
     words = asked.select("query_id", F.posexplode(words_of(F.col("text"))).alias("at", "word")).filter(~F.col("word").isin(STOP_WORDS))
-    stemmed = words.withColumn("stem", F.element_at(stems("array(word)"), 1)).groupBy("query_id", "stem").agg(F.min("at").alias("at"))
-    out = stemmed.select("query_id", "stem", (F.row_number().over(Window.partitionBy("query_id").orderBy("at")) - 1).alias("nth"))
+    found = stemmed(words).groupBy("query_id", "stem").agg(F.min("at").alias("at"))
+    out = found.select("query_id", "stem", (F.row_number().over(Window.partitionBy("query_id").orderBy("at")) - 1).alias("nth"))
     return out if most is None else out.filter(F.col("nth") < most)
 
 
@@ -36,7 +46,7 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, position from 1, stem) of the words of docs (id, text) whose stem is in terms (stem), dealt by id."""
     places = docs.filter("id IS NOT NULL").select("id", F.posexplode(words_of(F.col("text"))).alias("at", "word"))
     vocabulary = places.select("word").distinct().filter(~F.col("word").isin(STOP_WORDS))
-    known = vocabulary.withColumn("stem", F.element_at(stems("array(word)"), 1)).join(terms.select("stem").distinct(), "stem", "left_semi")
+    known = stemmed(vocabulary).join(terms.select("stem").distinct(), "stem", "left_semi")
     return places.join(known, "word").select("id", (F.col("at") + 1).alias("position"), "stem").repartition("id")
 
 
