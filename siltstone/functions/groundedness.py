@@ -1,7 +1,7 @@
 r"""How far an answer's claims are covered by its citation marks, block by block.
 
 A claim is a sentence of four words or more outside fenced code; lines are sentences of their own, and
-a full stop after an initial, an abbreviation or a token with a stop inside ends none. A mark covers
+signs after an initial, an abbreviation or a token with a stop inside end none. A mark covers
 the claims of its block (blank lines part blocks) that begin before it; one with none before it in its
 block covers the nearest earlier claim; the first mark of an answer, where nothing stands before it in
 its block and no claim before that, covers the first claim.
@@ -20,7 +20,8 @@ ABBREVIATIONS = "al approx cf dr eg esp etc fig ie inc jr ltd mr mrs ms no prof
 MARK, STOP, END = "\u0001", "\u0002", "\u0003"
 # The start of a code fence, leading signs of a line, and a word.
 FENCE, DECORATION, WORD = r"^\s*(```|~~~)", r"^([>#*+\-•]+[ \t]*|[0-9]+[.)][ \t]+)+", r"[0-9A-Za-z][0-9A-Za-z'’-]*"
-_TOKEN = r"(^|[^A-Za-z.])([A-Za-z]|(?i:" + "|".join(ABBREVIATIONS) + r")|[A-Za-z][A-Za-z]*\.[A-Za-z.]*)\."
+#: A letter alone, an abbreviation or letters with stops between, and the signs behind it, whichever they are and however many.
+_TOKEN = r"(^\.*|[^A-Za-z.]\.*)([A-Za-z]|(?i:" + "|".join(ABBREVIATIONS) + r")|[A-Za-z]+(?:\.+[A-Za-z]+)+)[.!?]+"
 
 
 def marked(answer: Column, sources: Column) -> Column:

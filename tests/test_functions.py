@@ -156,3 +156,56 @@ def test_object_keys():
     for bad in ("/x", "../x", ""):
         with pytest.raises(ValueError):
             files.object_key("t", "d", bad)
+
+
+def test_signs_behind_initials_and_abbreviations_end_no_sentence(spark):
+    """Any of the signs, and the whole run of them, behind a letter alone, an abbreviation or a token with stops."""
+    from siltstone.functions import groundedness as gr
+
+    texts = {
+        "Is it about vitamin C? The answer is clearly yes here.": 1,
+        "Choose option B! This one is the better choice.": 1,
+        "Apples, pears, etc... Second part of the same sentence.": 1,
+        "It came from the U.S.!? Nobody had expected that then.": 1,
+        "See fig.? It shows the whole of it.": 1,
+        "This is a real end? And this is another one.": 2,
+        "It costs 3.5 in all. That is not very much.": 2,
+        "He said \"stop it now.\" Then all of them left.": 2,
+    }
+    df = spark.createDataFrame(list(texts.items()), "line string, n int")
+    found = df.select("line", F.size(gr.sentences(F.col("line"))).alias("found"), "n").collect()
+    assert [(r.line, r.found) for r in found] == list(texts.items())
+
+
+def test_white_space_across_the_limit_parts_there():
+    from siltstone.functions import chunking as ch
+
+    text = "a" * 1000 + " " + "b" * 998 + "   " + "c" * 1500
+    assert ch.spans(text, ch.Sizes(2000, 0, 200))[0] == (0, 1999)
+    # against the plain rule: each kind's last match that ends in the window, found in the window alone
+    import random
+
+    draw = random.Random(3)
+    for _ in range(200):
+        body = "".join(draw.choice(["word", "a", ". ", "\n", "   ", "!\" ", "\n \n", "  \n"]) for _ in range(60))
+        places = ch.Boundaries(body, ch.WORD)
+        low = draw.randrange(len(body) - 1)
+        high = draw.randrange(low + 1, len(body))
+        want = None
+        for kind in (ch.SENTENCE, ch.WORD):
+            ends = [m.end() for m in ch._COMPILED[kind].finditer(body, low, high)]
+            own = places.last(low, high, slice(kind, kind + 1))
+            if body[low].isspace() or (low and body[low - 1] in ".!?…\"'”’)]"):
+                continue  # a window that begins inside of a match
+            assert own == (ends[-1] if ends and ends[-1] > low else None), (body, low, high, kind)
+
+
+def test_a_header_of_half_the_target_isnt_repeated(spark):
+    from siltstone.functions import chunking as ch
+
+    rows = "\n".join(f"row number {k}" for k in range(12))
+    blocks = spark.createDataFrame([(1, 0, "h" * 29 + "\n" + rows, True, True), (2, 0, "h" * 30 + "\n" + rows, True, True)], "id int, block_order int, text string, is_table boolean, header boolean")
+    found = {1: [], 2: []}
+    for r in ch.chunk_blocks(blocks, sizes=ch.Sizes(60, 0, 10)).orderBy("id", "chunk_index").collect():
+        found[r.id].append(r.text.startswith("h"))
+    assert all(found[1]) and len(found[1]) > 2 and sum(found[2]) == 1
