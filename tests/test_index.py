@@ -93,3 +93,14 @@ def test_trial_vectors_against_plain_hashing(spark):
     with pytest.raises(ValueError):
         embedding.vector_of(F.lit("x"), 12)
     assert retrieval.unit(F.array(F.lit(0.0))) is not None
+
+
+def test_probes_are_cleaned_and_bounded(spark):
+    from siltstone.operators import probes
+
+    rows = [(1, "  What is it? \n", ["what", " what ", "", None, "What is it?", "a longer form of it", "one more"]), (2, " \t", ["x"]), (3, None, None), (4, "q", None)]
+    df = spark.createDataFrame(rows, "question_id long, text string, sub_queries array<string>")
+    found = [(r.question_id, r.probe, r.text) for r in probes.probes_of(df, 2, 8).orderBy("question_id", "probe").collect()]
+    assert found == [(1, 0, "What is it?"), (1, 1, "what"), (1, 2, "What is"), (4, 0, "q")]
+    with pytest.raises(ValueError):
+        probes.probes_of(df, 100)
