@@ -31,11 +31,18 @@ def batch_of(place: Column, size: int = 5) -> Column:
     return F.struct(F.floor((place - 1) / size).alias("batch"), ((place - 1) % size + 1).alias("number"))
 
 
-def chunk_meta(block_order: Column, block_chunk_index: Column, label: Column, kind: Column, configured: dict[str, str]) -> Column:
-    """A chunk's metadata as JSON: its place and what made it; absent parts are left out."""
+def chunk_meta(block_order: Column, block_chunk_index: Column, label: Column, kind: Column, configured: dict[str, str], *, char_start: Column, char_end: Column, text: Column, extraction: Column) -> Column:
+    """A chunk's metadata as JSON: its place, its stretch of the block and its own length, how its text was got, and what made it; absent parts are left out."""
     locator = F.struct(kind.alias("kind"), label.alias("label"))
+    stretch = [char_start.alias("char_start"), char_end.alias("char_end"), F.length(text).alias("char_count")]
     made = [F.lit(v).alias(k) for k, v in configured.items()]
-    return F.to_json(F.struct(block_order.alias("block_order"), block_chunk_index.alias("block_chunk_index"), locator.alias("locator"), *made))
+    return F.to_json(F.struct(locator.alias("locator"), block_order.alias("block_order"), block_chunk_index.alias("block_chunk_index"), *stretch, *made, extraction.alias("extraction")))
+
+
+def stretch_of(meta: Column) -> Column:
+    """struct<char_start, char_end, char_count, extraction> of the metadata; null parts as in place_of."""
+    number = lambda name: F.get_json_object(meta, f"$.{name}").try_cast("int").alias(name)
+    return F.struct(number("char_start"), number("char_end"), number("char_count"), F.get_json_object(meta, "$.extraction").alias("extraction"))
 
 
 def place_of(meta: Column) -> Column:

@@ -25,9 +25,11 @@ def chunk_metadata(spark, sf_dir) -> DataFrame:
     """Metadata written for chunks and read back; some have no label, some metadata is null or no JSON."""
     i = F.col("id")
     chunks = app(spark, sf_dir, "chunks").select("id", "chunk_index")
-    meta = pr.chunk_meta((i % 9).cast("int"), (i % 4).cast("int"), F.when(i % 5 > 0, F.concat(F.lit("rows "), (i % 50).cast("string"))), F.lit("table"), PIPELINE)
+    meta = pr.chunk_meta(
+        (i % 9).cast("int"), (i % 4).cast("int"), F.when(i % 5 > 0, F.concat(F.lit("rows "), (i % 50).cast("string"))), F.lit("table"), PIPELINE,
+        char_start=(i % 100).cast("int"), char_end=(i % 100 + i % 30).cast("int"), text=F.repeat(F.lit("x"), (i % 30 + i % 2).cast("int")), extraction=F.when(i % 3 == 0, "table").when(i % 3 == 1, "ocr").otherwise("text"))
     meta = F.when(i % 7 == 0, F.lit(None).cast("string")).when(i % 7 == 1, F.lit("not json")).when(i % 7 == 2, F.lit('{"block_order":"x","locator":3}')).otherwise(meta)
-    return chunks.select("id", pr.place_of(meta).alias("p")).select("id", "p.*")
+    return chunks.select("id", pr.place_of(meta).alias("p"), pr.stretch_of(meta).alias("s")).select("id", "p.*", "s.*")
 
 
 def detected_types(spark, sf_dir) -> DataFrame:
@@ -106,7 +108,9 @@ _FENCES = (pr.FENCE_OPEN, pr.FENCE_CLOSE)
 SQL = {
     "prompt_sources": f"""WITH {app_sql('docs')}, p AS (SELECT d.*, t.text, row_number() OVER (PARTITION BY knowledge_base_id ORDER BY size_bytes DESC, id) AS place FROM docs d JOIN documents t ON t.doc_id = d.id QUALIFY place <= 8)
 SELECT knowledge_base_id, CAST(place AS INTEGER) AS place, (place - 1) // 5 AS batch, CAST((place - 1) % 5 + 1 AS INTEGER) AS number, sha256(concat_ws(chr(10), '{_FENCES[0]}', '[S' || place || '] filename=' || filename || ' locator=' || coalesce('p. ' || page_count, ''), substring(text, 1, 1200), '{_FENCES[1]}')) AS block FROM p""",
-    "chunk_metadata": f"""WITH {app_sql('chunks')} SELECT id, CASE WHEN id % 7 > 2 THEN CAST(id % 9 AS INTEGER) END AS block_order, CASE WHEN id % 7 > 2 THEN CAST(id % 4 AS INTEGER) END AS block_chunk_index, CASE WHEN id % 7 > 2 AND id % 5 > 0 THEN 'rows ' || (id % 50) END AS label FROM chunks""",
+    "chunk_metadata": f"""WITH {app_sql('chunks')} SELECT id, CASE WHEN id % 7 > 2 THEN CAST(id % 9 AS INTEGER) END AS block_order, CASE WHEN id % 7 > 2 THEN CAST(id % 4 AS INTEGER) END AS block_chunk_index, CASE WHEN id % 7 > 2 AND id % 5 > 0 THEN 'rows ' || (id % 50) END AS label,
+CASE WHEN id % 7 > 2 THEN CAST(id % 100 AS INTEGER) END AS char_start, CASE WHEN id % 7 > 2 THEN CAST(id % 100 + id % 30 AS INTEGER) END AS char_end, CASE WHEN id % 7 > 2 THEN CAST(id % 30 + id % 2 AS INTEGER) END AS char_count,
+CASE WHEN id % 7 > 2 THEN CASE id % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'ocr' ELSE 'text' END END AS extraction FROM chunks""",
     "detected_types": f"""WITH {app_sql('docs')} SELECT id, CASE WHEN id % 4 = 0 AND id % 3 = 0 THEN 'pdf' WHEN id % 4 = 1 AND id % 3 = 1 THEN 'docx' WHEN id % 4 > 1 AND id % 3 = 2 AND id % 5 > 0 THEN CASE id % 4 WHEN 2 THEN 'csv' ELSE 'md' END END AS suffix FROM docs""",
     "failure_texts": "WITH c AS (SELECT CASE user_id % 6 WHEN 0 THEN 'TIMEOUT' WHEN 1 THEN 'RATE_LIMITED' WHEN 2 THEN 'LLM_ERROR' WHEN 3 THEN 'RETRIEVAL_UNAVAILABLE' ELSE 'SYSTEM_FAILURE' END AS failure FROM events WHERE event_type = 'error') SELECT failure, count(*) AS n, CASE failure " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in pr.COPY.items()) + f" ELSE '{pr.SYSTEM[1]}' END AS copy FROM c GROUP BY failure",
     "probe_lists": "SELECT item_id, sha256(concat_ws('|', text, 'one', 'two', 'three ' || item_id)) AS probes FROM benchmark",

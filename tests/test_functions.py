@@ -209,3 +209,59 @@ def test_a_header_of_half_the_target_isnt_repeated(spark):
     for r in ch.chunk_blocks(blocks, sizes=ch.Sizes(60, 0, 10)).orderBy("id", "chunk_index").collect():
         found[r.id].append(r.text.startswith("h"))
     assert all(found[1]) and len(found[1]) > 2 and sum(found[2]) == 1
+
+
+def plain_spans(text, target, overlap, least, floor):
+    """The chunks of a text by looking through each window for the boundaries of each kind."""
+    import re
+
+    kinds = [re.compile(p) for p in (r"\n[ \t]*\n", r"\n", r"(?<=[.!?…])[\"'”’)\]]*\s+", r"\s+")]
+    out, start = [], 0
+    least = min(least, target)
+
+    def last(low, high, own):
+        for kind in own:
+            # a boundary ends behind low and at high at most; white space that goes on is cut off at high
+            ends = [m.end() for m in kind.finditer(text, 0, high) if m.end() > low]
+            if ends:
+                return ends[-1]
+        return None
+
+    def first(low, high):
+        for kind in kinds:
+            ends = [m.end() for m in kind.finditer(text) if low < m.end() < high]
+            if ends:
+                return ends[0]
+        return None
+
+    while start < len(text):
+        limit = start + target
+        if limit >= len(text):
+            stop = len(text)
+        else:
+            stop = last(start + max(least, int(target * floor)), limit, kinds) or last(start, limit, kinds[-1:]) or limit
+        end = len(text) if len(text) - stop < least else stop
+        body = text[start:end]
+        if body.strip():
+            begin = start + len(body) - len(body.lstrip())
+            out.append(text[begin : begin + len(body.strip())])
+        if end == len(text):
+            break
+        start = (first(max(stop - overlap, start + 1), stop) if overlap else None) or stop
+    return out
+
+
+def test_registered_chunks_against_plain_windows(spark):
+    import collections
+    import hashlib
+
+    from siltstone.functions.chunking import Sizes
+    from siltstone.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    found, sizes = collections.defaultdict(dict), Sizes()
+    for r in queries.queries()["chunk_documents"](spark, sf).collect():
+        found[r.id][r.chunk_index] = r.chunk_hash
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        want = plain_spans(r.text or "", sizes.target, sizes.overlap, sizes.least, sizes.floor)
+        assert found.get(r.doc_id, {}) == {k: hashlib.sha256(c.encode()).hexdigest() for k, c in enumerate(want)}
