@@ -265,3 +265,29 @@ def test_registered_chunks_against_plain_windows(spark):
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         want = plain_spans(r.text or "", sizes.target, sizes.overlap, sizes.least, sizes.floor)
         assert found.get(r.doc_id, {}) == {k: hashlib.sha256(c.encode()).hexdigest() for k, c in enumerate(want)}
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_batches_of_a_group_over_many_tasks(spark, parts):
+    """The same numbers as going through each group row by row, however its rows are dealt."""
+    draw = random.Random(parts)
+    sizes = {"a": [draw.choice([0, 0, 1, 3, 40, 99, 100, 101, 500]) for _ in range(400)], "b": [0] * 50, "c": [1000], None: [10] * 30}
+    rows = [(g, k, "x" * n) for g, own in sizes.items() for k, n in enumerate(own)] + [("d", 0, None)]
+    df = spark.createDataFrame(rows, "source string, doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = {(r.source, r.doc_id): r.batch for r in chunking.batches(df, group="source", order="doc_id", text="text", most_rows=7, most_chars=100).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = {("d", 0): 1}
+    for g, own in sizes.items():
+        batch, count, chars = 1, 0, 0
+        for k, n in enumerate(own):
+            if count and (count >= 7 or chars + n > 100):
+                batch, count, chars = batch + 1, 0, 0
+            count, chars = count + 1, chars + n
+            want[g, k] = batch
+    assert found == want
