@@ -5,8 +5,10 @@ States are functions from a table to its next one: `on` says which rows change.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,12 +214,39 @@ def next_version(docs: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def admit(docs: DataFrame, uploads: DataFrame, quota: int) -> DataFrame:
-    """(id, verdict) of uploads (id, owner_id, knowledge_base_id, checksum, size_bytes), judged against the stored state: duplicate, over_quota or accepted."""
+    """(id, verdict) of uploads (id, owner_id, knowledge_base_id, checksum, size_bytes), judged one after another by id: over_quota, duplicate or accepted.
+
+    Each is held against what is stored and what was accepted before it; only accepted ones take room. A base
+    has one owner and equal checksums equal sizes, so a further copy in a base never takes room: its first
+    one did, or was beyond the quota too. That leaves one number an owner, the room. Owners whose uploads
+    all fit, and uploads larger than the room at the start, need no order; the others' go through a task as
+    a sorted stream, nothing of it is held.
+    """
     live = docs.filter(F.col("deleted_at").isNull())
     used = live.groupBy("owner_id").agg(F.sum("size_bytes").alias("used"))
-    known = live.groupBy("knowledge_base_id", "checksum").agg(F.lit(True).alias("known"))
-    met = uploads.join(used, "owner_id", "left").join(known, ["knowledge_base_id", "checksum"], "left")
-    return met.select("id", F.when(F.col("known"), "duplicate").when(F.coalesce("used", F.lit(0)) + F.col("size_bytes") > quota, "over_quota").otherwise("accepted").alias("verdict"))
+    known = live.filter("checksum IS NOT NULL").groupBy("knowledge_base_id", "checksum").agg(F.lit(True).alias("known"))
+    first = uploads.filter("checksum IS NOT NULL").groupBy("knowledge_base_id", "checksum").agg(F.min("id").alias("first"))
+    met = uploads.join(used, "owner_id", "left").join(known, ["knowledge_base_id", "checksum"], "left").join(first, ["knowledge_base_id", "checksum"], "left")
+    rows = met.select("id", "owner_id", F.coalesce("size_bytes", F.lit(0)).cast("long").alias("size"), (F.lit(quota).cast("long") - F.coalesce("used", F.lit(0))).alias("room"), (F.col("known").isNull() & F.coalesce(F.col("first") == F.col("id"), F.lit(True))).alias("fresh"))
+    rows = rows.withColumn("fits", F.col("size") <= F.col("room"))
+    # with all that fit at the start accepted, is there still room for the largest of them?
+    asked = rows.groupBy("owner_id").agg((F.coalesce(F.sum(F.when(F.col("fresh") & F.col("fits"), F.col("size"))), F.lit(0)) + F.coalesce(F.max(F.when(F.col("fits"), F.col("size"))), F.lit(0)) > F.min("room")).alias("tight"))
+    rows = rows.join(asked.select(F.col("owner_id").alias("asker"), "tight"), F.col("owner_id").eqNullSafe(F.col("asker"))).drop("asker")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, left = object(), 0
+        for batch in batches:
+            fits = []
+            for of, size, room, fresh in zip(*(batch.column(c).to_pylist() for c in ("owner_id", "size", "room", "fresh"))):
+                owner, left = of, left if of == owner else room
+                fits.append(size <= left)
+                left -= size if fresh and fits[-1] else 0
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fresh"), pa.array(fits, pa.bool_())], ["id", "fresh", "fits"])
+
+    kind = uploads.schema["id"].dataType.simpleString()
+    ordered = rows.filter("tight AND fits").select("owner_id", "id", "size", "room", "fresh").repartition("owner_id").sortWithinPartitions("owner_id", "id")
+    judged = ordered.mapInArrow(judge, f"id {kind}, fresh boolean, fits boolean").unionByName(rows.filter("NOT (tight AND fits)").select("id", "fresh", "fits"))
+    return judged.select("id", F.when(~F.col("fits"), "over_quota").when(~F.col("fresh"), "duplicate").otherwise("accepted").alias("verdict"))
 
 
 def swept(jobs: DataFrame, refused: DataFrame, older_than: int, limit: int = 100) -> DataFrame:

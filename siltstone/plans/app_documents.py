@@ -9,7 +9,7 @@ from siltstone.operators import chunks as ch
 from siltstone.operators import documents as d
 from siltstone.plans.app import PIPELINE, app, app_sql
 
-NOW, QUOTA = 9_000, 20_000
+NOW, QUOTA = 9_000, 60_000
 
 
 def _tables(spark, sf_dir, *names) -> tuple[DataFrame, ...]:
@@ -108,9 +108,11 @@ def next_versions(spark, sf_dir) -> DataFrame:
 
 
 def upload_verdicts(spark, sf_dir) -> DataFrame:
-    """Every document uploaded again by the owner after its own: accepted, known in its base, or beyond the owner's quota."""
-    docs = app(spark, sf_dir, "docs")
-    again = docs.select((F.col("id") + 1_000_000).alias("id"), ((F.col("owner_id") + 1) % 7).alias("owner_id"), ((F.col("knowledge_base_id") + F.col("id") % 2) % 25).alias("knowledge_base_id"), "checksum", "size_bytes")
+    """Every document uploaded again, for even ids to the next base and by its owner, some of them twice: accepted, known by then, or beyond the owner's quota at its turn."""
+    docs = app(spark, sf_dir, "docs").withColumn("owner_id", F.col("knowledge_base_id") % 7)
+    base = (F.col("knowledge_base_id") + F.col("id") % 2) % 25
+    again = docs.withColumn("copy", F.explode(F.when(F.col("id") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    again = again.select(((F.col("id") + 1_000_000) * 2 + F.col("copy")).alias("id"), (base % 7).alias("owner_id"), base.alias("knowledge_base_id"), "checksum", "size_bytes")
     return d.admit(docs.filter("owner_id < 3 OR id % 50 = 0"), again, QUOTA)
 
 
@@ -194,9 +196,12 @@ g AS (SELECT * REPLACE (CASE WHEN job_type = 'INGEST' AND status IN ('QUEUED', '
 k AS (SELECT *, status = 'DEAD_LETTER' AND id % 2 = 0 AS q FROM g)
 SELECT id, CASE WHEN q THEN 'QUEUED' ELSE status END AS status, CASE WHEN q THEN 0 ELSE progress END AS progress, attempt_count, CASE WHEN q THEN NULL ELSE error_code END AS error_code, started_at, CASE WHEN q THEN NULL ELSE completed_at END AS completed_at FROM k""",
     "next_versions": f"WITH {app_sql('docs', 'jobs')} SELECT d.id, CAST(greatest(any_value(current_version), coalesce(max(document_version) FILTER (WHERE job_type = 'INGEST'), 0)) + 1 AS INTEGER) AS version FROM docs d LEFT JOIN jobs j ON j.document_id = d.id GROUP BY d.id",
-    "upload_verdicts": f"""WITH {app_sql('docs')}, stored AS (SELECT * FROM docs WHERE (owner_id < 3 OR id % 50 = 0) AND deleted_at IS NULL), used AS (SELECT owner_id, sum(size_bytes) AS used FROM stored GROUP BY ALL),
-again AS (SELECT id + 1000000 AS id, (owner_id + 1) % 7 AS owner_id, (knowledge_base_id + id % 2) % 25 AS base, checksum, size_bytes FROM docs)
-SELECT id, CASE WHEN EXISTS (SELECT 1 FROM stored s WHERE s.knowledge_base_id = again.base AND s.checksum = again.checksum) THEN 'duplicate' WHEN coalesce(used, 0) + size_bytes > {QUOTA} THEN 'over_quota' ELSE 'accepted' END AS verdict FROM again LEFT JOIN used USING (owner_id)""",
+    "upload_verdicts": f"""WITH RECURSIVE {app_sql('docs')}, own AS (SELECT * REPLACE (knowledge_base_id % 7 AS owner_id) FROM docs), stored AS (SELECT * FROM own WHERE (owner_id < 3 OR id % 50 = 0) AND deleted_at IS NULL), used AS (SELECT owner_id, sum(size_bytes) AS used FROM stored GROUP BY ALL),
+again AS (SELECT (id + 1000000) * 2 + copy AS id, (knowledge_base_id + id % 2) % 25 AS base, base % 7 AS owner_id, checksum, coalesce(size_bytes, 0) AS size FROM own, (VALUES (0), (1)) c(copy) WHERE copy = 0 OR id % 4 = 0),
+turn AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY id) AS n, NOT EXISTS (SELECT 1 FROM stored s WHERE s.knowledge_base_id = again.base AND s.checksum = again.checksum) AND (checksum IS NULL OR row_number() OVER (PARTITION BY base, checksum ORDER BY id) = 1) AS fresh FROM again),
+judged AS (SELECT o.owner_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(coalesce(used, 0) AS BIGINT) AS used, '' AS verdict FROM (SELECT DISTINCT owner_id FROM again) o LEFT JOIN used USING (owner_id)
+UNION ALL SELECT t.owner_id, t.n, t.id, CAST(j.used + CASE WHEN fresh AND j.used + size <= {QUOTA} THEN size ELSE 0 END AS BIGINT), CASE WHEN j.used + size > {QUOTA} THEN 'over_quota' WHEN fresh THEN 'accepted' ELSE 'duplicate' END FROM judged j JOIN turn t ON t.owner_id = j.owner_id AND t.n = j.n + 1)
+SELECT id, verdict FROM judged WHERE n > 0""",
     "stale_documents": f"WITH {app_sql('docs', 'chunks', 'jobs')}, {_STALE} SELECT document_id, chunks, tokens, concat_ws(',', CASE WHEN embedding_model THEN 'embedding_model' END, CASE WHEN chunking_version THEN 'chunking_version' END, CASE WHEN preprocessing_version THEN 'preprocessing_version' END) AS inputs FROM split WHERE NOT in_flight ORDER BY created_at, document_id LIMIT 500",
     "stale_totals": f"WITH {app_sql('docs', 'chunks', 'jobs')}, {_STALE} SELECT in_flight, count(*) AS documents, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(tokens) AS BIGINT) AS tokens FROM split GROUP BY in_flight",
     "stale_checks": f"WITH {app_sql('chunks')}, v(document_id, version) AS (VALUES (6, 1), (7, 99), (10, 2), (11, 3)) SELECT v.document_id, version, coalesce(bool_or({_DRIFT}) FILTER (WHERE c.id IS NOT NULL), false) AS stale FROM v LEFT JOIN chunks c ON c.document_id = v.document_id AND c.document_version = version GROUP BY ALL",

@@ -146,9 +146,15 @@ SELECT user_id, count(*) AS sessions, max(n) AS longest FROM sizes GROUP BY user
     "injection_screen": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'clean' WHEN 1 THEN 'blocked' WHEN 2 THEN 'suspicious' WHEN 3 THEN 'blocked' WHEN 4 THEN 'blocked' ELSE 'suspicious' END AS verdict, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 4 THEN 'FENCE_SPOOF' WHEN 5 THEN 'MENTIONS_INJECTION' ELSE 'INSTRUCTION_OVERRIDE' END AS rule FROM documents",
     "request_batches": _BATCHES,
     "defused_texts": "SELECT doc_id, sha256(coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN ' [removed] [removed] x' ELSE ' [removed][removed] y' END) AS clean FROM documents",
+    "citation_split": r"""WITH a AS (SELECT conv_id, turn, coalesce(replace(text, '. ', '. [S2] '), '') || ' [S1] [S9]' AS answer FROM conversations WHERE role = 'assistant'),
+b AS (SELECT *, list_transform(regexp_extract_all(answer, '\[S(\d+)\]', 1), lambda x: CAST(x AS INTEGER)) AS marks, regexp_split_to_array(regexp_replace(answer, '\[S(?:[04-9]|\d\d+)\]', '[S0]', 'g'), '\[S[1-3]\]') AS runs FROM a),
+m AS (SELECT conv_id, turn, n, min(i) AS first FROM (SELECT conv_id, turn, unnest(marks) AS n, generate_subscripts(marks, 1) AS i FROM b) WHERE n BETWEEN 1 AND 3 GROUP BY ALL),
+c AS (SELECT conv_id, turn, string_agg(chr(96 + n), ',' ORDER BY first) AS cited FROM m GROUP BY ALL)
+SELECT conv_id, turn, coalesce(cited, '') AS cited, CAST(len(list_filter(marks, lambda x: x < 1 OR x > 3)) AS INTEGER) AS dropped,
+CAST(len(list_filter(marks, lambda x: x BETWEEN 1 AND 3)) + len(list_filter(list_transform(runs, lambda x: replace(regexp_replace(x, ' (?:(?:\[S0\])+ )+', ' ', 'g'), '[S0]', '')), lambda x: x <> '')) AS INTEGER) AS segments FROM b LEFT JOIN c USING (conv_id, turn)""",
     "or_query": r"""SELECT item_id, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: trim(ltrim(w, '-"'), '"')), lambda w: w <> ''), ' OR ') AS query FROM benchmark""",
 }
-ROWS_ONLY = ("chunk_documents", "chunk_blocks", "citation_split")
+ROWS_ONLY = ("chunk_documents", "chunk_blocks")
 
 
 def queries() -> dict:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
 from siltstone.operators import access, operations, retrieval
-from siltstone.plans import app_documents, app_fulltext, app_index, app_prompts, app_search, app_streams, app_turns, ingestion, ranking, writes
+from siltstone.plans import app_documents, app_fulltext, app_index, app_passages, app_prompts, app_search, app_streams, app_turns, ingestion, ranking, writes
 from siltstone.plans.app import app, app_sql
 from siltstone.plans.tables import CATALOG, DENSE, NORMALIZED, SPARSE, UNIT, catalog, table, vectors
 
@@ -181,7 +181,7 @@ SELECT query_id, id, dense_rank, sparse_rank, score, CAST(row_number() OVER (PAR
 }
 
 
-_PARTS = (ranking, ingestion, writes, app_documents, app_turns, app_prompts, app_search, app_fulltext, app_index, app_streams)
+_PARTS = (ranking, ingestion, writes, app_documents, app_turns, app_prompts, app_search, app_fulltext, app_index, app_streams, app_passages)
 SQL = dict(_OWN)
 for _part in _PARTS:
     SQL |= _part.SQL
