@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of a block, and documents that are counted at a time.
-QUERY_BLOCK, DOCUMENT_ROWS = 1024, 512
+#: Queries of a block, and rows and bytes of a slice that meets it.
+QUERY_BLOCK, SLICE_ROWS, SLICE_BYTES = 1024, 512, 1 << 22
 
 
 def top_by(df: DataFrame, key: str, order: list, n: int, rank: str = "rank") -> DataFrame:
@@ -27,19 +26,55 @@ def unit(vector: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
-def _by_blocks(queries: DataFrame, run, schema: str) -> DataFrame:
-    """The union of run(block) over blocks of at most QUERY_BLOCK queries, each an Arrow table on the driver: a block's size is bounded, whatever the number of queries.
+def _bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-    A block goes to the tasks with the function that reads it; rows are read once for each block and not shuffled.
+
+def _batch(packed: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most SLICE_ROWS rows, halved while over SLICE_BYTES; a single longer row is one."""
+    if batch.num_rows > 1 and (batch.num_rows > SLICE_ROWS or batch.nbytes > SLICE_BYTES):
+        half = batch.num_rows // 2
+        yield from _slices(batch.slice(0, half))
+        yield from _slices(batch.slice(half))
+    elif batch.num_rows:
+        yield batch
+
+
+def _by_blocks(rows: DataFrame, queries: DataFrame, prepare: Callable[[pa.RecordBatch], tuple], search: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """search(slice of rows, *prepare(block of queries)) of every slice and every block, in one plan: no job runs for it beforehand.
+
+    Queries (query_id and one more column) are dealt to blocks of some QUERY_BLOCK by their ids' hashes; rows
+    aren't shuffled. Blocks and slices are one row each, so that Spark chooses by their size how they meet:
+    small queries are broadcast, beyond the broadcast's threshold partitions meet in pairs.
     """
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    numbered = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    out = None
-    for k in range(blocks):
-        block = numbered.filter(F.col("__block") == k).drop("__block").toArrow()
-        found = run(block) if block.num_rows else queries.sparkSession.createDataFrame([], schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([_bytes(part)], pa.binary())})
+
+    def gather(block: pa.Table) -> pa.Table:
+        block = block.drop_columns(["__block"]).combine_chunks()
+        return pa.table({"block": pa.array([_bytes(block.to_batches()[0])], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ready = None, ()
+        for batch in batches:
+            for part, block in zip(batch.column("slice"), batch.column("block")):
+                if last is None or not last.equals(block):
+                    last, ready = block, prepare(_batch(block))
+                yield search(_batch(part), *ready)
+
+    blocks = queries.agg(F.greatest(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK), F.lit(1)).alias("__blocks"))  # one row
+    dealt = queries.join(F.broadcast(blocks)).withColumn("__block", F.pmod(F.xxhash64("query_id"), "__blocks")).drop("__blocks")
+    return rows.mapInArrow(pack, "slice binary").crossJoin(dealt.groupBy("__block").applyInArrow(gather, "block binary")).mapInArrow(run, schema)
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -59,28 +94,24 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     block of queries at once and gives its own k best of each query; only these are shuffled.
     """
 
-    def matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
-        m = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    def matrix(column: pa.Array, n: int) -> np.ndarray:
+        m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
         norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
         return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
-    def run(block: pa.Table) -> DataFrame:
-        asked, q = block.column("query_id").to_numpy(), matrix(block.column("vector"), block.num_rows).T
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                if not len(ids):
-                    continue
-                score = np.round(matrix(pa.chunked_array([batch.column(1)]), len(ids)) @ q, 6)
-                places = [_best(score[:, j], ids, k) for j in range(len(asked))]
-                of = np.repeat(np.arange(len(asked)), [len(p) for p in places])
-                at = np.concatenate(places)
-                yield pa.RecordBatch.from_arrays([pa.array(asked[of]), pa.array(ids[at]), pa.array(score[at, of])], ["query_id", "id", "score"])
+    def prepare(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return block.column("query_id").to_numpy(zero_copy_only=False), matrix(block.column("vector"), block.num_rows).T
 
-        return vectors.select("id", "vector").filter("id IS NOT NULL AND vector IS NOT NULL").mapInArrow(search, "query_id bigint, id bigint, score double")
+    def search(rows: pa.RecordBatch, asked: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        ids = rows.column("id").to_numpy(zero_copy_only=False)
+        score = np.round(matrix(rows.column("vector"), len(ids)) @ q, 6)
+        places = [_best(score[:, j], ids, k) for j in range(len(asked))]
+        of, at = np.repeat(np.arange(len(asked)), [len(p) for p in places]), np.concatenate(places)
+        return pa.RecordBatch.from_arrays([pa.array(asked[of]), pa.array(ids[at]), pa.array(score[at, of])], ["query_id", "id", "score"])
 
-    return top_by(_by_blocks(queries.select("query_id", "vector"), run, "query_id bigint, id bigint, score double"), "query_id", [F.desc("score"), "id"], k)
+    known = vectors.select("id", "vector").filter("id IS NOT NULL AND vector IS NOT NULL")
+    asked = queries.select("query_id", "vector").filter("query_id IS NOT NULL AND vector IS NOT NULL")
+    return top_by(_by_blocks(known, asked, prepare, search, "query_id bigint, id bigint, score double"), "query_id", [F.desc("score"), "id"], k)
 
 
 def terms(text: Column) -> Column:
@@ -96,31 +127,26 @@ def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     neither the documents' terms nor the documents that hold a common term are.
     """
 
-    def run(block: pa.Table) -> DataFrame:
-        asked, lists = block.column("query_id").to_numpy(), block.column("terms").combine_chunks()
-        flat = lists.flatten()
-        known = flat.unique()
+    def prepare(block: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        asked, lists = block.column("query_id").to_numpy(zero_copy_only=False), block.column("terms")
+        known = lists.flatten().unique()
         wanted = np.zeros((len(known), len(asked)), np.float32)
-        wanted[pc.index_in(flat, known).to_numpy(), np.repeat(np.arange(len(asked)), np.diff(lists.offsets.to_numpy()))] = 1
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for lo in range(0, whole.num_rows, DOCUMENT_ROWS):
-                    batch = whole.slice(lo, DOCUMENT_ROWS)
-                    ids, own, n = batch.column(0).to_numpy(), batch.column(1), batch.num_rows
-                    place = pc.index_in(own.flatten(), known)
-                    of = np.repeat(np.arange(n), np.diff(own.offsets.to_numpy()))[np.asarray(place.is_valid())]
-                    cell = of * len(known) + place.drop_null().to_numpy()
-                    score = np.bincount(cell, minlength=n * len(known)).reshape(n, -1).astype(np.float32) @ wanted
-                    places = [p[score[p, j] > 0] for j in range(len(asked)) for p in (_best(score[:, j], ids, k),)]
-                    q = np.repeat(np.arange(len(asked)), [len(p) for p in places])
-                    at = np.concatenate(places)
-                    yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(ids[at]), pa.array(score[at, q].astype(np.int64))], ["query_id", "id", "score"])
-
-        return docs.select("id", terms(F.col("text")).alias("terms")).mapInArrow(search, "query_id bigint, id bigint, score bigint")
-
-    asked = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("terms"))
-    return top_by(_by_blocks(asked.filter(F.size("terms") > 0), run, "query_id bigint, id bigint, score bigint"), "query_id", [F.desc("score"), "id"], k)
+        wanted[pc.index_in(lists.flatten(), known).to_numpy(), np.repeat(np.arange(len(asked)), np.diff(lists.offsets.to_numpy()))] = 1
+        return asked, known, wanted
+
+    def search(rows: pa.RecordBatch, asked: np.ndarray, known: pa.Array, wanted: np.ndarray) -> pa.RecordBatch:
+        ids, own, n = rows.column("id").to_numpy(zero_copy_only=False), rows.column("terms"), rows.num_rows
+        place = pc.index_in(own.flatten(), known)
+        of = np.repeat(np.arange(n), np.diff(own.offsets.to_numpy()))[np.asarray(place.is_valid())]
+        cell = of * len(known) + place.drop_null().to_numpy()
+        score = np.bincount(cell, minlength=n * len(known)).reshape(n, -1).astype(np.float32) @ wanted
+        places = [p[score[p, j] > 0] for j in range(len(asked)) for p in (_best(score[:, j], ids, k),)]
+        q, at = np.repeat(np.arange(len(asked)), [len(p) for p in places]), np.concatenate(places)
+        return pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(ids[at]), pa.array(score[at, q].astype(np.int64))], ["query_id", "id", "score"])
+
+    own = docs.filter("id IS NOT NULL").select("id", terms(F.col("text")).alias("terms")).filter(F.size("terms") > 0)
+    asked = queries.filter("query_id IS NOT NULL").select("query_id", F.array_distinct(terms(F.col("text"))).alias("terms")).filter(F.size("terms") > 0)
+    return top_by(_by_blocks(own, asked, prepare, search, "query_id bigint, id bigint, score bigint"), "query_id", [F.desc("score"), "id"], k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = 60, top: int = 30) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from siltstone.operators import access, retrieval
@@ -43,3 +44,41 @@ def test_fetch_keeps_the_order_asked_for(spark):
 def test_null_flags_hide(spark):
     df = spark.createDataFrame([(1, True, False), (2, None, False), (3, True, None), (4, True, True)], "id int, searchable boolean, deleted boolean")
     assert [r.id for r in df.filter(access.live()).orderBy("id").collect()] == [1, 3]
+
+
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_searches_over_several_blocks_of_queries(spark, threshold):
+    """Broadcast and paired partitions give the same as a plain search; odd rows take no part."""
+    draw = np.random.default_rng(4)
+    rows, asked = draw.integers(-4, 5, (700, 6)).astype(float), draw.integers(-4, 5, (2_300, 6)).astype(float)
+    words = [" ".join(draw.choice(list("abcdefgh"), draw.integers(0, 9))) for _ in range(700)]
+    docs = spark.createDataFrame([(k, v.tolist(), w) for k, (v, w) in enumerate(zip(rows, words))] + [(None, [1.0] * 6, "a"), (900, None, None)], "id long, vector array<double>, text string").repartition(5)
+    questions = spark.createDataFrame([(k, v.tolist(), " ".join({"abcdefgh"[k % 8], "abcdefgh"[k // 8 % 8]})) for k, v in enumerate(asked)] + [(None, [1.0] * 6, "a"), (5_000, None, "?")], "query_id long, vector array<double>, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        dense = {(r.query_id, r["rank"]): (r.id, r.score) for r in retrieval.dense_top_k(docs, questions, 3).collect()}
+        sparse = {(r.query_id, r["rank"]): (r.id, r.score) for r in retrieval.lexical_top_k(docs, questions, 3).collect()}
+        assert retrieval.dense_top_k(docs, questions.limit(0), 3).count() == 0 == retrieval.lexical_top_k(docs.limit(0), questions, 3).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    unit = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
+    score = np.round(unit(asked) @ unit(rows).T, 6)
+    for k in range(0, 2_300, 37):
+        best = sorted(range(700), key=lambda i: (-score[k, i], i))[:3]
+        assert [dense[k, r][1] for r in (1, 2, 3)] == pytest.approx([score[k, i] for i in best])
+        counts = [sum(w.split().count(t) for t in {"abcdefgh"[k % 8], "abcdefgh"[k // 8 % 8]}) for w in words]
+        assert [sparse[k, r] for r in (1, 2, 3)] == [(i, counts[i]) for i in sorted(range(700), key=lambda i: (-counts[i], i))[:3]]
+    assert len(dense) == 3 * 2_300 and len(sparse) == 3 * 2_300
+
+
+def test_no_job_runs_while_a_search_is_planned(spark):
+    docs = spark.range(50).selectExpr("id", "array(id, 1D) AS vector", "'a b' AS text")
+    group = "planning"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        retrieval.dense_top_k(docs, docs.withColumnRenamed("id", "query_id"), 3)
+        retrieval.lexical_top_k(docs, docs.withColumnRenamed("id", "query_id"), 3)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
