@@ -63,9 +63,11 @@ def golden_integrity(spark, sf_dir) -> DataFrame:
 
 
 def cited_subsets(spark, sf_dir) -> DataFrame:
-    k = F.col("conv_id") % 5
-    cited = F.array(F.concat(F.lit("c"), k.cast("string")), F.concat(F.lit("c"), (F.col("turn") % 4).cast("string")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", golden.subset(cited, F.array(F.lit("c0"), F.lit("c1"), F.lit("c2"))).alias("all_known"))
+    """Whether a turn's first words all stand in the turn before it."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), 0))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("words"))
+    before = F.coalesce(F.lag("words").over(Window.partitionBy("conv_id").orderBy("turn")), F.array().cast("array<string>"))
+    return turns.withColumn("before", before).select("conv_id", "turn", golden.subset(F.slice("words", 1, 2), F.col("before")).alias("all_known"))
 
 
 def model_overrides(spark, sf_dir) -> DataFrame:
@@ -118,7 +120,7 @@ CASE WHEN id % 7 > 2 THEN CASE id % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'ocr' ELSE
 r AS (SELECT id, unnest(list_concat(s, n)) AS p FROM q)
 SELECT 'repeated_passage' AS what, doc_id AS id FROM documents WHERE doc_id IN (3, 8) UNION ALL SELECT DISTINCT 'unknown_reference', id FROM r WHERE p NOT IN (SELECT doc_id FROM documents)
 UNION ALL SELECT 'band_rule', id FROM q WHERE (id % 4 = 0) = (len(s) > 0)""",
-    "cited_subsets": "SELECT conv_id, turn, conv_id % 5 < 3 AND turn % 4 < 3 AS all_known FROM conversations",
+    "cited_subsets": "WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS words FROM conversations), p AS (SELECT *, list_filter(words, lambda x, i: list_position(words, x) = i)[1:2] AS cited, coalesce(lag(words) OVER (PARTITION BY conv_id ORDER BY turn), []) AS before FROM w) SELECT conv_id, turn, list_has_all(before, cited) AS all_known FROM p",
     "model_overrides": "SELECT CAST(r_regionkey AS BIGINT) AS slot, CASE WHEN r_regionkey % 3 = 1 THEN 'default' ELSE n_name END AS model FROM region JOIN nation ON n_nationkey = r_regionkey",
     "sidebar": f"WITH {app_sql('chats')} SELECT owner_id, id, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY updated_at DESC NULLS LAST, created_at DESC, id DESC) AS INTEGER) AS place FROM chats",
     "base_lookups": f"WITH {app_sql('kb')} SELECT 'owner' AS how, id, name FROM kb WHERE owner_id = 3 UNION ALL SELECT 'global', id, name FROM kb WHERE visibility = 'GLOBAL' UNION ALL SELECT 'chat', id, name FROM kb WHERE conversation_id = 12",

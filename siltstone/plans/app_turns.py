@@ -111,8 +111,10 @@ def checkpoint_prune(spark, sf_dir) -> DataFrame:
     return count("checkpoints", kept).unionByName(count("writes", writes)).unionByName(count("blobs", tn.prune_blobs(app(spark, sf_dir, "blobs"), kept)))
 
 
-_PAYLOAD = """CASE conv_id % 6 WHEN 0 THEN '{"scores":[{"id":2,"score":7},{"id":1,"score":3}]}' WHEN 1 THEN '{"scores":[{"id":0,"score":1},{"id":3,"score":12},{"id":3,"score":2},{"id":4,"score":5}]}'
-WHEN 2 THEN '{"scores":[{"id":true,"score":5},{"id":1,"score":false},{"id":2,"score":-4},{"id":"3","score":1}]}' WHEN 3 THEN '{"scores":7}' WHEN 4 THEN 'no json' ELSE '{"scores":[{"id":1,"score":2.5},{"id":3},7,{"id":2,"score":' || CAST(turn AS STRING) || '}]}' END"""
+#: Scores made of a text's words by their lengths, and for some conversations answers of the wrong shape.
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z]+', 0)"
+_PAYLOAD = f"""CASE conv_id % 6 WHEN 0 THEN '{{"scores":[' || array_join(transform(slice({_WORDS}, 1, 6), w -> '{{"id":' || CAST(length(w) % 5 AS STRING) || ',"score":' || CAST(length(w) * 2 - 7 AS STRING) || '}}'), ',') || ']}}' WHEN 1 THEN '{{"scores":[{{"id":0,"score":1}},{{"id":3,"score":12}},{{"id":3,"score":2}},{{"id":4,"score":5}}]}}'
+WHEN 2 THEN '{{"scores":[{{"id":true,"score":5}},{{"id":1,"score":false}},{{"id":2,"score":-4}},{{"id":"3","score":1}}]}}' WHEN 3 THEN '{{"scores":7}}' WHEN 4 THEN 'no json' ELSE '{{"scores":[{{"id":1,"score":2.5}},{{"id":3}},7,{{"id":2,"score":' || CAST(turn AS STRING) || '}}]}}' END"""
 
 
 def score_parsing(spark, sf_dir) -> DataFrame:
@@ -135,11 +137,13 @@ def cleaned_probes(spark, sf_dir) -> DataFrame:
 
 
 def realigned_scores(spark, sf_dir) -> DataFrame:
-    """Scores of four ids carried to those that survive; too few scores, and an unknown id, give none."""
-    k = F.col("item_id") % 4
-    previous = F.array(*[F.concat(F.lit(f"c{i}-"), F.col("item_id").cast("string")) for i in range(4)])
-    scores = F.when(k == 3, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.lit(0.5), F.lit(1.5), F.lit(2.5), F.lit(3.5)))
-    surviving = F.when(k == 2, F.array(F.lit("unknown"))).otherwise(F.array(F.get(previous, 3), F.get(previous, k.cast("int"))))
+    """The first words of an item as ids, scored by their lengths; the longer ones survive, in reverse. Texts of some lengths lack a score or have an unknown survivor."""
+    previous = F.slice(F.array_distinct(F.expr(_WORDS)), 1, 8)
+    scores = F.transform(previous, lambda w: F.length(w) + F.lit(0.5))
+    n = F.length(F.coalesce("text", F.lit("")))
+    scores = F.when(n % 4 == 3, F.slice(scores, 2, 8)).otherwise(scores)
+    surviving = F.reverse(F.filter(previous, lambda w: F.length(w) > 3))
+    surviving = F.when(n % 5 == 0, F.concat(surviving, F.array(F.lit("-")))).otherwise(surviving)
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(an.realigned(previous, surviving, scores).cast("array<string>"), ",").alias("scores"))
 
 
@@ -162,10 +166,13 @@ def source_lines(spark, sf_dir) -> DataFrame:
 
 
 def mentioned_documents(spark, sf_dir) -> DataFrame:
-    """Names that contain one another: the longer one claims its text."""
-    i = F.col("item_id")
-    text = F.concat(F.lit("see @report"), F.when(i % 2 == 0, F.lit(" 2024")).otherwise(F.lit("")), F.lit(" and @plan, "), F.when(i % 3 == 0, F.lit("@report again")).otherwise(F.lit("@missing")))
-    docs = F.array(*[F.struct(F.lit(k).cast("long").alias("id"), F.lit(n).alias("name")) for k, n in enumerate(("report", "plan", "report 2024", "other"))])
+    """Names made of an item's words, some of which contain one another: the longer one claims its text."""
+    w = F.expr(_WORDS)
+    word = lambda k: F.coalesce(F.get(w, k), F.lit("none"))
+    at = lambda *parts: F.concat(F.lit("@"), *parts)
+    two = F.concat(word(0), F.lit(" "), word(1))
+    text = F.concat(F.lit("see "), F.when(F.length(word(2)) % 2 == 0, at(two)).otherwise(at(word(0))), F.lit(" and "), at(word(3)), F.lit(", "), at(word(F.lit(4) + F.length(word(0)) % 3)), F.lit("s"))
+    docs = F.array(*[F.struct(F.lit(k).cast("long").alias("id"), n.alias("name")) for k, n in enumerate((word(0), two, word(4), F.substring(word(3), 1, 3)))])
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(an.mentioned(text, docs).cast("array<string>"), ",").alias("ids"))
 
 
@@ -187,6 +194,20 @@ _OUTCOME = "coalesce(outcome, CASE WHEN error_code IS NOT NULL THEN 'error' ELSE
 _REPORT = f"SELECT '{{}}' AS who, count(*) AS rated, count(*) FILTER (WHERE liked) AS liked, count(*) FILTER (WHERE NOT liked) AS disliked, {{}} AS coverage, {{}} AS conclusive, {{}} AS liked_citations, {{}} AS disliked_citations FROM r {{}}"
 _ENOUGH = "count(*) >= 20 AND count(*) FILTER (WHERE liked) > 0 AND count(*) FILTER (WHERE NOT liked) > 0"
 
+
+
+def _mentioned_sql() -> str:
+    """Names in turn, longest first: where one is found, it is blanked for the next."""
+    word = lambda k: f"coalesce(w[{k} + 1], 'none')"
+    two = f"{word(0)} || ' ' || {word(1)}"
+    text = f"'see @' || CASE WHEN length({word(2)}) % 2 = 0 THEN {two} ELSE {word(0)} END || ' and @' || {word(3)} || ', @' || {word(f'(4 + length({word(0)}) % 3)')} || 's'"
+    names = f"[{word(0)}, {two}, {word(4)}, substring({word(3)}, 1, 3)]"
+    steps = f"WITH a AS (SELECT item_id, {_WORDS} AS w FROM benchmark), s0 AS (SELECT item_id, {text} AS rest, [] :: BIGINT[] AS found, list_sort(list_transform({names}, lambda x, i: {{'n': -length(x), 'id': i - 1, 'token': '@' || x}})) AS d FROM a)"
+    for k in range(1, 5):
+        steps += f", s{k} AS (SELECT item_id, d, CASE WHEN p > 0 THEN left(rest, p - 1) || repeat(' ', length(t)) || substring(rest, p + length(t)) ELSE rest END AS rest, CASE WHEN p > 0 THEN list_append(found, d[{k}].id) ELSE found END AS found FROM (SELECT *, d[{k}].token AS t, strpos(rest, d[{k}].token) AS p FROM s{k - 1}))"
+    return steps + " SELECT item_id, array_to_string(list_sort(found), ',') AS ids FROM s4"
+
+
 SQL = {
     "telemetry_outcomes": f"WITH {app_sql('telemetry')} SELECT {_OUTCOME} AS outcome, count(*) AS n FROM telemetry WHERE role = 'assistant' GROUP BY 1",
     "telemetry_counts": f"WITH {app_sql('telemetry')} SELECT 'all' AS what, count(*) AS n FROM telemetry WHERE created_at >= {SINCE} UNION ALL SELECT 'error', count(*) FROM telemetry WHERE created_at >= {SINCE} AND {_OUTCOME} = 'error'",
@@ -216,8 +237,11 @@ UNION ALL {_REPORT.format('one', 'NULL', 'false', 'NULL', 'NULL', 'WHERE convers
 SELECT 'checkpoints' AS what, checkpoint_ns, count(*) AS n FROM kept GROUP BY ALL
 UNION ALL SELECT 'writes', checkpoint_ns, count(*) FROM writes w WHERE EXISTS (SELECT 1 FROM kept k WHERE k.thread_id = w.thread_id AND k.checkpoint_ns = w.checkpoint_ns AND k.checkpoint_id = w.checkpoint_id + w.idx % 2) GROUP BY ALL
 UNION ALL SELECT 'blobs', checkpoint_ns, count(*) FROM blobs b WHERE EXISTS (SELECT 1 FROM kept k WHERE k.thread_id = b.thread_id AND k.checkpoint_ns = b.checkpoint_ns AND json_extract_string(k.checkpoint, '$.channel_versions.' || b.channel) = b.version) GROUP BY ALL""",
-    "score_parsing": """SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN '2:7.0,1:3.0' WHEN 1 THEN '3:10.0' WHEN 2 THEN '2:0.0' WHEN 3 THEN '' WHEN 4 THEN '' ELSE '1:2.5,2:' || least(turn, 10) || '.0' END AS scores,
-CASE conv_id % 6 WHEN 0 THEN '2,1,3' WHEN 1 THEN '3,1,2' WHEN 2 THEN '2,1,3' WHEN 5 THEN CASE WHEN turn > 2 THEN '2,1,3' ELSE '1,2,3' END ELSE '1,2,3' END AS positions FROM conversations""",
+    "score_parsing": f"""WITH w AS (SELECT conv_id, turn, unnest({_WORDS}[1:6]) AS word, generate_subscripts({_WORDS}[1:6], 1) AS i FROM conversations WHERE conv_id % 6 = 0),
+f AS (SELECT conv_id, turn, id, arg_min(CAST(least(greatest(length(word) * 2 - 7, 0), 10) AS DOUBLE), i) AS score, min(i) AS i FROM (SELECT *, length(word) % 5 AS id FROM w) WHERE id BETWEEN 1 AND 3 GROUP BY conv_id, turn, id),
+p AS (SELECT conv_id, turn, string_agg(id || ':' || score, ',' ORDER BY i) FILTER (WHERE score IS NOT NULL) AS scores, string_agg(id, ',' ORDER BY score IS NULL, score DESC, id) AS positions FROM (SELECT a.conv_id, a.turn, n AS id, score, i FROM (SELECT conv_id, turn, unnest([1, 2, 3]) AS n FROM conversations WHERE conv_id % 6 = 0) a LEFT JOIN f ON f.conv_id = a.conv_id AND f.turn = a.turn AND f.id = n) GROUP BY ALL)
+SELECT c.conv_id, c.turn, CASE c.conv_id % 6 WHEN 0 THEN coalesce(p.scores, '') WHEN 1 THEN '3:10.0' WHEN 2 THEN '2:0.0' WHEN 3 THEN '' WHEN 4 THEN '' ELSE '1:2.5,2:' || least(c.turn, 10) || '.0' END AS scores,
+CASE c.conv_id % 6 WHEN 0 THEN p.positions WHEN 1 THEN '3,1,2' WHEN 2 THEN '2,1,3' WHEN 5 THEN CASE WHEN c.turn > 2 THEN '2,1,3' ELSE '1,2,3' END ELSE '1,2,3' END AS positions FROM conversations c LEFT JOIN p ON p.conv_id = c.conv_id AND p.turn = c.turn""",
     "routed_questions": r"""WITH a AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS q FROM conversations WHERE role = 'user'),
 p AS (SELECT *, list_filter(list_transform(string_split(replace(q, '?', '?' || chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts, list_filter(list_transform(string_split(q, ' and '), lambda x: trim(x)), lambda x: x <> '') AS halves, len(list_filter(regexp_split_to_array(q, '\s+'), lambda x: x <> '')) AS words FROM a),
 r AS (SELECT conv_id, turn, CASE WHEN len(parts) > 1 OR contains(lower(q), ' and ') THEN 'multi_part' WHEN words <= 3 THEN 'vague' ELSE 'simple' END AS query_class, CASE WHEN len(parts) > 1 THEN parts[1:3] WHEN contains(lower(q), ' and ') THEN halves[1:3] WHEN words <= 3 THEN [q || ' details'] ELSE [] END AS probes FROM p)
@@ -226,13 +250,14 @@ SELECT conv_id, turn, query_class, CASE query_class WHEN 'multi_part' THEN 'deco
 l AS (SELECT item_id, list_filter([start, long, 'another', 'too many'], lambda x, i: i = 1 OR (i = 2 AND trim(regexp_replace(lower(long), '\s+', ' ', 'g')) <> trim(regexp_replace(lower(start), '\s+', ' ', 'g'))) OR i > 2) AS p, key FROM b),
 m AS (SELECT item_id, list_filter(p, lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g')) <> key)[1:3] AS p FROM l)
 SELECT item_id, sha256(array_to_string(p, '|')) AS probes, CAST(len(p) AS INTEGER) AS n FROM m""",
-    "realigned_scores": "SELECT item_id, CASE item_id % 4 WHEN 0 THEN '3.5,0.5' WHEN 1 THEN '3.5,1.5' ELSE '' END AS scores FROM benchmark",
+    "realigned_scores": f"""WITH w AS (SELECT item_id, length(coalesce(text, '')) AS n, {_WORDS} AS all_words FROM benchmark), p AS (SELECT *, list_filter(all_words, lambda x, i: list_position(all_words, x) = i)[1:8] AS ids FROM w)
+SELECT item_id, CASE WHEN (n % 4 = 3 AND len(ids) > 0) OR n % 5 = 0 THEN '' ELSE array_to_string(list_transform(list_reverse(list_filter(ids, lambda x: length(x) > 3)), lambda x: CAST(length(x) + CAST(0.5 AS DOUBLE) AS STRING)), ',') END AS scores FROM p""",
     "display_texts": f"""WITH {app_sql('docs')}, d AS (SELECT *, greatest(id * 7 - 20, 0) AS s, CASE WHEN id % 10 = 0 THEN -1 ELSE size_bytes * CAST(power(10, id % 6) AS BIGINT) END AS b FROM docs)
 SELECT id, CASE WHEN s // 60 < 10 THEN '0' ELSE '' END || (s // 60) || ':' || CASE WHEN s % 60 < 10 THEN '0' ELSE '' END || (s % 60) AS duration,
 CASE WHEN b < 0 THEN NULL WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN format('{{:.1f}} KB', floor(CAST(b AS DOUBLE) / 1024 * 10 + 0.5) / 10) WHEN b < 1073741824 THEN format('{{:.1f}} MB', floor(CAST(b AS DOUBLE) / 1048576 * 10 + 0.5) / 10) ELSE format('{{:.1f}} GB', floor(CAST(b AS DOUBLE) / 1073741824 * 10 + 0.5) / 10) END AS size,
 CASE WHEN id % 5 = 0 THEN 'DOC' ELSE upper(regexp_extract(filename, '\\.([a-z]+)$', 1)) END AS badge, least(10.0 * power(2.0, id % 9), 600.0) AS wait, id % 9 >= 5 AS final, 'eval:' || id || ':' || substring(sha256(checksum), 1, 12) || CASE WHEN id % 2 = 0 THEN ':n1' ELSE '' END AS key FROM d""",
     "source_lines": f"WITH {app_sql('messages')}, {_CITES}, g AS (SELECT id, count(*) AS n, any_value(doc) FILTER (WHERE pos = 0) AS a, any_value(doc) FILTER (WHERE pos = 2) AS b FROM cites GROUP BY id) SELECT m.id, 'grounded in ' || n || ' passages · ' || a || CASE WHEN a <> b THEN ' · ' || b ELSE '' END AS line FROM messages m LEFT JOIN g USING (id)",
-    "mentioned_documents": "SELECT item_id, CASE WHEN item_id % 2 = 1 THEN '0,1' WHEN item_id % 3 = 0 THEN '0,1,2' ELSE '1,2' END AS ids FROM benchmark",
+    "mentioned_documents": _mentioned_sql(),
     "grounded_answers": rf"""WITH p AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[^A-Za-z ]+', ' ', 'g'), ' +'), lambda w: w <> '')) AS words FROM conversations WHERE role = 'assistant'),
 q AS (SELECT conv_id, turn, conv_id % 6 AS k, CASE WHEN words + CASE WHEN conv_id % 6 = 5 THEN 1 ELSE 0 END >= 4 THEN 1 ELSE 0 END AS c, words + CASE WHEN conv_id % 6 = 5 THEN 1 ELSE 0 END > 0 AS prose FROM p),
 r AS (SELECT conv_id, turn, CAST(CASE k WHEN 0 THEN c WHEN 1 THEN c WHEN 2 THEN c + 2 WHEN 3 THEN c + 1 WHEN 4 THEN c + 2 ELSE c END AS INTEGER) AS claims, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN c WHEN 2 THEN c + 1 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE c END AS INTEGER) AS supported, CASE WHEN k = 0 THEN 0 ELSE 1 END AS citations FROM q)
