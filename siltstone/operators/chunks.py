@@ -41,6 +41,26 @@ def is_stale(chunks: DataFrame, document_id: int, version: int, configured: dict
     return own.agg(F.coalesce(any_of, F.lit(False)).alias("stale"))
 
 
+def rebuilds(docs: DataFrame, chunks: DataFrame, originals: DataFrame, jobs: DataFrame, configured: dict[str, str]) -> DataFrame:
+    """(id, verdict, version, idempotency_key, superseded) of live documents asked to be built anew by the configured pipeline.
+
+    originals: (id, checksum) of what is stored now. In this order: not_active, not_stale (no chunk of the
+    current version has drifted), corrupt (the original is gone or isn't the one that was recorded), or
+    queued, as the version after the last one that an ingestion was begun for; its open ingestions are superseded.
+    """
+    any_of = F.bool_or(drifted(INPUTS[0], configured) | drifted(INPUTS[1], configured) | drifted(INPUTS[2], configured))
+    stale = chunks.groupBy(F.col("document_id").alias("id"), F.col("document_version").alias("current_version")).agg(any_of.alias("stale"))
+    begun = jobs.filter("job_type = 'INGEST'").groupBy(F.col("document_id").alias("id")).agg(F.max("document_version").alias("begun"), F.count_if(F.col("status").isin("QUEUED", "RUNNING")).alias("open"))
+    live = docs.filter(F.col("deleted_at").isNull()).select("id", "status", "checksum", "current_version")
+    met = live.join(stale, ["id", "current_version"], "left").join(originals.select("id", F.col("checksum").alias("found")), "id", "left").join(begun, "id", "left")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    verdict = F.when(no(F.col("status") == "ACTIVE"), "not_active").when(no(F.col("stale")), "not_stale").when(no(F.col("found") == F.col("checksum")), "corrupt").otherwise("queued")
+    version = F.when(F.col("verdict") == "queued", F.coalesce("begun", "current_version") + 1)
+    key = F.concat(F.lit("ingest:"), F.col("id").cast("string"), F.lit(":v"), F.col("version").cast("string"))
+    found = met.withColumn("verdict", verdict).withColumn("version", version)
+    return found.select("id", "verdict", "version", key.alias("idempotency_key"), F.when(F.col("version").isNotNull(), F.coalesce("open", F.lit(0))).alias("superseded"))
+
+
 def vector_sources(chunks: DataFrame, exclude: DataFrame) -> DataFrame:
     """(document_id, embedding_fingerprint, version): the newest version that has a vector of each fingerprint, not the document's excluded one (document_id, version)."""
     other = exclude.select("document_id", F.col("version").alias("__excluded"))

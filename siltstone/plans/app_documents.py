@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import chunks as ch
 from siltstone.operators import documents as d
 from siltstone.plans.app import PIPELINE, app, app_sql
+from siltstone.plans.tables import table
 
 NOW, QUOTA = 9_000, 60_000
 
@@ -140,6 +141,13 @@ def stale_checks(spark, sf_dir) -> DataFrame:
     return out
 
 
+def rebuilt_documents(spark, sf_dir) -> DataFrame:
+    """Every live document asked to be built anew; some originals are gone or altered."""
+    chunks, docs, jobs = _tables(spark, sf_dir, "chunks", "docs", "jobs")
+    stored = table(spark, sf_dir, "documents").filter("doc_id % 19 > 0").select(F.col("doc_id").alias("id"), F.md5(F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))).alias("checksum"))
+    return ch.rebuilds(docs, chunks, stored, jobs, PIPELINE)
+
+
 def vector_sources(spark, sf_dir) -> DataFrame:
     chunks, docs = _tables(spark, sf_dir, "chunks", "docs")
     return ch.vector_sources(chunks, docs.select(F.col("id").alias("document_id"), F.col("current_version").alias("version")))
@@ -204,6 +212,10 @@ UNION ALL SELECT t.owner_id, t.n, t.id, CAST(j.used + CASE WHEN fresh AND j.used
 SELECT id, verdict FROM judged WHERE n > 0""",
     "stale_documents": f"WITH {app_sql('docs', 'chunks', 'jobs')}, {_STALE} SELECT document_id, chunks, tokens, concat_ws(',', CASE WHEN embedding_model THEN 'embedding_model' END, CASE WHEN chunking_version THEN 'chunking_version' END, CASE WHEN preprocessing_version THEN 'preprocessing_version' END) AS inputs FROM split WHERE NOT in_flight ORDER BY created_at, document_id LIMIT 500",
     "stale_totals": f"WITH {app_sql('docs', 'chunks', 'jobs')}, {_STALE} SELECT in_flight, count(*) AS documents, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(tokens) AS BIGINT) AS tokens FROM split GROUP BY in_flight",
+    "rebuilt_documents": f"""WITH {app_sql('docs', 'chunks', 'jobs')}, s AS (SELECT document_id AS id, document_version AS current_version, bool_or({_DRIFT}) AS stale FROM chunks GROUP BY ALL), o AS (SELECT doc_id AS id, md5(CASE WHEN doc_id % 17 = 0 THEN text || '.' ELSE text END) AS found FROM documents WHERE doc_id % 19 > 0),
+b AS (SELECT document_id AS id, max(document_version) AS begun, count(*) FILTER (WHERE status IN ('QUEUED', 'RUNNING')) AS open FROM jobs WHERE job_type = 'INGEST' GROUP BY ALL),
+v AS (SELECT d.id, CASE WHEN d.status <> 'ACTIVE' THEN 'not_active' WHEN s.stale IS DISTINCT FROM true THEN 'not_stale' WHEN found IS NULL OR checksum IS NULL OR found <> checksum THEN 'corrupt' ELSE 'queued' END AS verdict, CAST(CASE WHEN verdict = 'queued' THEN coalesce(begun, d.current_version) + 1 END AS INTEGER) AS version, open FROM docs d LEFT JOIN s ON s.id = d.id AND s.current_version = d.current_version LEFT JOIN o ON o.id = d.id LEFT JOIN b ON b.id = d.id WHERE d.deleted_at IS NULL)
+SELECT id, verdict, version, 'ingest:' || id || ':v' || version AS idempotency_key, CASE WHEN version IS NOT NULL THEN coalesce(open, 0) END AS superseded FROM v""",
     "stale_checks": f"WITH {app_sql('chunks')}, v(document_id, version) AS (VALUES (6, 1), (7, 99), (10, 2), (11, 3)) SELECT v.document_id, version, coalesce(bool_or({_DRIFT}) FILTER (WHERE c.id IS NOT NULL), false) AS stale FROM v LEFT JOIN chunks c ON c.document_id = v.document_id AND c.document_version = version GROUP BY ALL",
     "vector_sources": f"WITH {app_sql('docs', 'chunks')} SELECT document_id, embedding_fingerprint, max(document_version) AS version FROM chunks c WHERE vector IS NOT NULL AND NOT EXISTS (SELECT 1 FROM docs d WHERE d.id = c.document_id AND d.current_version = c.document_version) GROUP BY ALL",
     "missing_vectors": f"WITH {app_sql('chunks')} SELECT document_id, document_version, count(*) FILTER (WHERE vector IS NULL) AS missing FROM chunks GROUP BY ALL",

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import blocks, citations
+from siltstone.operators import chunks as ch
 from siltstone.operators import documents as d
 
 
@@ -127,3 +128,14 @@ def test_uploads_are_judged_in_order(spark, seed):
             used[o] = used.get(o, 0) + n
             known.add((b, c))
     assert got == want and set(want.values()) == {"over_quota", "duplicate", "accepted"}
+
+
+def test_rebuilds_are_decided_in_order(spark):
+    old, new = json.dumps({"embedding_model": "a", "chunking_version": "1", "preprocessing_version": "1"}), json.dumps({"embedding_model": "b", "chunking_version": "1", "preprocessing_version": "1"})
+    docs = spark.createDataFrame([(1, "ACTIVE", "x", 1, None), (2, None, "x", 1, None), (3, "ACTIVE", "x", 1, None), (4, "ACTIVE", "x", 1, None), (5, "ACTIVE", None, 1, None), (6, "ACTIVE", "x", 1, 9), (7, "ACTIVE", "x", 2, None), (8, "ACTIVE", "x", 1, None)], "id long, status string, checksum string, current_version int, deleted_at long")
+    parts = spark.createDataFrame([(1, 1, old), (1, 1, new), (2, 1, old), (3, 1, new), (4, 1, old), (5, 1, old), (6, 1, old), (7, 2, None), (8, 2, old)], "document_id long, document_version int, meta string")
+    originals = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, "y"), (5, None), (7, "x"), (8, "x")], "id long, checksum string")
+    jobs = spark.createDataFrame([(1, "INGEST", "QUEUED", 4), (1, "INGEST", "FAILED", 5), (1, "DELETE", "QUEUED", 9)], "document_id long, job_type string, status string, document_version int")
+    got = {r.id: tuple(r)[1:] for r in ch.rebuilds(docs, parts, originals, jobs, {"embedding_model": "b", "chunking_version": "1", "preprocessing_version": "1"}).collect()}
+    none = (None, None, None)
+    assert got == {1: ("queued", 6, "ingest:1:v6", 1), 2: ("not_active", *none), 3: ("not_stale", *none), 4: ("corrupt", *none), 5: ("corrupt", *none), 7: ("queued", 3, "ingest:7:v3", 0), 8: ("not_stale", *none)}
