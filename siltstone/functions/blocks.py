@@ -60,12 +60,12 @@ def emit(pieces: DataFrame, *, key: str = "id", most_block: int = BLOCK_CHARS, m
     by it. A document with more than most_document normalised characters gives one row with an error and no
     blocks. Budget and block numbers share one shuffle, by document.
     """
-    clean = pieces.select(key, "piece_order", F.coalesce("headed", F.lit(False)).alias("headed"), tx.normalized(F.col("text")).alias("text")).filter("text <> ''")
+    clean = pieces.select(key, "piece_order", F.coalesce("headed", F.lit(False)).alias("headed"), tx.normalized(F.col("text")).alias("text"))
     own = Window.partitionBy(key)
     known = clean.withColumns({"__all": F.sum(F.length("text")).over(own), "__place": F.row_number().over(own.orderBy("piece_order"))})
     refused = F.col("__all") > most_document
-    # of a refused document one piece stays, without its text
-    kept = known.filter(~refused | (F.col("__place") == 1)).select(key, "piece_order", refused.alias("__refused"), F.when(F.col("headed") & ~refused, F.substring_index("text", "\n", 1)).otherwise("").alias("header"), F.when(~refused, F.col("text")).otherwise("").alias("text"))
+    # blank pieces go behind the windows, as a filter before them would normalise twice; of a refused document one piece stays, without its text
+    kept = known.filter(F.when(refused, F.col("__place") == 1).otherwise(F.col("text") != "")).select(key, "piece_order", refused.alias("__refused"), F.when(F.col("headed") & ~refused, F.substring_index("text", "\n", 1)).otherwise("").alias("header"), F.when(~refused, F.col("text")).otherwise("").alias("text"))
     cut = kept.select(key, "piece_order", "__refused", "header", F.posexplode(_split(F.col("text"), most_block)).alias("__part", "text"))
     whole = F.when((F.col("header") != "") & (F.col("__part") > 0), F.concat("header", F.lit("\n"), "text")).otherwise(F.col("text"))
     number = F.row_number().over(own.orderBy("piece_order", "__part")) - 1
