@@ -12,10 +12,13 @@ pairs 1 in 30,000). Nothing is decided by the estimate: each candidate's similar
 both sets of shingles, and links are the pairs that have it. A pair of similarity 0.8 shares a list
 with a chance of some 0.94, one of 0.85 with 0.99, and a member of a group has many to be found by.
 
-Dense groups. Nodes are distinct sets, so exact copies are one node, whatever their number. On a list
-each node is a candidate with the PARTNERS smallest nodes alone that it is near. A group's smallest nodes
-are the smallest of most of its lists, so a group has some ten candidates for each of its nodes,
-not all pairs; lists differ, so a node that isn't linked with one partner meets others on other lists.
+Dense groups. Nodes are distinct sets, so exact copies are one node, whatever their number. A list gives
+all its near pairs, if these are LIST_PAIRS for each of its nodes or fewer. A denser one gives each
+node with the PARTNERS smallest nodes that it is near, and stays open. Most of a dense group is
+connected by then, and a pair of connected nodes needs no look. So the open lists' nodes meet again
+with what they are connected to: near pairs that aren't connected are compared, for each node MORE
+times as many in each round, until no node has had to leave one out. Every near pair of a list is then compared or
+connected; only a group that is near by estimate and not alike by its sets has all its pairs compared.
 
 Rows are known by their id and a hash of their text. Texts move twice: those of candidates to be
 compared, and all to meet the verdict.
@@ -43,6 +46,8 @@ from siltstone.llm.suffix_dedup import ROW, keyed
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, LONGS, SPREAD, PARTNERS = 200, 8, 2.5, 1
+#: Comparisons of a list and near pairs for each of its nodes beyond which it stays open, and the growth of a node's pairs from round to round.
+LIST_CELLS, LIST_PAIRS, MORE = 1 << 20, 4, 64
 PRINT = tuple(f"f{k}" for k in range(LONGS))
 _SALTS = mix(np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Three positional bytes for each band (63 of the 64 in each of several orders), and the eight that a posting carries: none of the three.
@@ -106,45 +111,99 @@ def list_pairs(node: np.ndarray, carried: np.ndarray, most: int) -> tuple[np.nda
     return np.concatenate(u), np.concatenate(v)
 
 
+def whole_list(node: np.ndarray, carried: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one list, all pairs within `most` bits; if that is much, those of list_pairs() and each node with itself: the list stays open."""
+    u, v = list_pairs(node, carried, most)
+    if not len(v):
+        return u, v
+    later = np.flatnonzero(np.isin(node, v))  # who has a smaller near node
+    if len(later) * len(node) <= LIST_CELLS:
+        x, y = np.nonzero((np.bitwise_count(carried[later, None] ^ carried[None, :]) <= most) & (node[later, None] > node[None, :]))
+        if len(x) <= LIST_PAIRS * len(node):
+            return node[y], node[later[x]]
+    return np.concatenate([u, node]), np.concatenate([v, node])
+
+
+def apart_pairs(node: np.ndarray, carried: np.ndarray, root: np.ndarray, most: int, partners: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of one list, pairs of different roots within `most` bits: for each node outside the commonest root the `partners` smallest; where there are more, all concerned with themselves."""
+    order = np.argsort(node)
+    node, carried, root = node[order], carried[order], root[order]
+    roots, size = np.unique(root, return_counts=True)
+    for k in np.flatnonzero(root != roots[size.argmax()]) if len(roots) > 1 else ():
+        near = node[(np.bitwise_count(carried ^ carried[k]) <= most) & (root != root[k])]
+        yield np.minimum(near[:partners], node[k]), np.maximum(near[:partners], node[k])
+        if len(near) > partners:
+            yield np.append(near, node[k]), np.append(near, node[k])
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each node once for each band, with the band and its three bytes as one number, and eight more bytes."""
+    """Each node once for each band, with the band and its three bytes as one number, eight more bytes, and its root if it has one."""
     for batch in batches:
         prints = np.stack([batch.column(c).to_numpy() for c in PRINT], axis=1)
         body = np.ascontiguousarray(prints).view(np.uint8).astype(np.int64)
+        more = [c for c in batch.schema.names if c == "root"]
         for k, (x, y, z) in enumerate(_TRIPLES):
             key = (k << 24) | (body[:, x] << 16) | (body[:, y] << 8) | body[:, z]
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("node"), batch.column(PRINT[_CARRIED[k]])], ["key", "node", "carried"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("node"), batch.column(PRINT[_CARRIED[k]]), *map(batch.column, more)], ["key", "node", "carried", *more])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows come in the order of their keys: each run is a posting list, held until it ends."""
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The columns of postings, as many whole lists at a time as have come: rows come in the order of their keys, and a list is held until it ends."""
     held: list[tuple] = []
-
-    def out(key, node, carried):
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(first, len(key)))
-        two = first[size == 2]
-        two = two[np.bitwise_count(carried[two] ^ carried[two + 1]) <= most]
-        u, v = [np.minimum(node[two], node[two + 1])], [np.maximum(node[two], node[two + 1])]
-        for a, n in zip(first[size > 2], size[size > 2]):
-            x, y = list_pairs(node[a : a + n], carried[a : a + n], most)
-            u.append(x)
-            v.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
-
     for batch in batches:
-        now = tuple(batch.column(k).to_numpy() for k in range(2)) + (batch.column(2).to_numpy().view(np.uint64),)
-        if not len(now[0]):
+        key, node, carried, *more = (batch.column(k).to_numpy() for k in range(batch.num_columns))
+        if not len(key):
             continue
-        held.append(now)
-        if held[0][0][0] == now[0][-1]:
+        held.append((key, node, carried.view(np.uint64), *more))
+        if held[0][0][0] == key[-1]:
             continue  # one list so far
         rows = tuple(np.concatenate(c) for c in zip(*held))
         last = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1
         held = [tuple(c[last:] for c in rows)]
-        yield out(*(c[:last] for c in rows))
+        yield tuple(c[:last] for c in rows)
     if held:
-        yield out(*(np.concatenate(c) for c in zip(*held)))
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list begins, and its size."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return first, np.diff(np.append(first, len(key)))
+
+
+def _rows(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of each list, and each node of one that stays open with itself."""
+    for key, node, carried in _lists(batches):
+        first, size = _runs(key)
+        two = first[size == 2]
+        two = two[np.bitwise_count(carried[two] ^ carried[two + 1]) <= most]
+        u, v = [np.minimum(node[two], node[two + 1])], [np.maximum(node[two], node[two + 1])]
+        for a, n in zip(first[size > 2], size[size > 2]):
+            x, y = whole_list(node[a : a + n], carried[a : a + n], most)
+            u.append(x)
+            v.append(y)
+        yield _rows(u, v)
+
+
+def _apart(batches: Iterator[pa.RecordBatch], most: int, partners: int) -> Iterator[pa.RecordBatch]:
+    """The same of open lists whose nodes have roots: near pairs that no root connects."""
+    for key, node, carried, root in _lists(batches):
+        u, v, n = [node[:0]], [node[:0]], 0
+        first, size = _runs(key)
+        for a, m in zip(first, size):
+            for x, y in apart_pairs(node[a : a + m], carried[a : a + m], root[a : a + m], most, partners):
+                u.append(x)
+                v.append(y)
+                n += len(x)
+                if n > 1 << 16:
+                    yield _rows(u, v)
+                    u, v, n = [], [], 0
+        if u:
+            yield _rows(u, v)
 
 
 def set_links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, str]:
@@ -168,6 +227,15 @@ def set_links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     return links, links_path
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (of, root) after more links of nodes: only the components that these connect are gone through."""
+    end = lambda c: roots.toDF(f"{c}_of", f"{c}_root")
+    over = links.join(end("u"), F.col("u") == F.col("u_of"), "left").join(end("v"), F.col("v") == F.col("v_of"), "left")
+    moved = components(over.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))).toDF("node", "now")
+    kept = roots.join(moved, F.col("root") == F.col("node"), "left").select("of", F.coalesce("now", "root").alias("root"))
+    return kept.unionByName(moved.join(roots, F.col("node") == F.col("of"), "left_anti").toDF("of", "root"))
+
+
 def first_of_each(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of df that are the first of their group of near copies, with df's columns."""
     spark, most = df.sparkSession, bits_at(similarity, SPREAD)
@@ -191,11 +259,26 @@ def first_of_each(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     postings = nodes.select("node", *PRINT).mapInArrow(_postings, "key bigint, node bigint, carried bigint")
     found = postings.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _candidates(batches, most), "u bigint, v bigint")
     pairs, pairs_path = written(found.distinct())
-    links, links_path = set_links(rows, nodes, pairs, shingle, similarity)
-    roots, roots_path = written(components(links).withColumnRenamed("node", "of"))
+    links, links_path = set_links(rows, nodes, pairs.filter("u != v"), shingle, similarity)
+    roots, roots_path = written(components(links).toDF("of", "root"))
+    gone, last, partners = [nodes_path, pairs_path, links_path, roots_path], pairs, MORE
+    while not last.filter("u = v").isEmpty():
+        still = nodes.join(last.filter("u = v").select(F.col("u").alias("node")), "node", "left_semi").select("node", *PRINT)
+        postings = still.join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of").mapInArrow(_postings, "key bigint, node bigint, carried bigint, root bigint")
+        found = postings.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches, partners=partners: _apart(batches, most, partners), "u bigint, v bigint")
+        last, last_path = written(found.distinct().join(pairs.filter("u != v"), ["u", "v"], "left_anti"))
+        gone.append(last_path)
+        partners *= MORE
+        if not last.filter("u != v").isEmpty():
+            pairs = pairs.unionByName(last)
+            more, more_path = set_links(rows, nodes, last.filter("u != v"), shingle, similarity)
+            gone.append(more_path)
+            if not more.isEmpty():
+                roots, roots_path = written(_joined(roots, more))
+                gone.append(roots_path)
     rooted = nodes.join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
     winners, _ = written(rooted.groupBy("root").agg(F.min("winner").alias("winner")).select("winner.*"))
-    for path in (nodes_path, pairs_path, links_path, roots_path):
+    for path in gone:
         drop_table(spark, path)
     own = [F.col("text" if c == text else f"c{k}").alias(c) for k, c in enumerate(df.columns)]
     return rows.join(winners, list(ROW), "left_semi").dropDuplicates(list(ROW)).select(*own)

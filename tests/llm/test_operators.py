@@ -14,6 +14,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -459,6 +460,33 @@ def test_wide_lists_pair_each_node_with_its_smallest_near_ones():
         assert found.get(n, set()) == set(near)
 
 
+@pytest.mark.parametrize("cells", [1 << 20, 0])
+def test_wide_lists_leave_no_near_pair_out(cells, monkeypatch):
+    """A node that is near two others meets both; dense lists end in rounds, for nodes that nothing connects and for connected ones."""
+    monkeypatch.setattr(simhash_wide, "LIST_CELLS", cells)
+    draw = np.random.default_rng(8)
+    carried = draw.integers(0, 1 << 62, 4).astype(np.uint64)[draw.integers(0, 4, 90)]
+    for _ in range(7):
+        carried ^= np.uint64(1) << draw.integers(0, 62, 90).astype(np.uint64)
+    carried = np.concatenate([carried, np.array([0, 0xFFFF, 0x00FF], np.uint64)])  # the last is near both, which aren't near each other
+    key, node = np.array([1] * 90 + [2] * 3), draw.permutation(1000)[:93]
+    node[90:] = [2001, 2002, 2003]
+    near = {(min(node[a], node[b]), max(node[a], node[b])) for a in range(93) for b in range(93) if a != b and key[a] == key[b] and np.bitwise_count(carried[a] ^ carried[b]) <= 12}
+    batch = lambda rows, *more: pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(node[rows]), pa.array(carried[rows].view(np.int64)), *more], ["key", "node", "carried", *["root"] * len(more)])
+    rows_of = lambda found: {(u, v) for b in found for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    begun = rows_of(simhash_wide._candidates(iter([batch(slice(0, 50)), batch(slice(50, 93))]), 12))
+    assert (2002, 2003) in begun or cells == 0
+    for root in (node, np.where(node % 3 > 0, node, 0)):
+        found, open_, partners = {p for p in begun if p[0] != p[1]}, {u for u, v in begun if u == v}, 2
+        assert open_ and found < near
+        while open_:
+            rows = np.flatnonzero(np.isin(node, list(open_)))
+            now = rows_of(simhash_wide._apart(iter([batch(rows, pa.array(root[rows]))]), 12, partners))
+            found, open_, partners = found | {p for p in now if p[0] != p[1]}, {u for u, v in now if u == v}, 2 * partners
+        of = dict(zip(node, root))
+        assert found <= near and {p for p in near if of[p[0]] != of[p[1]]} <= found
+
+
 def test_near_copies_by_exact_similarity(spark):
     """Against all pairs: 0.9 or more of the documents that are 0.8 alike to an earlier one go, and none that isn't."""
     draw = random.Random(12)
