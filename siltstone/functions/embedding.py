@@ -34,4 +34,5 @@ def embedded(rows: DataFrame, *, text: str = "text", out: str = "vector", dimens
     unique = keyed.select("__key").distinct()
     if observed is not None:
         unique = unique.observe(observed, F.count(F.lit(1)).alias("embedded"))
-    return keyed.join(unique.withColumn(out, vector_of(F.col("__key"), dimensions)), "__key").drop("__key")
+    # a left join to distinct keys: who doesn't ask for the vectors doesn't have them made
+    return keyed.join(unique.withColumn(out, vector_of(F.col("__key"), dimensions)), "__key", "left").drop("__key")

@@ -20,10 +20,14 @@ def top_by(df: DataFrame, key: str, order: list, n: int, rank: str = "rank") ->
 
 
 def unit(vector: Column) -> Column:
-    """The vector in doubles at length 1; all zeros where its length is 0."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    """The vector in doubles at length 1; all zeros where its length is 0.
+
+    The vector and its length are named values, so each is found once for a row and not once for a number.
+    """
+    once = lambda c, f: F.transform(F.array(c), f)[0]
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    scaled = lambda v, norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    return once(F.transform(vector, lambda x: x.cast("double")), lambda v: once(length(v), lambda norm: scaled(v, norm)))
 
 
 def _bytes(batch: pa.RecordBatch) -> bytes:
