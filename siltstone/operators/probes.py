@@ -1,8 +1,8 @@
 """Search with several probes to a question: all probes of all questions are one set of queries for both arms.
 
 A question's probes are its own text and up to a number of rewritten ones. Each arm ranks for every
-probe in one scan of the chunks; a probe's arms are fused, then the question's probes are. A second
-pass, with other probes, is made for those questions alone whose answer was rejected.
+probe in one scan of the chunks; a probe's arms are fused, then the question's probes are. Those
+questions alone whose answer was rejected are asked with other probes.
 """
 
 from __future__ import annotations
@@ -47,7 +47,8 @@ def search(chunks: DataFrame, probes: DataFrame, *, arm: int = ARM, fused: int =
 
 
 def search_twice(chunks: DataFrame, first: DataFrame, rejected: DataFrame, second: DataFrame, **sizes: int) -> DataFrame:
-    """search() with `first` probes, and for the rejected questions (question_id) with their `second` ones instead; `attempt` says which."""
+    """search() with `first` probes, and for the rejected questions (question_id) with their `second` ones instead; `attempt` says which. A question's answer depends on its own probes alone, so both passes are one scan."""
     no = rejected.select("question_id").distinct()
-    again = search(chunks, second.join(no, "question_id", "left_semi"), **sizes).withColumn("attempt", F.lit(2))
-    return search(chunks, first, **sizes).withColumn("attempt", F.lit(1)).join(no, "question_id", "left_anti").unionByName(again)
+    asked = first.join(no, "question_id", "left_anti").unionByName(second.join(no, "question_id", "left_semi"))
+    found = search(chunks, asked, **sizes).join(no.withColumn("no", F.lit(2)), "question_id", "left")
+    return found.withColumn("attempt", F.coalesce("no", F.lit(1))).drop("no")
