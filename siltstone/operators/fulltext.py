@@ -7,19 +7,22 @@ every occurrence is a cover; if all must be there, covers are the stretches that
 and no smaller such stretch (Clarke, Cormack and Tudhope, "Relevance ranking for one to three term
 queries"). A position counts once, whatever terms it holds.
 
-At scale. The documents' distinct words are stemmed, not their occurrences, and only words with a stem
-that is asked for are looked up again: what is shuffled is the occurrences asked for, by document. Those
-meet the questions where they are, in the document's own task, and each task passes on its k best of
-a question.
+At scale. The documents' distinct words are stemmed, not their occurrences, and a question's terms become
+the words that have them: its forms. Documents then meet blocks of questions as lists of words, in
+their own task; no occurrence is a row, and what is shuffled is a text once, to make repeated ids one,
+and each task's k best of a question.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.stemming import STOP_WORDS, stems, words_of
-from siltstone.operators.retrieval import top_by
+from siltstone.operators.retrieval import _by_blocks, count_top_k, top_by
 
 DIGITS = 9
 
@@ -42,16 +45,63 @@ def questions(asked: DataFrame, most: int | None = None) -> DataFrame:
     return out if most is None else out.filter(F.col("nth") < most)
 
 
-def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, position from 1, stem) of the words of docs (id, text) whose stem is in terms (stem), dealt by id."""
-    places = docs.filter("id IS NOT NULL").select("id", F.posexplode(words_of(F.col("text"))).alias("at", "word"))
-    vocabulary = places.select("word").distinct().filter(~F.col("word").isin(STOP_WORDS))
-    known = stemmed(vocabulary).join(terms.select("stem").distinct(), "stem", "left_semi")
-    return places.join(known, "word").select("id", (F.col("at") + 1).alias("position"), "stem").repartition("id")
-
-
-def _matches(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    return occurrences(docs, asked).join(asked, "stem")
+def worded(docs: DataFrame) -> DataFrame:
+    """(id, terms): the words of each document (id, text), in order. Equal texts of an id are one, others follow each other."""
+    one = docs.filter("id IS NOT NULL").groupBy("id").agg(F.sort_array(F.collect_set("text")).alias("texts"))
+    return one.select("id", F.flatten(F.transform("texts", words_of)).alias("terms"))
+
+
+def forms(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, stem, word): for each stem of questions() the words of docs (id, text) that have it."""
+    vocabulary = docs.filter("id IS NOT NULL").select(F.explode(words_of(F.col("text"))).alias("word")).distinct().filter(~F.col("word").isin(STOP_WORDS))
+    known = stemmed(vocabulary).join(asked.select("stem").distinct(), "stem", "left_semi")
+    return known.join(asked.select("query_id", "stem"), "stem").select("query_id", "stem", "word")
+
+
+def _covers(place: np.ndarray, stem: np.ndarray, terms: np.ndarray) -> tuple[int, float]:
+    """How many covers occurrences of a question's terms have, in the order of their places, and their density."""
+    at = np.arange(len(place))
+    # the last occurrence of each term up to each one; the earliest of these begins the stretch that ends there
+    begin = np.min([np.maximum.accumulate(np.where(stem == t, at, -1)) for t in terms], axis=0)
+    end = np.flatnonzero(begin > np.concatenate([[-1], np.maximum.accumulate(begin)[:-1]]))
+    begin = begin[end]
+    return len(end), float((0.1 / (1 + (place[end] - place[begin]) - (end - begin))).sum())
+
+
+def _whole_matches(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, id, covers, score) of documents (id, terms) that hold all terms of a question (query_id, terms: its forms as structs of word and stem)."""
+
+    def prepare(block: pa.RecordBatch) -> tuple:
+        queries, lists = block.column("query_id").to_numpy(zero_copy_only=False), block.column("terms")
+        of = np.repeat(np.arange(len(queries)), np.diff(lists.offsets.to_numpy()))
+        word, stem = (pc.struct_field(lists.flatten(), name) for name in ("word", "stem"))
+        known, stems = word.unique(), stem.unique()
+        number = pc.index_in(stem, stems).to_numpy()
+        stem_of = np.zeros(len(known), np.int64)
+        stem_of[pc.index_in(word, known).to_numpy()] = number
+        wanted = np.zeros((len(stems), len(queries)), np.float32)
+        wanted[number, of] = 1
+        return queries, known, stem_of, wanted
+
+    def search(rows: pa.RecordBatch, queries: np.ndarray, known: pa.Array, stem_of: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch:
+        ids, own, n = rows.column("id").to_numpy(zero_copy_only=False), rows.column("terms"), rows.num_rows
+        found = pc.index_in(own.flatten(), known)
+        at = np.flatnonzero(np.asarray(found.is_valid()))
+        of = np.repeat(np.arange(n), np.diff(own.offsets.to_numpy()))[at]
+        stem = stem_of[found.drop_null().to_numpy()]
+        held = np.zeros((n, len(wanted)), np.float32)
+        held[of, stem] = 1
+        doc, q = np.nonzero(held @ wanted == wanted.sum(axis=0))
+        first = np.searchsorted(of, np.arange(n + 1))
+        rows_out = []
+        for d, j in zip(doc.tolist(), q.tolist()):
+            mine = slice(first[d], first[d + 1])
+            some = np.flatnonzero(wanted[stem[mine], j])
+            rows_out.append(_covers(at[mine][some], stem[mine][some], np.flatnonzero(wanted[:, j])))
+        covers, score = np.array([r[0] for r in rows_out], np.int64), np.round(np.array([r[1] for r in rows_out], np.float64), DIGITS)
+        return pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(ids[doc]), pa.array(covers), pa.array(score)], ["query_id", "id", "covers", "score"])
+
+    return _by_blocks(docs.filter("size(terms) > 0"), asked, prepare, search, "query_id bigint, id bigint, covers bigint, score double")
 
 
 def top_k(docs: DataFrame, asked: DataFrame, k: int, *, every: bool = False) -> DataFrame:
@@ -59,21 +109,12 @@ def top_k(docs: DataFrame, asked: DataFrame, k: int, *, every: bool = False) ->
 
     asked: of questions(). every: all of a question's terms must be there. Repeated ids are one document.
     """
-    met = _matches(docs, asked)
+    found = forms(docs, asked)
     if not every:
-        found = met.groupBy("id", "query_id").agg(F.count_distinct("position").alias("covers")).withColumn("score", F.round(F.col("covers") * 0.1, DIGITS))
-        return top_by(found, "query_id", [F.desc("score"), "id"], k)
-    terms = asked.agg(F.max("nth")).first()[0]
-    sizes = asked.groupBy("query_id").agg(F.count("*").alias("terms"))
-    rows = met.groupBy("id", "query_id", "position").agg(F.collect_set("nth").alias("held"))  # a position holds one word
-    place = Window.partitionBy("id", "query_id").orderBy("position")
-    rows = rows.withColumn("row", F.row_number().over(place)).join(sizes, "query_id")
-    # the last place of each term up to a row; the earliest of these begins the stretch that ends in the row
-    last = [F.max(F.when(F.array_contains("held", k), F.struct("row", "position"))).over(place) for k in range((terms or 0) + 1)]
-    rows = rows.withColumn("last", F.array(*last)).withColumn("own", F.slice("last", F.lit(1), F.col("terms").cast("int")))
-    begin = F.when(~F.exists("own", lambda x: x.isNull()), F.array_min("own"))
-    rows = rows.withColumn("begin", begin).withColumn("before", F.max("begin.row").over(place.rowsBetween(Window.unboundedPreceding, -1)))
-    covers = rows.filter("begin IS NOT NULL AND (before IS NULL OR begin.row > before)")
-    noise = (F.col("position") - F.col("begin.position")) - (F.col("row") - F.col("begin.row"))
-    found = covers.groupBy("id", "query_id").agg(F.count("*").alias("covers"), F.round(F.sum(0.1 / (1 + noise)), DIGITS).alias("score"))
-    return top_by(found, "query_id", [F.desc("score"), "id"], k)
+        counted = count_top_k(worded(docs), found.groupBy("query_id").agg(F.collect_set("word").alias("terms")), k)
+        return counted.select("query_id", "id", F.col("score").alias("covers"), F.round(F.col("score") * 0.1, DIGITS).alias("score"), "rank")
+    # a question of which a term has no form at all has no document
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("all"))
+    whole = found.groupBy("query_id").agg(F.collect_set(F.struct("word", "stem")).alias("terms"), F.count_distinct("stem").alias("some"))
+    whole = whole.join(sizes, "query_id").filter(F.col("all") == F.col("some")).select("query_id", "terms")
+    return top_by(_whole_matches(worded(docs), whole), "query_id", [F.desc("score"), "id"], k)

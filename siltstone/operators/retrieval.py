@@ -123,8 +123,8 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
 
 
-def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): the k documents with most occurrences of a query's distinct terms; ties by id.
+def count_top_k(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the k documents (id, terms) with most occurrences of a query's terms (query_id, terms: distinct ones); ties by id.
 
     A batch of documents meets a block of queries: the terms asked for are counted by document, and the
     counts are multiplied with the queries' terms. Only each batch's k best of a query are shuffled, so
@@ -148,9 +148,14 @@ def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         q, at = np.repeat(np.arange(len(asked)), [len(p) for p in places]), np.concatenate(places)
         return pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(ids[at]), pa.array(score[at, q].astype(np.int64))], ["query_id", "id", "score"])
 
-    own = docs.filter("id IS NOT NULL").select("id", terms(F.col("text")).alias("terms")).filter(F.size("terms") > 0)
-    asked = queries.filter("query_id IS NOT NULL").select("query_id", F.array_distinct(terms(F.col("text"))).alias("terms")).filter(F.size("terms") > 0)
-    return top_by(_by_blocks(own, asked, prepare, search, "query_id bigint, id bigint, score bigint"), "query_id", [F.desc("score"), "id"], k)
+    own, wanted = docs.select("id", "terms").filter("id IS NOT NULL AND size(terms) > 0"), asked.select("query_id", "terms").filter("query_id IS NOT NULL AND size(terms) > 0")
+    return top_by(_by_blocks(own, wanted, prepare, search, "query_id bigint, id bigint, score bigint"), "query_id", [F.desc("score"), "id"], k)
+
+
+def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the k documents with most occurrences of a query's distinct terms; ties by id."""
+    own = docs.select("id", terms(F.col("text")).alias("terms"))
+    return count_top_k(own, queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("terms")), k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = 60, top: int = 30) -> DataFrame:

@@ -1,9 +1,10 @@
 """Plans and helpers whose cost must not grow faster than their input."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import embedding
-from siltstone.operators import probes, retrieval
+from siltstone.operators import fulltext, probes, retrieval
 
 
 def physical(df) -> str:
@@ -32,3 +33,13 @@ def test_both_passes_of_a_search_are_one_scan(spark, tmp_path):
     assert physical(found).split("== Initial Plan ==")[0].count(f"{path}") <= 3  # the dense arm reads keys and rows, the lexical one texts
     best = {r.question_id: (r.id, r.attempt) for r in found.filter("rank = 1").collect()}
     assert best == {k: (k + 10 if k < 2 else k, 2 if k < 2 else 1) for k in range(6)}
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_occurrences_are_no_rows(spark, every):
+    docs = spark.createDataFrame([(1, "a cat and a dog"), (1, "a cat and a dog"), (2, "cats, dogs and a cat"), (3, "cow")], "id long, text string")
+    asked = fulltext.questions(spark.createDataFrame([(7, "cat dog"), (8, "cow unknown")], "query_id long, text string"))
+    found = fulltext.top_k(docs, asked, 5, every=every)
+    assert "position" not in physical(found) and "MapInArrow" in physical(found)
+    rows = {(r.query_id, r.id): r.covers for r in found.collect()}
+    assert rows == ({(7, 1): 1, (7, 2): 2} if every else {(7, 1): 2, (7, 2): 3, (8, 3): 1})
