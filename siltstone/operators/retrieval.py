@@ -51,22 +51,27 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch
 
 
-def _by_blocks(rows: DataFrame, queries: DataFrame, prepare: Callable[[pa.RecordBatch], tuple], search: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+def _by_blocks(rows: DataFrame, queries: DataFrame, prepare: Callable[[pa.RecordBatch], tuple], search: Callable[..., pa.RecordBatch], schema: str, on: str | None = None) -> DataFrame:
     """search(slice of rows, *prepare(block of queries)) of every slice and every block, in one plan: no job runs for it beforehand.
 
     Queries (query_id and one more column) are dealt to blocks of some QUERY_BLOCK by their ids' hashes; rows
     aren't shuffled. Blocks and slices are one row each, so that Spark chooses by their size how they meet:
-    small queries are broadcast, beyond the broadcast's threshold partitions meet in pairs.
+    small queries are broadcast, beyond the broadcast's threshold partitions meet in pairs. on: a column of
+    whole numbers that both sides have; only rows and queries of the same number meet.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([_bytes(part)], pa.binary())})
+            numbers = [None] if on is None else batch.column(on).unique().to_pylist()
+            for number in numbers:
+                own = batch if on is None else batch.filter(pc.equal(batch.column(on), number)).drop_columns([on])
+                for part in _slices(own):
+                    yield pa.RecordBatch.from_pydict({"slice": pa.array([_bytes(part)], pa.binary()), **({} if on is None else {"__on": pa.array([number], pa.int64())})})
 
     def gather(block: pa.Table) -> pa.Table:
-        block = block.drop_columns(["__block"]).combine_chunks()
-        return pa.table({"block": pa.array([_bytes(block.to_batches()[0])], pa.binary())})
+        number = None if on is None else block.column(on)[0].as_py()
+        block = block.drop_columns(["__block", *filter(None, [on])]).combine_chunks()
+        return pa.table({"block": pa.array([_bytes(block.to_batches()[0])], pa.binary()), **({} if on is None else {"__on": pa.array([number], pa.int64())})})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ready = None, ()
@@ -78,7 +83,11 @@ def _by_blocks(rows: DataFrame, queries: DataFrame, prepare: Callable[[pa.Record
 
     blocks = queries.agg(F.greatest(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK), F.lit(1)).alias("__blocks"))  # one row
     dealt = queries.join(F.broadcast(blocks)).withColumn("__block", F.pmod(F.xxhash64("query_id"), "__blocks")).drop("__blocks")
-    return rows.mapInArrow(pack, "slice binary").crossJoin(dealt.groupBy("__block").applyInArrow(gather, "block binary")).mapInArrow(run, schema)
+    if on is None:
+        met = rows.mapInArrow(pack, "slice binary").crossJoin(dealt.groupBy("__block").applyInArrow(gather, "block binary"))
+    else:
+        met = rows.mapInArrow(pack, "slice binary, __on bigint").join(dealt.groupBy(on, "__block").applyInArrow(gather, "block binary, __on bigint"), "__on").select("slice", "block")
+    return met.mapInArrow(run, schema)
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

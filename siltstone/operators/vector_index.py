@@ -6,7 +6,8 @@ A list's rows are dealt over several files by their id, so a large list is no si
 
 Search. A question goes to the `probes` lists whose centroids are nearest; lists that no question
 probes aren't read (partitions are pruned when the questions are known), and the rows of those that
-are meet their questions by list. Scores are exact cosines; recall grows with `probes`, and with
+are meet their questions by list, slices of rows against blocks of questions: a pair is a number of a
+product and no row, and only a slice's k best of a question are shuffled. Scores are exact cosines; recall grows with `probes`, and with
 all lists the search is exact.
 """
 
@@ -14,12 +15,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators.retrieval import top_by, unit
+from siltstone.operators.retrieval import _best, _by_blocks, top_by, unit
 from siltstone.storage import new_path
 
 SAMPLE, ROUNDS, SEED = 100_000, 15, 11
@@ -56,7 +59,6 @@ def build(vectors: DataFrame, lists: int, path: str | None = None) -> Index:
 def search(index: Index, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """(query_id, id, score, rank): of each query (query_id, vector) the k ids of greatest cosine in its `probes` nearest lists; ties by id."""
     spark = queries.sparkSession
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     table = index.table(spark)
     if not index.centroids:
         return table.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
@@ -65,7 +67,22 @@ def search(index: Index, queries: DataFrame, k: int, probes: int) -> DataFrame:
     asked = queries.filter("query_id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0").select("query_id", unit(F.col("vector")).alias("asked"))
     near = F.sort_array(F.transform(centroids, lambda c: F.struct(away(c).alias("away"), c["list"].alias("list"))))
     probed = asked.select("query_id", "asked", F.posexplode(near).alias("nth", "near")).filter(F.col("nth") < probes).select("query_id", "asked", F.col("near.list").alias("list"))
-    met = table.join(probed, "list").select("query_id", "id", F.round(dot(F.col("unit"), F.col("asked")), 6).alias("score"))
+
+    def matrix(column: pa.Array, n: int) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+    def prepare(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return block.column("query_id").to_numpy(zero_copy_only=False), matrix(block.column("asked"), block.num_rows).T
+
+    def meet(rows: pa.RecordBatch, asked: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        ids = rows.column("id").to_numpy(zero_copy_only=False)
+        score = np.round(matrix(rows.column("unit"), len(ids)) @ q, 6)
+        places = [_best(score[:, j], ids, k) for j in range(len(asked))]
+        of, at = np.repeat(np.arange(len(asked)), [len(p) for p in places]), np.concatenate(places)
+        return pa.RecordBatch.from_arrays([pa.array(asked[of]), pa.array(ids[at]), pa.array(score[at, of])], ["query_id", "id", "score"])
+
+    known = table.join(F.broadcast(probed.select("list").distinct()), "list", "left_semi")  # a row for each list
+    met = _by_blocks(known, probed, prepare, meet, "query_id bigint, id bigint, score double", on="list")
     return top_by(met, "query_id", [F.desc("score"), "id"], k)
 
 
