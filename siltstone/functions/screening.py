@@ -7,13 +7,10 @@ over quotes blocks. One of the fences that mark untrusted text, in a question, b
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
+
+from siltstone.functions.text import formed
 
 # The patterns, by code, in the order in which they are tried.
 CHAT_CONTROL = r"<\|(?:im_start|im_end|endoftext|system|user|assistant)\|>|\[/?INST\]|<<SYS>>"
@@ -34,14 +31,8 @@ FENCE_OPEN, FENCE_CLOSE = "<<<UNTRUSTED_CONTEXT>>>", "<<<END_UNTRUSTED_CONTEXT>>
 
 
 def folded(text: Column) -> Column:
-    """Compatibility forms made plain (NFKC has no built-in), format characters dropped, white space collapsed."""
-
-    @arrow_udf("string")
-    def nfkc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            yield pa.array([unicodedata.normalize("NFKC", x.as_py() or "") for x in batch], pa.string())
-
-    plain = F.regexp_replace(nfkc(text), r"\p{Cf}", "")
+    """Compatibility forms made plain (NFKC), format characters dropped, white space collapsed."""
+    plain = F.regexp_replace(formed(text, "NFKC"), r"\p{Cf}", "")
     return F.regexp_replace(F.regexp_replace(plain, r"[^\S\n]+", " "), r"\n\s*\n+", "\n")
 
 

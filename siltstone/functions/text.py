@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -16,15 +17,35 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 
 
-def composed(text: Column) -> Column:
-    """Unicode's composed form (NFC), which has no built-in."""
+#: Rows and bytes of the slices in which a batch's texts are Python's.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
+
+
+def in_form(texts: pa.Array, form: str) -> pa.Array:
+    """Each text in a Unicode form, a null as empty. Slices are gone through one by one, ASCII ones as they are, so no more than a slice's texts are Python's at a time."""
+    if len(texts) > 1 and (len(texts) > SLICE_ROWS or texts.nbytes > SLICE_BYTES):
+        half = len(texts) // 2
+        return pa.concat_arrays([in_form(texts.slice(0, half), form), in_form(texts.slice(half), form)])
+    if pc.all(pc.string_is_ascii(texts)).as_py() is not False:
+        return pc.fill_null(texts, "").cast(pa.string())
+    return pa.array([unicodedata.normalize(form, x.as_py() or "") for x in texts], pa.string())
+
+
+def formed(text: Column, form: str) -> Column:
+    """A text in a Unicode form, which has no built-in."""
 
     @arrow_udf("string")
-    def nfc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def formed_texts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pa.array([unicodedata.normalize("NFC", x.as_py() or "") for x in batch], pa.string())
+            yield in_form(batch, form)
+            pa.default_memory_pool().release_unused()  # workers stay when their tasks have ended
+
+    return formed_texts(text)
 
-    return nfc(text)
+
+def composed(text: Column) -> Column:
+    """Unicode's composed form (NFC)."""
+    return formed(text, "NFC")
 
 
 def normalized(text: Column) -> Column:

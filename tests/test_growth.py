@@ -1,10 +1,15 @@
 """Plans and helpers whose cost must not grow faster than their input."""
 
+import unicodedata
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import embedding
-from siltstone.operators import fulltext, probes, retrieval
+from siltstone.functions import text as tx
+from siltstone.operators import fulltext, probes, retrieval, vector_index
 
 
 def physical(df) -> str:
@@ -43,3 +48,20 @@ def test_occurrences_are_no_rows(spark, every):
     assert "position" not in physical(found) and "MapInArrow" in physical(found)
     rows = {(r.query_id, r.id): r.covers for r in found.collect()}
     assert rows == ({(7, 1): 1, (7, 2): 2} if every else {(7, 1): 2, (7, 2): 3, (8, 3): 1})
+
+
+def test_unicode_forms_slice_by_slice():
+    texts = pa.array(["é", None, "plain", "ﬁ", "x" * 3_000_000 + "é"] * 300)[:1400]
+    texts = pa.concat_arrays([texts.slice(0, 4), pa.array(["y"] * 700), texts.slice(4, 2)])
+    for form in ("NFC", "NFKC"):
+        assert tx.in_form(texts, form).to_pylist() == [unicodedata.normalize(form, x or "") for x in texts.to_pylist()]
+    assert tx.in_form(pa.array([], pa.string()), "NFC").to_pylist() == []
+
+
+def test_pairs_of_an_index_are_no_rows(spark):
+    draw = np.random.default_rng(4)
+    rows = spark.createDataFrame([(k, draw.normal(size=4).tolist()) for k in range(300)], "id long, vector array<double>")
+    asked = rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    found = vector_index.search(vector_index.build(rows, 5), asked, 7, 5)
+    assert "MapInArrow" in physical(found) and "zip_with(unit" not in physical(found)
+    assert sorted(found.collect()) == sorted(retrieval.dense_top_k(rows, asked, 7).collect())
