@@ -17,8 +17,11 @@ all its near pairs, if these are LIST_PAIRS for each of its nodes or fewer. A de
 node with the PARTNERS smallest nodes that it is near, and stays open. Most of a dense group is
 connected by then, and a pair of connected nodes needs no look. So the open lists' nodes meet again
 with what they are connected to: near pairs that aren't connected are compared, for each node MORE
-times as many in each round, until no node has had to leave one out. Every near pair of a list is then compared or
-connected; only a group that is near by estimate and not alike by its sets has all its pairs compared.
+times as many in each round, until no node has had to leave one out. A pair that can't be alike is no
+row there: sets differ in at least as many shingles as their sizes do, and as there are parts of the
+hashes' range (64 * LONGS of them) of which one has an odd number and the other an even one. Every near
+pair of a list is then compared, connected, or shown not to be alike; only a group that is near by estimate
+and by these bounds, and not alike by its sets, has all its pairs compared.
 
 Rows are known by their id and a hash of their text. Texts move twice: those of candidates to be
 compared, and all to meet the verdict.
@@ -48,7 +51,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, LONGS, SPREAD, PARTNERS = 200, 8, 2.5, 1
 #: Comparisons of a list and near pairs for each of its nodes beyond which it stays open, and the growth of a node's pairs from round to round.
 LIST_CELLS, LIST_PAIRS, MORE = 1 << 20, 4, 64
-PRINT = tuple(f"f{k}" for k in range(LONGS))
+PRINT, ODD = tuple(f"f{k}" for k in range(LONGS)), tuple(f"o{k}" for k in range(LONGS))
 _SALTS = mix(np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Three positional bytes for each band (63 of the 64 in each of several orders), and the eight that a posting carries: none of the three.
 _TRIPLES = np.concatenate([np.random.default_rng(k).permutation(8 * LONGS)[: 8 * LONGS - 1].reshape(-1, 3) for k in range(-(-BANDS // 21))])[:BANDS]
@@ -93,6 +96,18 @@ def wide_print(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(shingles)).view(np.uint64)
 
 
+def odd_parts(shingles: np.ndarray) -> np.ndarray:
+    """LONGS numbers of 64 bits; a bit is 1 if its part of the hashes' range holds an odd number of the shingles."""
+    part = (shingles >> np.uint64(64 - (64 * LONGS - 1).bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(part, minlength=64 * LONGS) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def may_be_alike(sizes: np.ndarray, odds: np.ndarray, size: int, odd: np.ndarray, similarity: float) -> np.ndarray:
+    """Which sets may have the similarity to a further one: two differ in as many shingles as their sizes and as their odd parts do, or more."""
+    apart = np.maximum(np.abs(sizes - size), np.bitwise_count(odds ^ odd).sum(axis=1, dtype=np.int64))
+    return apart * (1 + similarity) <= (sizes + size) * (1 - similarity) + 1e-6
+
+
 def list_pairs(node: np.ndarray, carried: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Of one list, each node with the PARTNERS smallest nodes whose carried bytes are within `most` bits of its own."""
     order = np.argsort(node)
@@ -124,24 +139,28 @@ def whole_list(node: np.ndarray, carried: np.ndarray, most: int) -> tuple[np.nda
     return np.concatenate([u, node]), np.concatenate([v, node])
 
 
-def apart_pairs(node: np.ndarray, carried: np.ndarray, root: np.ndarray, most: int, partners: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of one list, pairs of different roots within `most` bits: for each node outside the commonest root the `partners` smallest; where there are more, all concerned with themselves."""
+def apart_pairs(node: np.ndarray, carried: np.ndarray, root: np.ndarray, sets: list[np.ndarray], most: int, partners: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of one list, pairs of different roots within `most` bits that may be alike: for each node outside the commonest root the `partners` smallest; where there are more, all concerned with themselves.
+
+    sets: nothing, or the nodes' sizes and their odd parts.
+    """
     order = np.argsort(node)
-    node, carried, root = node[order], carried[order], root[order]
-    roots, size = np.unique(root, return_counts=True)
-    for k in np.flatnonzero(root != roots[size.argmax()]) if len(roots) > 1 else ():
-        near = node[(np.bitwise_count(carried ^ carried[k]) <= most) & (root != root[k])]
+    node, carried, root, sets = node[order], carried[order], root[order], [x[order] for x in sets]
+    roots, nodes = np.unique(root, return_counts=True)
+    for k in np.flatnonzero(root != roots[nodes.argmax()]) if len(roots) > 1 else ():
+        near = np.flatnonzero((np.bitwise_count(carried ^ carried[k]) <= most) & (root != root[k]))
+        near = node[near[may_be_alike(*(x[near] for x in sets), *(x[k] for x in sets), similarity)] if sets else near]
         yield np.minimum(near[:partners], node[k]), np.maximum(near[:partners], node[k])
         if len(near) > partners:
             yield np.append(near, node[k]), np.append(near, node[k])
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each node once for each band, with the band and its three bytes as one number, eight more bytes, and its root if it has one."""
+    """Each node once for each band, with the band and its three bytes as one number, eight more bytes, and its other columns."""
     for batch in batches:
         prints = np.stack([batch.column(c).to_numpy() for c in PRINT], axis=1)
         body = np.ascontiguousarray(prints).view(np.uint8).astype(np.int64)
-        more = [c for c in batch.schema.names if c == "root"]
+        more = [c for c in batch.schema.names if c != "node" and c not in PRINT]
         for k, (x, y, z) in enumerate(_TRIPLES):
             key = (k << 24) | (body[:, x] << 16) | (body[:, y] << 8) | body[:, z]
             yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("node"), batch.column(PRINT[_CARRIED[k]]), *map(batch.column, more)], ["key", "node", "carried", *more])
@@ -189,13 +208,14 @@ def _candidates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
         yield _rows(u, v)
 
 
-def _apart(batches: Iterator[pa.RecordBatch], most: int, partners: int) -> Iterator[pa.RecordBatch]:
-    """The same of open lists whose nodes have roots: near pairs that no root connects."""
-    for key, node, carried, root in _lists(batches):
+def _apart(batches: Iterator[pa.RecordBatch], most: int, partners: int, similarity: float = SIMILARITY) -> Iterator[pa.RecordBatch]:
+    """The same of open lists whose nodes have roots, and sizes and odd parts if told: near pairs that no root connects."""
+    for key, node, carried, root, *sets in _lists(batches):
         u, v, n = [node[:0]], [node[:0]], 0
+        sets = [sets[0], np.stack(sets[1:], axis=1).view(np.uint64)] if sets else []
         first, size = _runs(key)
         for a, m in zip(first, size):
-            for x, y in apart_pairs(node[a : a + m], carried[a : a + m], root[a : a + m], most, partners):
+            for x, y in apart_pairs(node[a : a + m], carried[a : a + m], root[a : a + m], [x[a : a + m] for x in sets], most, partners, similarity):
                 u.append(x)
                 v.append(y)
                 n += len(x)
@@ -240,22 +260,22 @@ def first_of_each(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """The rows of df that are the first of their group of near copies, with df's columns."""
     spark, most = df.sparkSession, bits_at(similarity, SPREAD)
 
-    @arrow_udf(f"struct<{','.join(f'{c}:bigint' for c in (*PRINT, 'x', 'y', 'n'))}>")
+    @arrow_udf(f"struct<{','.join(f'{c}:bigint' for c in (*PRINT, 'x', 'y', 'n', *ODD))}>")
     def mark(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        """The fingerprint, and what tells sets apart: two sums over their hashes, and their size."""
+        """The fingerprint, what tells sets apart (two sums over their hashes, and their size), and their odd parts."""
         for batch in texts:
             rows = []
             for lo, hi in by_bytes(batch):
                 for s in shingle_sets(batch.slice(lo, hi - lo), shingle):
                     sums = np.array([mix(s).sum(dtype=np.uint64), mix(s ^ _SALTS[0]).sum(dtype=np.uint64), len(s)], np.uint64)
-                    rows.append(np.concatenate([wide_print(s), sums]))
-            whole = np.stack(rows).view(np.int64) if rows else np.zeros((0, LONGS + 3), np.int64)
-            yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(whole[:, k])) for k in range(LONGS + 3)], [*PRINT, "x", "y", "n"])
+                    rows.append(np.concatenate([wide_print(s), sums, odd_parts(s)]))
+            whole = np.stack(rows).view(np.int64) if rows else np.zeros((0, 2 * LONGS + 3), np.int64)
+            yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(whole[:, k])) for k in range(2 * LONGS + 3)], [*PRINT, "x", "y", "n", *ODD])
             give_back()
 
     rows = keyed(df, doc_id, text)
     told = rows.select(*ROW, mark(F.col("text")).alias("f")).select(*ROW, "f.*")
-    nodes, nodes_path = written(told.groupBy(*PRINT, "x", "y", "n").agg(F.min(F.struct(*ROW)).alias("winner")).withColumn("node", F.monotonically_increasing_id()))
+    nodes, nodes_path = written(told.groupBy(*PRINT, "x", "y", "n", *ODD).agg(F.min(F.struct(*ROW)).alias("winner")).withColumn("node", F.monotonically_increasing_id()))
     postings = nodes.select("node", *PRINT).mapInArrow(_postings, "key bigint, node bigint, carried bigint")
     found = postings.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _candidates(batches, most), "u bigint, v bigint")
     pairs, pairs_path = written(found.distinct())
@@ -263,9 +283,10 @@ def first_of_each(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     roots, roots_path = written(components(links).toDF("of", "root"))
     gone, last, partners = [nodes_path, pairs_path, links_path, roots_path], pairs, MORE
     while not last.filter("u = v").isEmpty():
-        still = nodes.join(last.filter("u = v").select(F.col("u").alias("node")), "node", "left_semi").select("node", *PRINT)
-        postings = still.join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of").mapInArrow(_postings, "key bigint, node bigint, carried bigint, root bigint")
-        found = postings.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches, partners=partners: _apart(batches, most, partners), "u bigint, v bigint")
+        still = nodes.join(last.filter("u = v").select(F.col("u").alias("node")), "node", "left_semi").select("node", *PRINT, "n", *ODD)
+        postings = still.join(roots, F.col("node") == F.col("of"), "left").select("node", *PRINT, F.coalesce("root", "node").alias("root"), "n", *ODD)
+        postings = postings.mapInArrow(_postings, f"key bigint, node bigint, carried bigint, root bigint, n bigint, {', '.join(f'{c} bigint' for c in ODD)}")
+        found = postings.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches, partners=partners: _apart(batches, most, partners, similarity), "u bigint, v bigint")
         last, last_path = written(found.distinct().join(pairs.filter("u != v"), ["u", "v"], "left_anti"))
         gone.append(last_path)
         partners *= MORE

@@ -487,6 +487,22 @@ def test_wide_lists_leave_no_near_pair_out(cells, monkeypatch):
         assert found <= near and {p for p in near if of[p[0]] != of[p[1]]} <= found
 
 
+def test_wide_pairs_that_cannot_be_alike_are_no_rows():
+    """One list of 200 unlike sets that are near by estimate gives none of its 19,900 pairs; no pair that has the similarity is left out."""
+    draw = np.random.default_rng(2)
+    base = draw.integers(0, 1 << 63, 260).astype(np.uint64)
+    sets = [np.sort(np.concatenate([draw.choice(base, 130, replace=False), draw.integers(0, 1 << 63, 20).astype(np.uint64)])) for _ in range(200)]
+    for k in range(0, 40, 2):  # copies that end at, above and below the similarity, by exchange and by length
+        sets[k + 1] = np.sort(np.concatenate([sets[k][k // 2 :], draw.integers(0, 1 << 63, k // 4).astype(np.uint64)]))
+    sets += [np.zeros(0, np.uint64), np.array([7], np.uint64), np.array([8], np.uint64)]
+    node, size, odd = np.arange(len(sets)), np.array([len(s) for s in sets]), np.stack([simhash_wide.odd_parts(s) for s in sets])
+    columns = [np.ones(len(sets), np.int64), node, np.zeros(len(sets), np.int64), node, size, *odd.view(np.int64).T]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["key", "node", "carried", "root", "n", *simhash_wide.ODD])
+    found = [(u, v) for b in simhash_wide._apart(iter([batch]), 17, 1000) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    alike = {(a, b) for a in range(len(sets)) for b in range(a) for both in [len(np.intersect1d(sets[a], sets[b]))] if both >= 0.8 * (size[a] + size[b] - both)}
+    assert len(alike) >= 10 and {(b, a) for a, b in alike} <= set(found) and len(set(found)) < 100
+
+
 def test_near_copies_by_exact_similarity(spark):
     """Against all pairs: 0.9 or more of the documents that are 0.8 alike to an earlier one go, and none that isn't."""
     draw = random.Random(12)
