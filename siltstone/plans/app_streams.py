@@ -48,9 +48,9 @@ def consumed_jobs(spark, sf_dir) -> DataFrame:
     """Jobs delivered up to four times: what the ledger says of each."""
     jobs, path = _deliveries(spark, sf_dir), new_path(spark, "jobs")
     versions = app(spark, sf_dir, "docs").select(F.col("id").alias("document_id"), F.col("current_version").cast("long").alias("current_version"))
-    stream = feed.replayed([jobs.filter(F.col("job_id") % 4 >= k).repartition(1) for k in range(4)], f"{path}/in")
-    consumer.consume(stream, path, versions, attempted)
-    ledger = consumer.read(spark, f"{path}/ledger", consumer.LEDGER)
+    for stream in feed.arriving([jobs.filter(F.col("job_id") % 4 >= k) for k in range(4)], f"{path}/in"):
+        consumer.consume(stream, path, versions, attempted)
+    ledger = consumer.dealt(consumer.read(spark, f"{path}/ledger", consumer.LEDGER), "job_id")
     return ledger.groupBy("job_id").agg(F.count(F.lit(1)).alias("entries"), F.max("attempt").alias("attempts"), F.max_by("outcome", "batch_id").alias("outcome"))
 
 

@@ -4,7 +4,8 @@ Every micro-batch is one step: deliveries that the ledger has settled are skippe
 document has left behind are stale, the others are attempted. A failed attempt is retried
 with a later delivery until MOST attempts have failed; then the job is dead. Results and ledger rows are
 written as the batch's own partition, results first, so a batch that is run again (as a stream does after a
-failure) writes the same rows in their place. It reads the ledger of earlier batches alone.
+failure) writes the same rows in their place. It reads the ledger of earlier batches alone. Rows are dealt by
+their job before anything is gathered by it, so what a task holds is its share of the jobs, not of a file.
 """
 
 from __future__ import annotations
@@ -30,13 +31,18 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def dealt(rows: DataFrame, *key: str) -> DataFrame:
+    """rows over as many tasks as a shuffle has, whatever their size: numbers are small when they are shuffled, and large when they are sorted or gathered."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def settle(deliveries: DataFrame, ledger: DataFrame, versions: DataFrame, most: int = MOST) -> DataFrame:
     """deliveries (job_id, document_id, version), one of each job and version, with the attempt's number and `outcome`: skipped, stale, or null for those to be attempted.
 
     versions: (document_id, current_version). The ledger is summed up by job before it meets the deliveries.
     """
-    past = ledger.groupBy(*KEY).agg(F.count_if(F.col("outcome") == "retry").alias("failed"), F.bool_or(F.col("outcome").isin(*SETTLED)).alias("settled"))
-    one = deliveries.dropDuplicates(KEY).join(versions, "document_id", "left").join(past, KEY, "left")
+    past = dealt(ledger, *KEY).groupBy(*KEY).agg(F.count_if(F.col("outcome") == "retry").alias("failed"), F.bool_or(F.col("outcome").isin(*SETTLED)).alias("settled"))
+    one = dealt(deliveries, *KEY).dropDuplicates(KEY).join(past, KEY, "left").join(versions, "document_id", "left")
     stale = F.coalesce(F.col("version") < F.col("current_version"), F.lit(False))
     outcome = F.when(F.coalesce("settled", F.lit(False)), "skipped").when(stale, "stale")
     return one.select(*deliveries.columns, (F.coalesce("failed", F.lit(0)) + 1).cast("long").alias("attempt"), outcome.alias("outcome"))
@@ -51,8 +57,7 @@ def step(batch: DataFrame, batch_id: int, *, path: str, versions: DataFrame, han
     failed = F.col("error").isNotNull()
     outcome = F.when(~failed, "done").when(F.col("attempt") >= most, "dead").otherwise("retry")
     tried = tried.withColumn("outcome", outcome)
-    mark = lambda df: df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-    save = lambda df, name: mark(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/{name}")
+    save = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
     save(tried.select(*KEY, "attempt", "result", "error", "outcome"), "attempts")
     now = read(spark, f"{path}/attempts", f"{LEDGER}, result string, error string").filter(F.col("batch_id") == batch_id)
     save(now.select(*KEY, "attempt", "outcome").unionByName(known.filter("outcome = 'stale'").select(*KEY, "attempt", "outcome")), "ledger")

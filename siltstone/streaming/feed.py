@@ -113,6 +113,14 @@ def replayed(ticks: list[DataFrame], path: str) -> DataFrame:
     return spark.readStream.schema(ticks[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
 
 
+def arriving(ticks: list[DataFrame], path: str) -> Iterator[DataFrame]:
+    """The same with a tick's files, however many, in one micro-batch: after each tick is written, the stream is given to be run to its end (with the same progress each time)."""
+    spark: SparkSession = ticks[0].sparkSession
+    for k, rows in enumerate(ticks):
+        rows.write.parquet(f"{path}/tick={k}")
+        yield spark.readStream.schema(ticks[0].schema).parquet(f"{path}/*")
+
+
 def stalled(jobs: DataFrame, now: Column, after_seconds: int = 900) -> DataFrame:
     """jobs with `stalled`: running or queued, and without an update for longer than after_seconds."""
     idle = now.cast("double") - F.col("updated_at").cast("double") > after_seconds

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import embedding
 from siltstone.functions import text as tx
 from siltstone.operators import fulltext, probes, retrieval, vector_index
+from siltstone.streaming import consumer, feed
 
 
 def physical(df) -> str:
@@ -65,3 +66,17 @@ def test_pairs_of_an_index_are_no_rows(spark):
     found = vector_index.search(vector_index.build(rows, 5), asked, 7, 5)
     assert "MapInArrow" in physical(found) and "zip_with(unit" not in physical(found)
     assert sorted(found.collect()) == sorted(retrieval.dense_top_k(rows, asked, 7).collect())
+
+
+def test_a_tick_of_many_files_is_one_batch_of_many_tasks(spark, tmp_path):
+    path = str(tmp_path)
+    jobs = spark.range(0, 40, 1, 4).select(F.col("id").alias("job_id"), F.col("id").alias("document_id"), F.lit(1).cast("long").alias("version"))
+    versions = jobs.select("document_id", F.lit(1).cast("long").alias("current_version"))
+    handle = lambda rows: rows.withColumns({"error": F.when(F.col("attempt") == 1, "first"), "result": F.lit("ok")})
+    for stream in feed.arriving([jobs, jobs.filter("job_id < 30")], f"{path}/in"):
+        consumer.consume(stream, path, versions, handle)
+    ledger = consumer.read(spark, f"{path}/ledger", consumer.LEDGER)
+    assert len(list((tmp_path / "in" / "tick=0").glob("part-*"))) == 4
+    assert {(r.batch_id, r.outcome): r["count"] for r in ledger.groupBy("batch_id", "outcome").count().collect()} == {(0, "retry"): 40, (1, "done"): 30}
+    plan = physical(consumer.settle(jobs, ledger, versions))
+    assert plan.count("REPARTITION_BY_NUM") >= 2 and "partial_first" not in plan.split("REPARTITION_BY_NUM")[-1]
