@@ -58,7 +58,8 @@ def normalized(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(F.trim(F.regexp_replace(text, r"\s+", "")) == "", F.lit(True))
+    """Nothing but white space, or null; the search ends at the first other character."""
+    return F.coalesce(~F.regexp_like(text, F.lit(r"\S")), F.lit(True))
 
 
 def or_query(text: Column) -> Column:

@@ -56,10 +56,11 @@ def ingest(spark: SparkSession, sources: DataFrame, path: str, run: int, *, size
     parsed = spark.read.schema("document_id bigint, version bigint, error string, body string, run bigint").parquet(f"{path}/parsed").filter(own)
     save(parsed.filter("error IS NOT NULL").select("document_id", "version", F.lit("parse").alias("stage"), "error"), "errors")
     good = parsed.filter("error IS NULL")
-    cut = chunking.chunk_rows(good.withColumnRenamed("document_id", "id"), text="body", sizes=sizes).withColumnRenamed("id", "document_id")
+    # the version goes along with the id, so that chunks' texts needn't meet it again
+    cut = chunking.chunk_rows(good.select(F.struct("document_id", "version").alias("of"), "body"), key="of", text="body", sizes=sizes).select("of.*", "*").drop("of")
     stored = visible(spark, path).select("document_id", "embedding_fingerprint").distinct().withColumn("reused", F.lit(True))
     planned = cut.join(stored, ["document_id", "embedding_fingerprint"], "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
-    save(planned.join(good.select("document_id", "version"), "document_id").select("document_id", "version", F.col("chunk_index").cast("int"), "chunk_text", "chunk_hash", "embedding_fingerprint", "token_count", "reused"), "chunks")
+    save(planned.select("document_id", "version", F.col("chunk_index").cast("int"), "chunk_text", "chunk_hash", "embedding_fingerprint", "token_count", "reused"), "chunks")
     if before_commit is not None:
         before_commit()
     save(good.select("document_id", "version"), "pointers")

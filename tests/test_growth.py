@@ -80,3 +80,9 @@ def test_a_tick_of_many_files_is_one_batch_of_many_tasks(spark, tmp_path):
     assert {(r.batch_id, r.outcome): r["count"] for r in ledger.groupBy("batch_id", "outcome").count().collect()} == {(0, "retry"): 40, (1, "done"): 30}
     plan = physical(consumer.settle(jobs, ledger, versions))
     assert plan.count("REPARTITION_BY_NUM") >= 2 and "partial_first" not in plan.split("REPARTITION_BY_NUM")[-1]
+
+
+def test_a_blank_text_is_told_without_rewriting_it(spark):
+    rows = spark.createDataFrame([("",), (None,), (" \t\r\n\x0b\x0c ",), ("\n x",), ("\u00a0",), ("x" * 100_000,)], "t string").select("t", tx.is_blank(F.col("t")).alias("b"))
+    assert "regexp_replace" not in physical(rows)
+    assert [r.b for r in rows.collect()] == [True, True, True, False, False, False]
