@@ -14,10 +14,12 @@ with a chance of some 0.94, one of 0.85 with 0.99, and a member of a group has m
 
 Dense groups. Nodes are distinct sets, so exact copies are one node, whatever their number. A list gives
 all its near pairs, if these are LIST_PAIRS for each of its nodes or fewer. A denser one gives each
-node with the PARTNERS smallest nodes that it is near, and stays open. Most of a dense group is
-connected by then, and a pair of connected nodes needs no look. So the open lists' nodes meet again
+node with the PARTNERS smallest nodes that it is near, and stays open. Of what a node's lists together
+give, its FEW smallest partners are compared; where there are more, both ends stay open. Most of a dense
+group is connected by then, and a pair of connected nodes needs no look. So the open lists' nodes meet again
 with what they are connected to: near pairs that aren't connected are compared, for each node MORE
-times as many in each round, until no node has had to leave one out. A pair that can't be alike is no
+times as many in each round, until no node has had to leave one out; a pair is told on the first only of
+the lists on which it is near. A pair that can't be alike is no
 row there: sets differ in at least as many shingles as their sizes do, and as there are parts of the
 hashes' range (64 * LONGS of them) of which one has an odd number and the other an even one. Every near
 pair of a list is then compared, connected, or shown not to be alike; only a group that is near by estimate
@@ -43,14 +45,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from siltstone.llm._common import by_bytes, drop_table, flat, give_back, mix, word_hashes, written
+from siltstone.llm._common import by_bytes, drop_table, flat, give_back, mix, shuffle_parts, word_hashes, written
 from siltstone.llm.simhash import components
 from siltstone.llm.suffix_dedup import ROW, keyed
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, LONGS, SPREAD, PARTNERS = 200, 8, 2.5, 1
+#: Pairs of a node with smaller ones that the first round compares, of all its lists together.
+FEW = 16
 #: Comparisons of a list and near pairs for each of its nodes beyond which it stays open, and the growth of a node's pairs from round to round.
-LIST_CELLS, LIST_PAIRS, MORE = 1 << 20, 4, 64
+LIST_CELLS, LIST_PAIRS, MORE = 1 << 20, 1, 64
 PRINT, ODD = tuple(f"f{k}" for k in range(LONGS)), tuple(f"o{k}" for k in range(LONGS))
 _SALTS = mix(np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Three positional bytes for each band (63 of the 64 in each of several orders), and the eight that a posting carries: none of the three.
@@ -108,6 +112,13 @@ def may_be_alike(sizes: np.ndarray, odds: np.ndarray, size: int, odd: np.ndarray
     return apart * (1 + similarity) <= (sizes + size) * (1 - similarity) + 1e-6
 
 
+def first_met(prints: np.ndarray, own: np.ndarray, band: int, most: int) -> np.ndarray:
+    """Which of the fingerprints are on no list of an earlier band together with a further one and near it there."""
+    apart = prints ^ own
+    same, bits, (x, y, z) = apart.view(np.uint8) == 0, np.bitwise_count(apart), _TRIPLES[:band].T
+    return ~(same[:, x] & same[:, y] & same[:, z] & (bits[:, _CARRIED[:band]] <= most)).any(axis=1)
+
+
 def list_pairs(node: np.ndarray, carried: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Of one list, each node with the PARTNERS smallest nodes whose carried bytes are within `most` bits of its own."""
     order = np.argsort(node)
@@ -139,17 +150,19 @@ def whole_list(node: np.ndarray, carried: np.ndarray, most: int) -> tuple[np.nda
     return np.concatenate([u, node]), np.concatenate([v, node])
 
 
-def apart_pairs(node: np.ndarray, carried: np.ndarray, root: np.ndarray, sets: list[np.ndarray], most: int, partners: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def apart_pairs(node: np.ndarray, carried: np.ndarray, root: np.ndarray, sets: list[np.ndarray], most: int, partners: int, similarity: float, band: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of one list, pairs of different roots within `most` bits that may be alike: for each node outside the commonest root the `partners` smallest; where there are more, all concerned with themselves.
 
-    sets: nothing, or the nodes' sizes and their odd parts.
+    sets: nothing, or the nodes' sizes and their odd parts, and their fingerprints, if a pair is to be told
+    in the first band only of those where it is near.
     """
     order = np.argsort(node)
     node, carried, root, sets = node[order], carried[order], root[order], [x[order] for x in sets]
     roots, nodes = np.unique(root, return_counts=True)
     for k in np.flatnonzero(root != roots[nodes.argmax()]) if len(roots) > 1 else ():
         near = np.flatnonzero((np.bitwise_count(carried ^ carried[k]) <= most) & (root != root[k]))
-        near = node[near[may_be_alike(*(x[near] for x in sets), *(x[k] for x in sets), similarity)] if sets else near]
+        near = near[may_be_alike(*(x[near] for x in sets[:2]), *(x[k] for x in sets[:2]), similarity)] if sets else near
+        near = node[near[first_met(sets[2][near], sets[2][k], band, most)] if len(sets) > 2 else near]
         yield np.minimum(near[:partners], node[k]), np.maximum(near[:partners], node[k])
         if len(near) > partners:
             yield np.append(near, node[k]), np.append(near, node[k])
@@ -167,14 +180,14 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The columns of postings, as many whole lists at a time as have come: rows come in the order of their keys, and a list is held until it ends."""
+    """The columns of rows, as many whole lists at a time as have come: rows come in the order of their keys, the first column, and a list is held until it ends."""
     held: list[tuple] = []
     for batch in batches:
-        key, node, carried, *more = (batch.column(k).to_numpy() for k in range(batch.num_columns))
-        if not len(key):
+        now = tuple(batch.column(k).to_numpy() for k in range(batch.num_columns))
+        if not len(now[0]):
             continue
-        held.append((key, node, carried.view(np.uint64), *more))
-        if held[0][0][0] == key[-1]:
+        held.append(now)
+        if held[0][0][0] == now[0][-1]:
             continue  # one list so far
         rows = tuple(np.concatenate(c) for c in zip(*held))
         last = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1
@@ -191,39 +204,73 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+    """The pairs, each once."""
+    u, v = np.concatenate(u), np.concatenate(v)
+    order = np.lexsort((u, v))
+    u, v = u[order], v[order]
+    new = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))[: len(u)]
+    return pa.RecordBatch.from_arrays([pa.array(u[new]), pa.array(v[new])], ["u", "v"])
+
+
+def _gathered(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The pairs of a task's lists, `most` at a time: what several of them hold is told once."""
+    u, v, n = [], [], 0
+    for x, y in found:
+        u.append(x)
+        v.append(y)
+        n += len(x)
+        if n > most:
+            yield _rows(u, v)
+            u, v, n = [], [], 0
+    if u:
+        yield _rows(u, v)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """The pairs of each list, and each node of one that stays open with itself."""
-    for key, node, carried in _lists(batches):
-        first, size = _runs(key)
-        two = first[size == 2]
-        two = two[np.bitwise_count(carried[two] ^ carried[two + 1]) <= most]
-        u, v = [np.minimum(node[two], node[two + 1])], [np.maximum(node[two], node[two + 1])]
-        for a, n in zip(first[size > 2], size[size > 2]):
-            x, y = whole_list(node[a : a + n], carried[a : a + n], most)
-            u.append(x)
-            v.append(y)
-        yield _rows(u, v)
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for key, node, carried in _lists(batches):
+            carried = carried.view(np.uint64)
+            first, size = _runs(key)
+            two = first[size == 2]
+            two = two[np.bitwise_count(carried[two] ^ carried[two + 1]) <= most]
+            yield np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1])
+            for a, n in zip(first[size > 2], size[size > 2]):
+                yield whole_list(node[a : a + n], carried[a : a + n], most)
+
+    yield from _gathered(found())
 
 
 def _apart(batches: Iterator[pa.RecordBatch], most: int, partners: int, similarity: float = SIMILARITY) -> Iterator[pa.RecordBatch]:
-    """The same of open lists whose nodes have roots, and sizes and odd parts if told: near pairs that no root connects."""
-    for key, node, carried, root, *sets in _lists(batches):
-        u, v, n = [node[:0]], [node[:0]], 0
-        sets = [sets[0], np.stack(sets[1:], axis=1).view(np.uint64)] if sets else []
-        first, size = _runs(key)
-        for a, m in zip(first, size):
-            for x, y in apart_pairs(node[a : a + m], carried[a : a + m], root[a : a + m], [x[a : a + m] for x in sets], most, partners, similarity):
-                u.append(x)
-                v.append(y)
-                n += len(x)
-                if n > 1 << 16:
-                    yield _rows(u, v)
-                    u, v, n = [], [], 0
-        if u:
-            yield _rows(u, v)
+    """The same of open lists whose nodes have roots, and sizes, odd parts and fingerprints if told: near pairs that no root connects."""
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for key, node, carried, root, *sets in _lists(batches):
+            carried = carried.view(np.uint64)
+            sets = [sets[0], *(np.stack(sets[a : a + LONGS], axis=1).view(np.uint64) for a in range(1, len(sets), LONGS))] if sets else []
+            for a, m in zip(*_runs(key)):
+                own = slice(a, a + m)
+                yield from apart_pairs(node[own], carried[own], root[own], [x[own] for x in sets], most, partners, similarity, int(key[a]) >> 24)
+
+    yield from _gathered(found())
+
+
+def _thinned(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of the lists' rows (v, u), which come in this order: each node with its `most` smallest partners, and with itself those that stay open or have a pair left out."""
+    for v, u in _lists(batches):
+        new = np.concatenate([[True], (v[1:] != v[:-1]) | (u[1:] != u[:-1])])
+        v, u = v[new], u[new]
+        first, size = _runs(v)
+        pair, place = u != v, np.arange(len(v)) - np.repeat(first, size)
+        left = pair & (place >= most)
+        still = np.concatenate([v[left], u[left]])
+        yield _rows([u[~left], still], [v[~left], still])
+
+
+def thinned(found: DataFrame, most: int) -> DataFrame:
+    """Rows (u, v) of all lists as those of _thinned(), each once."""
+    return found.select("v", "u").repartition("v").sortWithinPartitions("v", "u").mapInArrow(lambda batches: _thinned(batches, most), "u bigint, v bigint").distinct()
 
 
 def set_links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, str]:
@@ -277,17 +324,19 @@ def first_of_each(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     told = rows.select(*ROW, mark(F.col("text")).alias("f")).select(*ROW, "f.*")
     nodes, nodes_path = written(told.groupBy(*PRINT, "x", "y", "n", *ODD).agg(F.min(F.struct(*ROW)).alias("winner")).withColumn("node", F.monotonically_increasing_id()))
     postings = nodes.select("node", *PRINT).mapInArrow(_postings, "key bigint, node bigint, carried bigint")
-    found = postings.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _candidates(batches, most), "u bigint, v bigint")
-    pairs, pairs_path = written(found.distinct())
+    found = postings.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key").mapInArrow(lambda batches: _candidates(batches, most), "u bigint, v bigint")
+    pairs, pairs_path = written(thinned(found, FEW))
     links, links_path = set_links(rows, nodes, pairs.filter("u != v"), shingle, similarity)
     roots, roots_path = written(components(links).toDF("of", "root"))
     gone, last, partners = [nodes_path, pairs_path, links_path, roots_path], pairs, MORE
+    told = ("root", "n", *ODD, *(f"p{k}" for k in range(LONGS)))
     while not last.filter("u = v").isEmpty():
-        still = nodes.join(last.filter("u = v").select(F.col("u").alias("node")), "node", "left_semi").select("node", *PRINT, "n", *ODD)
-        postings = still.join(roots, F.col("node") == F.col("of"), "left").select("node", *PRINT, F.coalesce("root", "node").alias("root"), "n", *ODD)
-        postings = postings.mapInArrow(_postings, f"key bigint, node bigint, carried bigint, root bigint, n bigint, {', '.join(f'{c} bigint' for c in ODD)}")
-        found = postings.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches, partners=partners: _apart(batches, most, partners, similarity), "u bigint, v bigint")
-        last, last_path = written(found.distinct().join(pairs.filter("u != v"), ["u", "v"], "left_anti"))
+        still = nodes.join(last.filter("u = v").select(F.col("u").alias("node")), "node", "left_semi")
+        still = still.join(roots, F.col("node") == F.col("of"), "left").select("node", *PRINT, F.coalesce("root", "node").alias("root"), "n", *ODD, *(F.col(c).alias(f"p{k}") for k, c in enumerate(PRINT)))
+        # a row becomes BANDS: dealt over all tasks before that
+        postings = still.repartition(shuffle_parts(spark)).mapInArrow(_postings, f"key bigint, node bigint, carried bigint, {', '.join(f'{c} bigint' for c in told)}")
+        found = postings.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key").mapInArrow(lambda batches, partners=partners: _apart(batches, most, partners, similarity), "u bigint, v bigint")
+        last, last_path = written(thinned(found.join(pairs.filter("u != v"), ["u", "v"], "left_anti"), partners))
         gone.append(last_path)
         partners *= MORE
         if not last.filter("u != v").isEmpty():

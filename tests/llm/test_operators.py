@@ -503,6 +503,39 @@ def test_wide_pairs_that_cannot_be_alike_are_no_rows():
     assert len(alike) >= 10 and {(b, a) for a, b in alike} <= set(found) and len(set(found)) < 100
 
 
+def test_pairs_of_a_dense_group_grow_with_its_size(spark, monkeypatch):
+    """One group of 150 and of 600 near copies: some FEW pairs a node and round are compared, and the first alone stays."""
+    real, pairs = simhash_wide.set_links, []
+    monkeypatch.setattr(simhash_wide, "set_links", lambda rows, nodes, found, *more: (pairs.append(found.count()), real(rows, nodes, found, *more))[1])
+    draw = random.Random(5)
+    base = [f"w{k}" for k in range(400)]
+    for n in (150, 600):
+        pairs.clear()
+        copies = []
+        for k in range(n):
+            copy = list(base)
+            for _ in range(k > 0 and draw.randint(1, 7)):
+                copy[draw.randrange(400)] = f"x{draw.randrange(10**6)}"
+            copies.append((k, " ".join(copy)))
+        kept = [r.doc_id for r in simhash_wide.first_of_each(spark.createDataFrame(copies, "doc_id long, text string")).collect()]
+        assert kept == [0] and sum(pairs) < 2 * simhash_wide.FEW * n
+
+
+def test_a_pair_is_told_in_its_first_band():
+    """Postings of all bands give each near pair once, and all those that they give without the fingerprints."""
+    draw = np.random.default_rng(6)
+    prints = draw.integers(0, 1 << 62, (3, simhash_wide.LONGS))[draw.integers(0, 3, 60)]
+    for _ in range(20):
+        prints[np.arange(60), draw.integers(0, simhash_wide.LONGS, 60)] ^= np.int64(1) << draw.integers(0, 62, 60)
+    node, size, odd = np.arange(60), np.full(60, 9), np.zeros((60, simhash_wide.LONGS), np.int64)
+    names = ["node", *simhash_wide.PRINT, "root", "n", *simhash_wide.ODD]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (node, *prints.T, node, size, *odd.T, *prints.T)], [*names, *(f"p{k}" for k in range(simhash_wide.LONGS))])
+    told = pa.Table.from_batches(simhash_wide._postings(iter([batch]))).sort_by("key").combine_chunks().to_batches()[0]
+    lists = [told.filter(pa.compute.equal(told["key"], k)) for k in told["key"].unique()]
+    once, all_ = ([(u, v) for x in lists for b in simhash_wide._apart(iter([x.select(told.schema.names[:n])]), 17, 100) for u, v in zip(b[0].to_pylist(), b[1].to_pylist())] for n in (told.num_columns, told.num_columns - simhash_wide.LONGS))
+    assert len(once) == len(set(once)) and set(once) == set(all_) and len(all_) > 3 * len(once) > 300
+
+
 def test_near_copies_by_exact_similarity(spark):
     """Against all pairs: 0.9 or more of the documents that are 0.8 alike to an earlier one go, and none that isn't."""
     draw = random.Random(12)
