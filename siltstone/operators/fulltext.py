@@ -58,6 +58,21 @@ def forms(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return known.join(asked.select("query_id", "stem"), "stem").select("query_id", "stem", "word")
 
 
+def stem_counts(docs: DataFrame) -> DataFrame:
+    """(stem, forms, occurrences, documents): of each stem of docs (id, text) the words that have it, how often they occur, and in how many documents. Repeated ids are one document, null ones none.
+
+    Occurrences are counted by word before any shuffle, and each word is stemmed once. Documents meet the
+    stems as their distinct words, and are dealt by stem and id: no task holds the documents of a stem.
+    """
+    n, stops = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.array(*map(F.lit, STOP_WORDS))
+    known = stemmed(docs.select(F.explode(words_of(F.col("text"))).alias("word")).filter(~F.col("word").isin(STOP_WORDS)).groupBy("word").agg(F.count("*").alias("n")))
+    own = Window.partitionBy("stem")
+    known = known.select("word", "stem", F.count("*").over(own).alias("forms"), F.sum("n").over(own).alias("occurrences"))
+    held = docs.select("id", F.explode(F.array_except(words_of(F.col("text")), stops)).alias("word"))
+    pairs = held.join(known, "word").select("stem", "forms", "occurrences", "id").repartition(n, "stem", "id").distinct()
+    return pairs.groupBy("stem", "forms", "occurrences").agg(F.count("id").alias("documents"))
+
+
 def _covers(place: np.ndarray, stem: np.ndarray, terms: np.ndarray) -> tuple[int, float]:
     """How many covers occurrences of a question's terms have, in the order of their places, and their density."""
     at = np.arange(len(place))

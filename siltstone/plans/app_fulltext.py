@@ -33,8 +33,7 @@ def fulltext_covers(spark, sf_dir) -> DataFrame:
 
 def lexeme_counts(spark, sf_dir) -> DataFrame:
     """Each stem of the documents: words that have it, occurrences and documents."""
-    words = t.table(spark, sf_dir, "documents").select("doc_id", F.explode(s.words_of(F.col("text"))).alias("word")).filter(~F.col("word").isin(s.STOP_WORDS))
-    return words.join(fulltext.stemmed(words.select("word").distinct()), "word").groupBy("stem").agg(F.count_distinct("word").alias("forms"), F.count("*").alias("occurrences"), F.count_distinct("doc_id").alias("documents"))
+    return fulltext.stem_counts(t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 _STOPS = ", ".join(repr(w) for w in s.STOP_WORDS)

@@ -51,6 +51,14 @@ def test_occurrences_are_no_rows(spark, every):
     assert rows == ({(7, 1): 1, (7, 2): 2} if every else {(7, 1): 2, (7, 2): 3, (8, 3): 1})
 
 
+def test_stems_are_counted_without_a_row_for_each_distinct_count(spark):
+    docs = spark.createDataFrame([(1, "a cat and cats"), (1, "CATS cat"), (2, "cats dog"), (None, "dog cow"), (3, None)], "id long, text string")
+    found = fulltext.stem_counts(docs)
+    assert "Expand" not in physical(found) and "array_except" in physical(found)
+    assert sorted(map(tuple, found.collect())) == [("cat", 2, 5, 2), ("cow", 1, 1, 0), ("dog", 1, 2, 1)]
+    assert fulltext.stem_counts(docs.limit(0)).collect() == []
+
+
 def test_unicode_forms_slice_by_slice():
     texts = pa.array(["é", None, "plain", "ﬁ", "x" * 3_000_000 + "é"] * 300)[:1400]
     texts = pa.concat_arrays([texts.slice(0, 4), pa.array(["y"] * 700), texts.slice(4, 2)])
