@@ -14,13 +14,12 @@ with a chance of some 0.94, one of 0.85 with 0.99, and a member of a group has m
 
 Dense groups. Nodes are distinct sets, so exact copies are one node, whatever their number. A list gives
 all its near pairs, if these are LIST_PAIRS for each of its nodes or fewer. A denser one gives each
-node with the PARTNERS smallest nodes that it is near, and stays open. Of what a node's lists together
-give, its FEW smallest partners are compared; where there are more, both ends stay open. Most of a dense
-group is connected by then, and a pair of connected nodes needs no look. So the open lists' nodes meet again
-with what they are connected to: near pairs that aren't connected are compared, for each node MORE
-times as many in each round, until no node has had to leave one out; a pair is told on the first only of
-the lists on which it is near. A pair that can't be alike is no
-row there: sets differ in at least as many shingles as their sizes do, and as there are parts of the
+node with the PARTNERS smallest nodes that it is near, and stays open for the nodes of the pairs left out. Of what
+a node's lists together give, its FEW smallest partners are compared; the other pairs are left for later. Most of a dense
+group is connected by then, and a pair of connected nodes needs no look. So nodes meet again on those of their lists
+that are open for them, with what they are connected to, and so do the ends of pairs left for later: near pairs that
+aren't connected are compared, for each node MORE times as many in each round, until no node has had to leave one out;
+a pair is told on the first only of the lists on which it is near. A pair that can't be alike is no row there: sets differ in at least as many shingles as their sizes do, and as there are parts of the
 hashes' range (64 * LONGS of them) of which one has an odd number and the other an even one. Every near
 pair of a list is then compared, connected, or shown not to be alike; only a group that is near by estimate
 and by these bounds, and not alike by its sets, has all its pairs compared.
@@ -36,7 +35,9 @@ other columns pass unchanged, whatever their names; an empty table gives no rows
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,9 @@ FEW = 16
 #: Comparisons of a list and near pairs for each of its nodes beyond which it stays open, and the growth of a node's pairs from round to round.
 LIST_CELLS, LIST_PAIRS, MORE = 1 << 20, 1, 64
 PRINT, ODD = tuple(f"f{k}" for k in range(LONGS)), tuple(f"o{k}" for k in range(LONGS))
+#: The bands whose lists are open for a node, a bit each.
+OPEN = tuple(f"b{k}" for k in range(-(-BANDS // 64)))
+PAIRS = f"u bigint, v bigint, {', '.join(f'{c} bigint' for c in OPEN)}"
 _SALTS = mix(np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Three positional bytes for each band (63 of the 64 in each of several orders), and the eight that a posting carries: none of the three.
 _TRIPLES = np.concatenate([np.random.default_rng(k).permutation(8 * LONGS)[: 8 * LONGS - 1].reshape(-1, 3) for k in range(-(-BANDS // 21))])[:BANDS]
@@ -138,15 +142,20 @@ def list_pairs(node: np.ndarray, carried: np.ndarray, most: int) -> tuple[np.nda
 
 
 def whole_list(node: np.ndarray, carried: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of one list, all pairs within `most` bits; if that is much, those of list_pairs() and each node with itself: the list stays open."""
+    """Of one list, all pairs within `most` bits; if that is much, those of list_pairs() and each end of a pair left out with itself: the list stays open for it."""
     u, v = list_pairs(node, carried, most)
     if not len(v):
         return u, v
+    order = np.argsort(node)
+    node, carried = node[order], carried[order]
     later = np.flatnonzero(np.isin(node, v))  # who has a smaller near node
     if len(later) * len(node) <= LIST_CELLS:
-        x, y = np.nonzero((np.bitwise_count(carried[later, None] ^ carried[None, :]) <= most) & (node[later, None] > node[None, :]))
+        x, y = np.nonzero((np.bitwise_count(carried[later, None] ^ carried[None, :]) <= most) & (later[:, None] > np.arange(len(node))))
         if len(x) <= LIST_PAIRS * len(node):
             return node[y], node[later[x]]
+        first, size = _runs(x)
+        out = np.arange(len(x)) - np.repeat(first, size) >= PARTNERS
+        node = node[np.union1d(later[x[out]], y[out])]
     return np.concatenate([u, node]), np.concatenate([v, node])
 
 
@@ -169,14 +178,18 @@ def apart_pairs(node: np.ndarray, carried: np.ndarray, root: np.ndarray, sets: l
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each node once for each band, with the band and its three bytes as one number, eight more bytes, and its other columns."""
+    """Each node once for each band, or for each of its OPEN ones if told, with the band and its three bytes as one number, eight more bytes, and its other columns."""
     for batch in batches:
         prints = np.stack([batch.column(c).to_numpy() for c in PRINT], axis=1)
         body = np.ascontiguousarray(prints).view(np.uint8).astype(np.int64)
-        more = [c for c in batch.schema.names if c != "node" and c not in PRINT]
+        more = [c for c in batch.schema.names if c != "node" and c not in PRINT and c not in OPEN]
+        bands = [batch.column(c).to_numpy() for c in OPEN] if OPEN[0] in batch.schema.names else None
         for k, (x, y, z) in enumerate(_TRIPLES):
             key = (k << 24) | (body[:, x] << 16) | (body[:, y] << 8) | body[:, z]
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("node"), batch.column(PRINT[_CARRIED[k]]), *map(batch.column, more)], ["key", "node", "carried", *more])
+            rows = pa.RecordBatch.from_arrays([pa.array(key), batch.column("node"), batch.column(PRINT[_CARRIED[k]]), *map(batch.column, more)], ["key", "node", "carried", *more])
+            rows = rows if bands is None else rows.filter(pa.array((bands[k // 64] >> (k % 64) & 1).astype(bool)))
+            if rows.num_rows:
+                yield rows
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -203,41 +216,41 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(key)))
 
 
-def _rows(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
-    """The pairs, each once."""
-    u, v = np.concatenate(u), np.concatenate(v)
+def _rows(u: np.ndarray, v: np.ndarray, band: np.ndarray) -> pa.RecordBatch:
+    """The pairs, each once; a node with itself has the bits of its bands."""
     order = np.lexsort((u, v))
-    u, v = u[order], v[order]
+    u, v, band = u[order], v[order], band[order]
     new = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))[: len(u)]
-    return pa.RecordBatch.from_arrays([pa.array(u[new]), pa.array(v[new])], ["u", "v"])
+    bits = np.where((u == v) & (band // 64 == np.arange(len(OPEN))[:, None]), np.int64(1) << (band % 64), 0)
+    bits = np.bitwise_or.reduceat(bits, np.flatnonzero(new), axis=1) if len(u) else bits
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (u[new], v[new], *np.ascontiguousarray(bits))], ["u", "v", *OPEN])
 
 
-def _gathered(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """The pairs of a task's lists, `most` at a time: what several of them hold is told once."""
-    u, v, n = [], [], 0
-    for x, y in found:
-        u.append(x)
-        v.append(y)
-        n += len(x)
+def _gathered(found: Iterator[tuple[np.ndarray, np.ndarray, int | np.ndarray]], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The pairs of a task's lists with their bands, `most` at a time: what several of them hold is told once."""
+    held, n = [], 0
+    for u, v, band in found:
+        held.append((u, v, np.broadcast_to(band, len(u))))
+        n += len(u)
         if n > most:
-            yield _rows(u, v)
-            u, v, n = [], [], 0
-    if u:
-        yield _rows(u, v)
+            yield _rows(*map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if held:
+        yield _rows(*map(np.concatenate, zip(*held)))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of each list, and each node of one that stays open with itself."""
+    """The pairs of each list, and each node for which one stays open with itself."""
 
-    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray, int | np.ndarray]]:
         for key, node, carried in _lists(batches):
             carried = carried.view(np.uint64)
             first, size = _runs(key)
             two = first[size == 2]
             two = two[np.bitwise_count(carried[two] ^ carried[two + 1]) <= most]
-            yield np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1])
+            yield np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1]), key[two] >> 24
             for a, n in zip(first[size > 2], size[size > 2]):
-                yield whole_list(node[a : a + n], carried[a : a + n], most)
+                yield *whole_list(node[a : a + n], carried[a : a + n], most), int(key[a]) >> 24
 
     yield from _gathered(found())
 
@@ -245,32 +258,42 @@ def _candidates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
 def _apart(batches: Iterator[pa.RecordBatch], most: int, partners: int, similarity: float = SIMILARITY) -> Iterator[pa.RecordBatch]:
     """The same of open lists whose nodes have roots, and sizes, odd parts and fingerprints if told: near pairs that no root connects."""
 
-    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         for key, node, carried, root, *sets in _lists(batches):
             carried = carried.view(np.uint64)
             sets = [sets[0], *(np.stack(sets[a : a + LONGS], axis=1).view(np.uint64) for a in range(1, len(sets), LONGS))] if sets else []
             for a, m in zip(*_runs(key)):
-                own = slice(a, a + m)
-                yield from apart_pairs(node[own], carried[own], root[own], [x[own] for x in sets], most, partners, similarity, int(key[a]) >> 24)
+                own, band = slice(a, a + m), int(key[a]) >> 24
+                for u, v in apart_pairs(node[own], carried[own], root[own], [x[own] for x in sets], most, partners, similarity, band):
+                    yield u, v, band
 
     yield from _gathered(found())
 
 
 def _thinned(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Of the lists' rows (v, u), which come in this order: each node with its `most` smallest partners, and with itself those that stay open or have a pair left out."""
-    for v, u in _lists(batches):
+    """Of the lists' rows (v, u, *OPEN), which come in this order, each once: pairs but for a node's `most` smallest partners are left for later."""
+    for v, u, *bands in _lists(batches):
         new = np.concatenate([[True], (v[1:] != v[:-1]) | (u[1:] != u[:-1])])
+        bands = [np.bitwise_or.reduceat(b, np.flatnonzero(new)) for b in bands]
         v, u = v[new], u[new]
+        before = np.cumsum(u != v) - (u != v)
         first, size = _runs(v)
-        pair, place = u != v, np.arange(len(v)) - np.repeat(first, size)
-        left = pair & (place >= most)
-        still = np.concatenate([v[left], u[left]])
-        yield _rows([u[~left], still], [v[~left], still])
+        left = (u != v) & (before - np.repeat(before[first], size) >= most)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (u, v, *bands, left)], ["u", "v", *OPEN, "left"])
 
 
 def thinned(found: DataFrame, most: int) -> DataFrame:
-    """Rows (u, v) of all lists as those of _thinned(), each once."""
-    return found.select("v", "u").repartition("v").sortWithinPartitions("v", "u").mapInArrow(lambda batches: _thinned(batches, most), "u bigint, v bigint").distinct()
+    """Rows (u, v, *OPEN) of all lists as those of _thinned()."""
+    return found.select("v", "u", *OPEN).repartition("v").sortWithinPartitions("v", "u").mapInArrow(lambda batches: _thinned(batches, most), f"{PAIRS}, left boolean")
+
+
+def still_apart(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of different roots that may be alike, as may_be_alike() has it; known: (node, root, n, *ODD)."""
+    for c in "uv":
+        pairs = pairs.join(known.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("root", "n", *ODD))), c)
+    parts = functools.reduce(operator.add, (F.bit_count(F.col(f"u_{o}").bitwiseXOR(F.col(f"v_{o}"))) for o in ODD))
+    apart = F.greatest(F.abs(F.col("u_n") - F.col("v_n")), parts)
+    return pairs.filter((F.col("u_root") != F.col("v_root")) & (apart * (1 + similarity) <= (F.col("u_n") + F.col("v_n")) * (1 - similarity) + 1e-6)).select("u", "v")
 
 
 def set_links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, str]:
@@ -324,24 +347,28 @@ def first_of_each(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     told = rows.select(*ROW, mark(F.col("text")).alias("f")).select(*ROW, "f.*")
     nodes, nodes_path = written(told.groupBy(*PRINT, "x", "y", "n", *ODD).agg(F.min(F.struct(*ROW)).alias("winner")).withColumn("node", F.monotonically_increasing_id()))
     postings = nodes.select("node", *PRINT).mapInArrow(_postings, "key bigint, node bigint, carried bigint")
-    found = postings.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key").mapInArrow(lambda batches: _candidates(batches, most), "u bigint, v bigint")
-    pairs, pairs_path = written(thinned(found, FEW))
-    links, links_path = set_links(rows, nodes, pairs.filter("u != v"), shingle, similarity)
+    found = postings.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key").mapInArrow(lambda batches: _candidates(batches, most), PAIRS)
+    last, last_path = written(thinned(found, FEW))
+    pairs = last.filter("u != v AND NOT left").select("u", "v")
+    links, links_path = set_links(rows, nodes, pairs, shingle, similarity)
     roots, roots_path = written(components(links).toDF("of", "root"))
-    gone, last, partners = [nodes_path, pairs_path, links_path, roots_path], pairs, MORE
+    gone, partners = [nodes_path, last_path, links_path, roots_path], MORE
     told = ("root", "n", *ODD, *(f"p{k}" for k in range(LONGS)))
-    while not last.filter("u = v").isEmpty():
-        still = nodes.join(last.filter("u = v").select(F.col("u").alias("node")), "node", "left_semi")
-        still = still.join(roots, F.col("node") == F.col("of"), "left").select("node", *PRINT, F.coalesce("root", "node").alias("root"), "n", *ODD, *(F.col(c).alias(f"p{k}") for k, c in enumerate(PRINT)))
-        # a row becomes BANDS: dealt over all tasks before that
+    while not last.filter("u = v OR left").isEmpty():
+        known = nodes.join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
+        still = known.join(last.filter("u = v").select(F.col("u").alias("node"), *OPEN), "node")
+        still = still.select("node", *PRINT, *OPEN, "root", "n", *ODD, *(F.col(c).alias(f"p{k}") for k, c in enumerate(PRINT)))
+        # a row becomes up to BANDS: dealt over all tasks before that
         postings = still.repartition(shuffle_parts(spark)).mapInArrow(_postings, f"key bigint, node bigint, carried bigint, {', '.join(f'{c} bigint' for c in told)}")
-        found = postings.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key").mapInArrow(lambda batches, partners=partners: _apart(batches, most, partners, similarity), "u bigint, v bigint")
-        last, last_path = written(thinned(found.join(pairs.filter("u != v"), ["u", "v"], "left_anti"), partners))
+        found = postings.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key").mapInArrow(lambda batches, partners=partners: _apart(batches, most, partners, similarity), PAIRS)
+        later = still_apart(last.filter("left"), known, similarity).select("u", "v", *(F.lit(0).cast("long").alias(c) for c in OPEN))
+        last, last_path = written(thinned(found.join(pairs, ["u", "v"], "left_anti").unionByName(later), partners))
         gone.append(last_path)
         partners *= MORE
-        if not last.filter("u != v").isEmpty():
-            pairs = pairs.unionByName(last)
-            more, more_path = set_links(rows, nodes, last.filter("u != v"), shingle, similarity)
+        now = last.filter("u != v AND NOT left").select("u", "v")
+        if not now.isEmpty():
+            pairs = pairs.unionByName(now)
+            more, more_path = set_links(rows, nodes, now, shingle, similarity)
             gone.append(more_path)
             if not more.isEmpty():
                 roots, roots_path = written(_joined(roots, more))

@@ -536,6 +536,45 @@ def test_a_pair_is_told_in_its_first_band():
     assert len(once) == len(set(once)) and set(once) == set(all_) and len(all_) > 3 * len(once) > 300
 
 
+def test_nodes_meet_again_on_their_open_lists_alone():
+    """Each near pair of a list is told, or both ends come again on this list; no node comes on a list that leaves none of its pairs out."""
+    draw = np.random.default_rng(7)
+    prints = np.concatenate([draw.integers(0, 1 << 62, (3, simhash_wide.LONGS))[draw.integers(0, 3, 60)], draw.integers(0, 1 << 62, (40, simhash_wide.LONGS))])
+    for _ in range(20):
+        prints[np.arange(60), draw.integers(0, simhash_wide.LONGS, 60)] ^= np.int64(1) << draw.integers(0, 62, 60)
+    names = ["node", *simhash_wide.PRINT]
+    rows = lambda node, *more: pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (node, *prints[node].T, *more)], [*names, *simhash_wide.OPEN[: len(more)]])
+    lists = lambda *batch: pa.Table.from_batches(simhash_wide._postings(iter(batch))).sort_by("key").combine_chunks()
+    postings = lists(rows(np.arange(100)))
+    found = pa.Table.from_batches(simhash_wide._candidates(iter(postings.to_batches()), 17)).to_pandas()
+    pairs, open_ = set(zip(found.u[found.u != found.v], found.v[found.u != found.v])), found[found.u == found.v]
+    again = lists(rows(open_.u.to_numpy(), *(open_[c].to_numpy() for c in simhash_wide.OPEN)))
+    again, of, needed = set(zip(again["key"].to_pylist(), again["node"].to_pylist())), collections.defaultdict(list), set()
+    for key, node, carried in zip(*(postings[c].to_pylist() for c in ("key", "node", "carried"))):
+        of[key].append((node, np.uint64(carried & (1 << 64) - 1)))
+    for key, own in of.items():
+        near = sorted((v, u) for u, a in own for v, b in own if u < v and np.bitwise_count(a ^ b) <= 17)
+        assert all((u, v) in pairs or {(key, u), (key, v)} <= again for v, u in near)
+        if len(near) > simhash_wide.LIST_PAIRS * len(own):
+            needed |= {(key, w) for k, p in enumerate(near) if k and near[k - 1][0] == p[0] for w in p}
+    assert again == needed and 200 < len(again) < 0.5 * simhash_wide.BANDS * len(open_)
+
+
+def test_pairs_left_for_later_are_told_while_they_may_be_alike(spark):
+    """Of pairs left for later those of one root and those that can't be alike go, by the same bounds as within lists."""
+    draw = np.random.default_rng(4)
+    base = draw.integers(0, 1 << 63, 120).astype(np.uint64)
+    sets = [np.sort(np.concatenate([base[: 120 - k], draw.integers(0, 1 << 63, k // 2).astype(np.uint64)])) for k in range(0, 60, 3)] + [np.zeros(0, np.uint64)]
+    size, odd, n = np.array([len(s) for s in sets]), np.stack([simhash_wide.odd_parts(s) for s in sets]), len(sets)
+    known = spark.createDataFrame([(k, k // 2, int(size[k]), *map(int, odd[k].view(np.int64))) for k in range(n)], f"node long, root long, n long, {', '.join(f'{o} long' for o in simhash_wide.ODD)}")
+    want = {(u, v) for u in range(n) for v in range(u + 1, n) if u // 2 != v // 2 and simhash_wide.may_be_alike(size[[u]], odd[[u]], size[v], odd[v], 0.8)[0]}
+    got = simhash_wide.still_apart(spark.createDataFrame([(u, v) for u in range(n) for v in range(u + 1, n)], "u long, v long"), known, 0.8).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and 10 < len(want) < 150
+    told = [(u, 9, *[0] * len(simhash_wide.OPEN)) for u in (3, 1, 2, 1)] + [(9, 9, 5, *[0] * (len(simhash_wide.OPEN) - 1)), (9, 9, 6, *[0] * (len(simhash_wide.OPEN) - 1))]
+    kept = simhash_wide.thinned(spark.createDataFrame(told, simhash_wide.PAIRS), 2).select("u", "v", "b0", "left").collect()
+    assert sorted(map(tuple, kept)) == [(1, 9, 0, False), (2, 9, 0, False), (3, 9, 0, True), (9, 9, 7, False)]
+
+
 def test_near_copies_by_exact_similarity(spark):
     """Against all pairs: 0.9 or more of the documents that are 0.8 alike to an earlier one go, and none that isn't."""
     draw = random.Random(12)
